@@ -16,6 +16,7 @@ dropped.
 from __future__ import annotations
 
 import base64
+import gc
 import os
 import re
 import struct
@@ -93,42 +94,47 @@ class Codec:
         self.chars = str.maketrans(dict(enumerate(byte_alphabet())))
         self.back = {c: b for b, c in enumerate(byte_alphabet())}
         self.split, self.ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
-        """Ids of one pre-token."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.sp.encode(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.chars))
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for word in (self.ascii if chunk.isascii() else self.split)(chunk):
-            out += self._word(word)
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        ids = self.known[chunk] = tuple(out)
-        return ids
+        self.known: dict[str, list[int]] = {}
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
+    def _pieces(self, text: str) -> list[str]:
+        """Chunks whose ids can be joined: runs of blanks with what follows, or plain pre-tokens."""
         if OTHER_BLANK.search(text):
-            for word in (self.ascii if text.isascii() and not re.search("[\x1c-\x1f]", text) else self.split)(text):
-                out += self._word(word)
-            return out
+            return self.split(text)
+        return CHUNK.findall(text)
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts the ids of new chunks into the table; their pre-tokens go to the model in one call."""
+        known, cut, words = self.known, {}, set()
+        for c in chunks:
+            if c.isalpha() or (c[0] == " " and c[1:].isalpha()):  # one pre-token
+                words.add(c)
+                continue
+            cut[c] = w = (self.ascii if c.isascii() else self.split)(c)
+            words.update([x for x in w if x not in known])
+        order = list(words)
+        known.update(zip(order, self.sp.encode([w.encode().decode("latin-1").translate(self.chars) for w in order], num_threads=1)))
+        for c, w in cut.items():
+            if len(w) > 1:
+                known[c] = [i for x in w for i in known[x]]
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        parts = [self._pieces(t) if t else [] for t in texts]
         known = self.known
-        for chunk in CHUNK.findall(text):
-            ids = known.get(chunk)
-            out += self._chunk(chunk) if ids is None else ids
+        if len(known) > CACHE:
+            known.clear()
+        if new := {c for p in parts for c in p if c not in known}:
+            self._learn(new)
+        out = []
+        for p in parts:
+            ids: list[int] = []
+            for c in p:
+                ids += known[c]
+            out.append(ids)
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_batch([text])[0]
+
     def decode(self, ids: Iterable[int]) -> str:
         pieces = "".join(self.sp.id_to_piece(int(i)) for i in ids)
         return bytes(self.back[c] for c in pieces).decode("utf-8", "replace")
@@ -145,8 +151,9 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(folder)
+        gc.disable()  # many small lists without cycles
         for b in batches:
-            ids = pa.array([c.encode(x) for x in b.column(1).to_pylist()], type=pa.list_(pa.int32()))
+            ids = pa.array(c.encode_batch(b.column(1).to_pylist()), type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), ids], schema=schema)
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, ids array<int>")
@@ -158,8 +165,9 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(folder)
+        gc.disable()  # many small lists without cycles
         for b in batches:
-            n = pa.array([len(c.encode(x)) for x in b.column(1).to_pylist()], type=pa.int64())
+            n = pa.array([len(x) for x in c.encode_batch(b.column(1).to_pylist())], type=pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), n], schema=schema)
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, n_tokens long")
