@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import conversations, cooccur, encode, packing
+from engramlake.llm import conversations, cooccur, encode, neardup, packing
 from engramlake.session import cut
 from engramlake.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neardup.NearDuplicates(neardup.records_of(table(spark, d, "documents"), table(spark, d, "memory_atoms")), threshold=0.7, min_words=8)
+    kind = F.when(F.col("kind") == 0, F.lit("document")).otherwise(F.lit("atom"))
+    return near.record_pairs().select(kind.alias("record_kind"), "id_a", "id_b")
+
+
 def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return conversations.turns(table(spark, d, "messages"), table(spark, d, "sessions"))
 
