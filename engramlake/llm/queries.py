@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import conversations, cooccur, encode, neardup, packing
+from engramlake.llm import conversations, cooccur, encode, names, neardup, packing
 from engramlake.session import cut
 from engramlake.tables import table
 
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.record_pairs().select(kind.alias("record_kind"), "id_a", "id_b")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.entity_pairs(table(spark, d, "graph_nodes"))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entity_groups(table(spark, d, "graph_nodes"))
+
+
 def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return conversations.turns(table(spark, d, "messages"), table(spark, d, "sessions"))
 
