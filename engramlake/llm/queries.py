@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import conversations, cooccur, encode, names, neardup, packing
+from engramlake.llm import abuse, conversations, cooccur, encode, names, neardup, packing
 from engramlake.session import cut
 from engramlake.tables import table
 
@@ -54,6 +54,19 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "context_windows"))
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(abuse.score_documents(table(spark, d, "documents")))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.source_rates(docs, abuse.score_documents(docs))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
