@@ -150,7 +150,7 @@ def _unblock(b: bytes, z: zstandard.ZstdDecompressor) -> tuple[np.ndarray, ...]:
 
 
 def _bag_stage(min_words: int):
-    schema = pa.schema([("bag", pa.int64()), ("p", pa.struct([("rec", pa.int64()), ("size", pa.int64()), ("elems", pa.list_(pa.int32()))]))])
+    schema = pa.schema([pa.field("bag", pa.int64(), False), ("p", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -163,7 +163,7 @@ def _bag_stage(min_words: int):
             rec = rec[rows]
             ends = np.cumsum(sizes)
             raw = elems.view(np.int32)
-            keys, offs, keep = np.empty(len(rows), np.int64), [0], np.zeros(len(rows), bool)
+            keys, keep = np.empty(len(rows), np.int64), np.zeros(len(rows), bool)
             for i, (e, n, r) in enumerate(zip(ends, sizes, rec)):
                 k = xxhash.xxh3_64_intdigest(raw[e - n : e].tobytes(), seed=int(r & 1))
                 keys[i] = k - (1 << 64) if k >> 63 else k
@@ -172,12 +172,16 @@ def _bag_stage(min_words: int):
                     keep[i] = True
             if len(sent) > 1_000_000:
                 sent.clear()
-            lens = np.where(keep, sizes, 0)
-            offs = np.r_[0, np.cumsum(lens)].astype(np.int32)
-            vals = raw[np.repeat(keep, sizes)]
-            lists = pa.ListArray.from_arrays(pa.array(offs, mask=np.r_[~keep, False]), pa.array(vals))
-            p = pa.StructArray.from_arrays([pa.array(rec), pa.array(sizes), lists], names=["rec", "size", "elems"])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), p], schema=schema)
+            lens = np.where(keep, sizes, 0) + 3
+            offs = np.r_[0, np.cumsum(lens)]
+            vals = np.empty(offs[-1], np.int32)
+            head = offs[:-1]
+            vals[head], vals[head + 1], vals[head + 2] = rec >> 32, (rec & 0xFFFFFFFF).astype(np.uint32).view(np.int32), sizes
+            body = np.ones(len(vals), bool)
+            body[np.r_[head, head + 1, head + 2]] = False
+            vals[body] = raw[np.repeat(keep, sizes)]
+            lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(vals))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), lists], schema=schema)
 
     return run
 
@@ -275,9 +279,13 @@ class NearDuplicates:
         spark = records.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         flat = records.select((F.col("id").cast("long") * 2 + F.col("kind")).alias("rec"), "text")
-        bags = flat.mapInArrow(_bag_stage(min_words), "bag long, p struct<rec:long, size:long, elems:array<int>>").repartition(parts, "bag")
-        self.members = bags.select("bag", F.col("p.rec").alias("rec"))
-        self.reps = bags.where("p.elems is not null").select("bag", (F.col("p.size") * 2 + F.col("p.rec") % 2).alias("size"), F.col("p.elems").alias("elems")).dropDuplicates(["bag"])
+        # one opaque array a row (id in two halves, size, elements): no filter or pruning can move below
+        # the exchange, so that every use is the same exchange
+        bags = flat.mapInArrow(_bag_stage(min_words), "bag long not null, p array<int>").repartition(parts, "bag")
+        rec = F.shiftleft(F.col("p")[0].cast("long"), 32).bitwiseOR(F.col("p")[1].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        self.members = bags.select("bag", rec.alias("rec"))
+        whole = bags.groupBy("bag").agg(F.max_by("p", F.size("p")).alias("p"))
+        self.reps = whole.select("bag", (F.col("p")[2].cast("long") * 2 + F.col("p")[1].bitwiseAND(F.lit(1))).alias("size"), F.expr("slice(p, 4, size(p))").alias("elems"))
         blocks = self.reps.mapInArrow(_forest_stage(prefix_depth(threshold, trees, recall), trees, parts), "part int, block binary").repartition(parts, "part")
         self.candidates = blocks.mapInArrow(_pair_stage(threshold), "ka long, kb long").distinct()
 
