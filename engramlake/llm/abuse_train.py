@@ -15,7 +15,8 @@ import numpy as np
 
 from engramlake.llm import abuse
 
-MAX_CLEAN, LANDMARKS, PER_TEMPLATE = 4000, 600, 40
+MAX_CLEAN, PER_TEMPLATE = 4000, 40
+LANDMARKS = {"case": 5, "near": 2, "clean": 200}  # for each template, and from clean documents
 
 GROUPS = "Tolvenes Qashti Drunnfolk Ostrimi Velkari Marruvians Kettrans Zholmi Pardesh Ulvarians Morfolk Istrani Belkush Havrians".split()
 THINGS = {
@@ -389,8 +390,13 @@ def train(clean_texts: list[str], path: str = abuse.MODEL, seed: int = 5) -> Non
     texts, lab = training_windows(sentences, y, rng, clean)
     texts, lab = texts + clean, np.r_[lab, np.full(len(clean), -2)]
     rows = matrix(texts)
-    pos = np.flatnonzero(lab >= 0)
-    pick = np.r_[np.random.default_rng(seed).choice(pos, LANDMARKS * 2 // 3, False), np.random.default_rng(seed + 1).choice(np.flatnonzero(lab < 0), LANDMARKS // 3, False)]
+    pick_rng = np.random.default_rng(seed)
+    made = np.arange(len(sentences)) // PER_TEMPLATE  # the template of each written sentence
+    pick = [np.flatnonzero(lab == -2)[: LANDMARKS["clean"]]]
+    for t in range(made[-1] + 1):
+        own = np.flatnonzero(made == t)
+        pick.append(pick_rng.choice(own, LANDMARKS["case" if lab[own[0]] >= 0 else "near"], False))
+    pick = np.concatenate(pick)
     land = np.zeros((1 << abuse.BITS, len(pick)), np.float32)
     for j, p in enumerate(pick):
         np.add.at(land[:, j], rows[p][0], rows[p][1])
