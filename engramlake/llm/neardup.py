@@ -283,7 +283,7 @@ class NearDuplicates:
         # the exchange, so that every use is the same exchange
         bags = flat.mapInArrow(_bag_stage(min_words), "bag long not null, p array<int>").repartition(parts, "bag")
         rec = F.shiftleft(F.col("p")[0].cast("long"), 32).bitwiseOR(F.col("p")[1].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-        self.members = bags.select("bag", rec.alias("rec"))
+        self.members = bags.select("bag", F.coalesce(rec, F.lit(0).cast("long")).alias("rec"))  # not null, so that no null test moves down
         whole = bags.groupBy("bag").agg(F.max_by("p", F.size("p")).alias("p"))
         self.reps = whole.select("bag", (F.col("p")[2].cast("long") * 2 + F.col("p")[1].bitwiseAND(F.lit(1))).alias("size"), F.expr("slice(p, 4, size(p))").alias("elems"))
         blocks = self.reps.mapInArrow(_forest_stage(prefix_depth(threshold, trees, recall), trees, parts), "part int, block binary").repartition(parts, "part")
