@@ -34,6 +34,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.llm.components import connected_components
+from engramlake.session import cut
+
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 TREES, MAX_DEPTH, POOL, RECALL = 64, 12, 224, 0.99
 FLUSH = 20_000
@@ -297,6 +300,16 @@ class NearDuplicates:
         met = met.withColumn("total", F.col("na") + F.col("nb") - F.col("common"))
         return met.where(F.col("common") >= F.lit(self.threshold) * F.col("total") - 1e-9).select("ka", "kb", "common", "total")
 
+    def classes(self) -> DataFrame:
+        """``record_kind, id, class_id, n_links``: every record, the class of its bag and the links between
+        its bag and different ones; copies share both. A record alone is its own class."""
+        pairs = cut(self.bag_pairs().select("ka", "kb"))
+        comp = connected_components(pairs.select(F.col("ka").alias("u"), F.col("kb").alias("v")))
+        deg = pairs.select(F.col("ka").alias("bag")).unionAll(pairs.select("kb")).groupBy("bag").agg(F.count(F.lit(1)).alias("n_links"))
+        m = self.members.join(comp.withColumnRenamed("vertex", "bag"), "bag", "left").join(deg, "bag", "left")
+        kind = F.when(F.col("rec") % 2 == 0, "document").otherwise("atom")
+        return m.select(kind.alias("record_kind"), F.expr("rec div 2").alias("id"), F.coalesce("component", "bag").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
     def record_pairs(self) -> DataFrame:
         """``kind, id_a, id_b`` of all pairs of records, copies expanded."""
         m = self.members

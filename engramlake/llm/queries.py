@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import abuse, conversations, cooccur, encode, names, neardup, packing
+from engramlake.llm import abuse, conversations, cooccur, encode, names, neardup, packing, pii
 from engramlake.session import cut
 from engramlake.tables import table
 
@@ -16,6 +16,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.record_pairs().select(kind.alias("record_kind"), "id_a", "id_b")
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    near = neardup.NearDuplicates(neardup.records_of(table(spark, d, "documents"), table(spark, d, "memory_atoms")), threshold=0.8)
+    return near.classes()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "messages"), table(spark, d, "documents"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "messages"), table(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.entity_pairs(table(spark, d, "graph_nodes"))
 
