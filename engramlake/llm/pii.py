@@ -29,7 +29,7 @@ TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 K = len(TAGS)
 T, STEP, ROWS = 256, 224, 384
-HIDDEN = 16
+HIDDEN = 24
 # Frequent given names, a gazetteer feature of the model.
 GIVEN = """Abigail Alexander Alexandra Amanda Amara Anastasia Anthony Astrid Barbara Benjamin Boris Bruno Carmen Chiara Christopher Clara Cynthia Daniel Deborah Diego Dmitri Edward Ekaterina Eleanor Elena Elizabeth
 Farid Felix Francesca Francisco Frederick Gabriella Gregory Greta Guadalupe Hugo Ignacio Ingrid Irina Isabella Jeffrey Jennifer Jessica Johannes Jonas Jonathan Joseph Josephine Katherine Kenji Kenneth Kofi
@@ -249,7 +249,7 @@ def tag_stream(m: dict, x: np.ndarray) -> np.ndarray:
 MAIL = r"[A-Za-z0-9_.+\-]+\s*(?:@|\(at\)|\[at\]|\sat\s)\s*[A-Za-z0-9_\-]+(?:\s*(?:\.|\[dot\]|\(dot\)|\sdot\s)\s*[A-Za-z][A-Za-z0-9\-]+)+"
 CHECK = {
     "email": re.compile(MAIL, re.I),
-    "phone": re.compile(r"(?<![0-9A-Za-z.])(?:\+|00)?\(?\d(?:[ ()./\-]{0,2}\d){6,14}(?![0-9A-Za-z])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z.])(?!(?:19|20)\d\d-\d\d-\d\d(?!\d))(?:\+|00)?\(?\d(?:[ ()./\-]{0,2}\d){6,14}(?![0-9A-Za-z])"),
     "id_number": re.compile(r"(?<![0-9A-Za-z])(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|[XYZ]?-?\d[\d.]{5,10}-?[A-Z]|[A-Z]\d{7,9}|(?=(?:[A-Z]?\d){5})[A-Z][A-Z0-9]{7,9}|(?!(?:19|20)\d\d-\d\d-\d\d(?!\d))\d(?:[ \-]?\d){7,17}[Xx]?)(?![0-9A-Za-z])"),
     "street_address": re.compile(r"(?=.*(?:\d|号))(?=.*(?:[A-ZА-Яa-zа-яäöüßáéíóúñ]{4}|[一-鿿]{3}))\S.*\S", re.S),
     "person_name": re.compile(r"[^\W\d_]"),

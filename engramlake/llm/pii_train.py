@@ -17,7 +17,7 @@ import numpy as np
 
 from engramlake.llm import pii
 
-MAX_PLAIN, WINDOWS, EPOCHS, BATCH, LENGTH = 60000, 36000, 8, 256, 96
+MAX_PLAIN, WINDOWS, EPOCHS, BATCH, LENGTH = 60000, 30000, 7, 256, 96
 SYL = [c + v for c in "b br d f g gr h j k kw l m n p r s st t tr v z".split() for v in "aeiou"]
 HAN_GIVEN = "岚澄彦笙予知舟汐霁禾川宁屿棠远安嘉晨宇轩涵梓欣怡雨泽浩然子墨思琪俊杰文静婷雪峰磊洋明亮佳慧敏辉健超颖丽娜芳强军伟平华建国清若兮念初遥望星月言书意白青木南北山海一诺"
 HAN_PLACE = "竹星海松月云明石风兰青安"
@@ -304,7 +304,7 @@ def crf(e: np.ndarray, a: np.ndarray, y: np.ndarray):
     return (z.sum() - gold) / n, (de / n * steps).astype(np.float32), (da / n * steps).astype(np.float32)
 
 
-def train(texts: list[str], path: str = pii.MODEL, seed: int = 11, seconds: float = 540) -> None:
+def train(texts: list[str], path: str = pii.MODEL, seed: int = 11, seconds: float = 420) -> None:
     rng, g = random.Random(seed), np.random.default_rng(seed)
     plain = plain_sentences(texts)
     for k in plain:
