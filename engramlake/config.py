@@ -14,11 +14,11 @@ FACTUAL_TERMS = ["是什么", "什么是", "解释", "定义", "怎么", "如何
 
 # Patterns of the atom classes, an own set for the languages of the tables; Java and RE2 read them alike.
 ATOM_PATTERNS = {
-    "planned": r"(明天|后天|下周|下个月|明年|之前|截止|\bwill\b|\bplans? to\b|promised to|going to|\bbefore\b|antes del|piensa|wird |plant|bis zum|собирается|планирует|до \d)",
-    "preference": r"(喜欢|讨厌|偏好|最爱|\bprefers?\b|\blikes?\b|dislikes?|\bloves?\b|\bhates?\b|prefiere|le gusta|\bmag\b|bevorzugt|любит|предпочитает)",
-    "relational": r"(同事|朋友|同学|家人|邻居|室友|合作|\bfriends?\b|colleague|neighbo|teammate|together with|classmate|amigo|vecina|compañer|Kollege|Nachbar|Freund|коллега|сосед|друг)",
-    "factual": r"(位于|属于|包括|意味|\bis\b|\bare\b|\bhas\b|\bcosts?\b|\bkeeps?\b|\bstores?\b|belongs to| es | cuesta| ist | kostet|стоит)",
-    "episodic": r"(昨天|前天|上周|去了|参加|完成|\bwas\b|\bwent\b|\bmoved\b|\blost\b|\bvisited\b|\bfinished\b|\bcame\b|fue|perdió| war |ging|verlor|потерял|был)",
+    "planned": r"(明天|后天|下周|下个月|明年|之前|截止|(^|[^A-Za-z])will([^A-Za-z]|$)|(^|[^A-Za-z])plans? to([^A-Za-z]|$)|promised to|going to|(^|[^A-Za-z])before([^A-Za-z]|$)|antes del|piensa|wird |plant|bis zum|собирается|планирует|до \d)",
+    "preference": r"(喜欢|讨厌|偏好|最爱|(^|[^A-Za-z])prefers?([^A-Za-z]|$)|(^|[^A-Za-z])likes?([^A-Za-z]|$)|dislikes?|(^|[^A-Za-z])loves?([^A-Za-z]|$)|(^|[^A-Za-z])hates?([^A-Za-z]|$)|prefiere|le gusta|(^|[^A-Za-z])mag([^A-Za-z]|$)|bevorzugt|любит|предпочитает)",
+    "relational": r"(同事|朋友|同学|家人|邻居|室友|合作|(^|[^A-Za-z])friends?([^A-Za-z]|$)|colleague|neighbo|teammate|together with|classmate|amigo|vecina|compañer|Kollege|Nachbar|Freund|коллега|сосед|друг)",
+    "factual": r"(位于|属于|包括|意味|(^|[^A-Za-z])is([^A-Za-z]|$)|(^|[^A-Za-z])are([^A-Za-z]|$)|(^|[^A-Za-z])has([^A-Za-z]|$)|(^|[^A-Za-z])costs?([^A-Za-z]|$)|(^|[^A-Za-z])keeps?([^A-Za-z]|$)|(^|[^A-Za-z])stores?([^A-Za-z]|$)|belongs to| es | cuesta| ist | kostet|стоит)",
+    "episodic": r"(昨天|前天|上周|去了|参加|完成|(^|[^A-Za-z])was([^A-Za-z]|$)|(^|[^A-Za-z])went([^A-Za-z]|$)|(^|[^A-Za-z])moved([^A-Za-z]|$)|(^|[^A-Za-z])lost([^A-Za-z]|$)|(^|[^A-Za-z])visited([^A-Za-z]|$)|(^|[^A-Za-z])finished([^A-Za-z]|$)|(^|[^A-Za-z])came([^A-Za-z]|$)|fue|perdió| war |ging|verlor|потерял|был)",
 }
 ATOM_CONFIDENCE = {"planned": 0.85, "preference": 0.82, "relational": 0.80, "factual": 0.78, "episodic": 0.75, "unknown": 0.60}
 TTL_BASE = {"episodic": (7.0, "exponential"), "planned": (2.0, "step"), "factual": (180.0, "exponential"), "relational": (90.0, "linear"), "preference": (60.0, "exponential"), "unknown": (30.0, "exponential")}

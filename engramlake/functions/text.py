@@ -18,7 +18,7 @@ def fold(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\t\n\x0B\f\r \p{Z}]+", " "))
 
 
 def clean_text(c: Column) -> Column:

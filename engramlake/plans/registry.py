@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from engramlake.plans import queries as q
+
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from engramlake.plans import queries as q
+
+    return dict(q.SQL)
