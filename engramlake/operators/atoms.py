@@ -12,8 +12,10 @@ from engramlake.functions import text as T
 
 def current(atoms: DataFrame) -> DataFrame:
     """One row for each id: the latest delivery (last access, then reinforcement, then content)."""
-    w = Window.partitionBy("id").orderBy(F.desc_nulls_last("last_accessed_at"), F.desc_nulls_last("reinforcement_count"), F.asc_nulls_last("content"))
-    return atoms.where("id is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    inf = F.lit(float("inf"))
+    order = F.struct(F.coalesce(-F.col("last_accessed_at"), inf), F.coalesce(-F.col("reinforcement_count").cast("double"), inf), F.col("content").isNull(), "content")
+    cols = [c for c in atoms.columns if c != "id"]
+    return atoms.where("id is not null").groupBy("id").agg(F.min_by(F.struct(*cols), order).alias("_a")).select("id", "_a.*")
 
 
 def atomise(mem: DataFrame, as_of: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import temporal
 from engramlake.functions import text as T
+from engramlake.operators.ranks import bucketed_rank
 
 
 def clean(messages: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def last_n(messages: DataFrame, n: int = 5, sender: str | None = None) -> DataFr
 
 def slice_of(messages: DataFrame, offset: int, limit: int) -> DataFrame:
     """Messages offset..offset+limit of each session, by time."""
-    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("at"), "id")
-    return messages.where("session_id is not null").withColumn("pos", F.row_number().over(w) - 1).where((F.col("pos") >= offset) & (F.col("pos") < offset + limit))
+    m = bucketed_rank(messages.where("session_id is not null"), ["session_id"], F.floor(F.col("at") / 3600), [F.asc_nulls_first("at"), "id"])
+    return m.withColumn("pos", F.col("pos") - 1).where((F.col("pos") >= offset) & (F.col("pos") < offset + limit))
 
 
 def search(messages: DataFrame, keyword: str) -> DataFrame:
@@ -74,8 +75,7 @@ def reset_cursor(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 def trim(messages: DataFrame, sessions: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Deletes the oldest min(n, cursor) rows of each session and moves the cursor back."""
     c = cursor(sessions).select("session_id", "cursor")
-    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("at"), "id")
-    m = messages.where("session_id is not null").withColumn("pos", F.row_number().over(w)).join(c, "session_id", "left")
+    m = bucketed_rank(messages.where("session_id is not null"), ["session_id"], F.floor(F.col("at") / 3600), [F.asc_nulls_first("at"), "id"]).join(c, "session_id", "left")
     cut = F.least(F.lit(n), F.coalesce("cursor", F.lit(0)))
     return m.where(F.col("pos") > cut).drop("pos", "cursor"), c.select("session_id", (F.col("cursor") - F.least(F.lit(n), F.col("cursor"))).alias("cursor"))
 

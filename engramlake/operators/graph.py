@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import text as T
+from engramlake.operators.ranks import bucketed_rank
 from engramlake.operators.retrieval import minmax, top
 from engramlake.session import cut, drop_cut
 
@@ -47,15 +48,14 @@ def extract_edges(mem: DataFrame) -> DataFrame:
 
 
 def merge_edges(obs: DataFrame, seq: str = "memory_id") -> DataFrame:
-    """Moving averages of repeated edges, in closed form: one window, no ordered fold.
+    """Moving averages of repeated edges, in closed form: ranks in blocks of ids, no ordered fold.
 
     confidence: 0.7 of the old and 0.3 of the new, the first counts whole; weight: first plus 0.15
     of the others.
     """
     keys = ["source_key", "target_key", "relation_type"]
-    w = Window.partitionBy(*keys)
-    n = F.row_number().over(w.orderBy(seq)) - 1
-    df = obs.withColumn("_i", n).withColumn("_n", F.count(F.lit(1)).over(w) - 1)
+    df = bucketed_rank(obs, keys, F.floor(F.col(seq) / 10_000), [seq], "_i").withColumn("_i", F.col("_i") - 1)
+    df = df.join(obs.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_n")), keys)
     share = F.when(F.col("_i") == 0, 1.0).otherwise(0.3) * F.pow(F.lit(0.7), F.col("_n") - F.col("_i"))
     weight = F.when(F.col("_i") == 0, 1.0).otherwise(0.15)
     wt = F.col("weight") if "weight" in obs.columns else F.lit(1.0)

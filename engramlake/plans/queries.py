@@ -648,7 +648,7 @@ def import_dedup(s, d):
     return L.import_plan(m.where("memory_id % 2 = 0").withColumnRenamed("memory_id", "entry_id"), m.where("memory_id % 2 = 1 and memory_id % 3 = 0"))
 
 
-@query(f"""with {MEM}, t as (select memory_id from mem where text is not null and trim(text) <> '' and memory_id % 13 <> 0), v as (select vec_id memory_id from embeddings), a as (select memory_id from mem where status = 'active')
+@query(f"""with {MEM}, t as (select memory_id from mem where text is not null and trim(text, ' ') <> '' and memory_id % 13 <> 0), v as (select vec_id memory_id from embeddings), a as (select memory_id from mem where status = 'active')
 select (select count(*) from a) n_active, (select count(*) from a where memory_id not in (select memory_id from t)) missing_text, (select count(*) from a where memory_id not in (select memory_id from v)) missing_vector, (select count(*) from t where memory_id not in (select memory_id from mem)) orphan_text, (select count(*) from v where memory_id not in (select memory_id from mem)) orphan_vector, 'full' as mode""")
 def index_consistency(s, d):
     m = mems(s, d)
@@ -716,9 +716,9 @@ def msg_trim(s, d):
     return C.trim(msgs(s, d), table(s, d, "sessions"), 4)[0].select("session_id", "id")
 
 
-@query(f"select session_id from sessions where coalesce(last_active_at, created_at, 0.0) < {AS_OF} - 200 * 86400.0")
+@query(f"select session_id from sessions where coalesce(last_active_at, created_at, 0.0) < {AS_OF} - 100 * 86400.0")
 def session_ttl(s, d):
-    return C.expired(table(s, d, "sessions"), AS_OF, 200 * 86400.0)
+    return C.expired(table(s, d, "sessions"), AS_OF, 100 * 86400.0)
 
 
 @query(f"with {MSG}, {CUR}, n as (select session_id, count(*) n from msg group by 1) select cur.session_id, c as cursor, case when c > coalesce(n, 0) then 0 else c end new_cursor from cur left join n using (session_id)")
@@ -775,6 +775,6 @@ def session_windows(s, d):
     return S.sessions(table(s, d, "events"))
 
 
-@query(f"with {MSG} select id from msg where content is not null and trim(content) <> '' and not coalesce(sender_id = 'bot', false) and group_id is not null")
+@query(f"with {MSG} select id from msg where content is not null and trim(content, ' ') <> '' and not coalesce(sender_id = 'bot', false) and group_id is not null")
 def capture_filter(s, d):
     return S.captured(msgs(s, d)).select("id")
