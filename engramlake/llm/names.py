@@ -224,7 +224,8 @@ def attribution(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = v.join(c, ["kind", "key"]).where("v_rep <> c_rep").select("v_rep", "v", "v_freq", "c_rep", "c", "c_freq").distinct()
     fit = cut(met.mapInArrow(_score_stage, "v_rep long, v string, v_freq long, c_rep long, c string, c_freq long, loglik double").where("loglik is not null"))
     support = fit.groupBy("c_rep").agg(F.sum("v_freq").alias("near"))
-    whole = F.when(F.col("form").startswith("full") | F.col("form").startswith("org"), 1).otherwise(0)
+    # a domain names no kind of business: it attaches, but carries no two kinds together
+    whole = F.when(F.col("form").startswith("full") | (F.col("form").startswith("org") & ~F.endswith("form", F.lit("\t"))), 1).otherwise(0)
     ranked = spelled.join(support, spelled.rep == support.c_rep, "left").select("rep", (F.col("freq") + F.coalesce("near", F.lit(0))).alias("prior"), whole.alias("whole"))
     both = fit.join(ranked.select(F.col("rep").alias("v_rep"), F.struct("whole", "prior", (-F.col("rep")).alias("r")).alias("v_rank")), "v_rep")
     both = both.join(ranked.select(F.col("rep").alias("c_rep"), F.col("prior").alias("c_prior"), F.struct("whole", "prior", (-F.col("rep")).alias("r")).alias("c_rank")), "c_rep").where("c_rank > v_rank")

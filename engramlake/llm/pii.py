@@ -29,6 +29,7 @@ TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 K = len(TAGS)
 T, STEP, ROWS = 256, 224, 384
+PART, RIM = 64, 20
 HIDDEN = 24
 # Frequent given names, a gazetteer feature of the model.
 GIVEN = """Abigail Alexander Alexandra Amanda Amara Anastasia Anthony Astrid Barbara Benjamin Boris Bruno Carmen Chiara Christopher Clara Cynthia Daniel Deborah Diego Dmitri Edward Ekaterina Eleanor Elena Elizabeth
@@ -107,14 +108,13 @@ def token_hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b = edge[::2], edge[1::2]
     if not len(a):
         return a, np.zeros(0, np.uint32), a
-    n = np.minimum(b - a, 40)
-    pos = np.arange(len(x), dtype=np.int64)
+    n = b - a
     powers = np.cumprod(np.r_[1, np.full(63, 0x01000193)].astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    start_of = np.zeros(len(x), np.int64)
-    start_of[a] = a
-    np.maximum.accumulate(start_of, out=start_of)
-    val = np.where(is_l, low[x].astype(np.uint32) * powers[np.minimum(pos - start_of, 63)], np.uint32(0)).astype(np.uint32)
-    return a, np.add.reduceat(val, a, dtype=np.uint32), n
+    at = np.flatnonzero(is_l)
+    ends = np.cumsum(n)
+    pos = np.arange(len(at)) - np.repeat(ends - n, n)
+    val = low[x[at]] * powers[np.minimum(pos, 63)]
+    return a, np.add.reduceat(val, ends - n, dtype=np.uint32), n
 
 
 def stream(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -135,56 +135,65 @@ def inputs(x: np.ndarray, han: np.ndarray, common: np.ndarray) -> np.ndarray:
         ids[hans] = np.where(han[at] == x[hans], BASE + at, 231)
     flag = np.zeros(len(x) + 1, np.int8)
     a, h, n = token_hashes(x)
+    bits = np.zeros(len(a), np.int8)
     for bit, lex in ((1, gazetteer()), (2, common)):
         if len(lex) and len(a):
             at = np.searchsorted(lex, h)
             at[at == len(lex)] = 0
-            hit = lex[at] == h
-            np.add.at(flag, a[hit], bit)
-            np.add.at(flag, (a + n)[hit], -bit)
-    return ids * 4 + np.cumsum(flag[:-1], dtype=np.int64).astype(np.int32)
+            bits += np.where(lex[at] == h, np.int8(bit), np.int8(0))
+    flag[a] = bits  # words start and end at different places, and never touch
+    flag[a + n] -= bits
+    ids *= 4
+    ids += np.cumsum(flag[:-1], dtype=np.int32)
+    return ids
 
 
 def fast_weights(m: dict) -> dict:
-    """Transposed weights, gates scaled so that a clip is the hard sigmoid."""
+    """Gates scaled so that a clip is the hard sigmoid."""
     h = m["Uf"].shape[0]
     out = {}
-    for n, d in enumerate("fb"):
-        x, u = m["X" + d].T.copy(), m["U" + d].T.copy()
-        x[: 3 * h] = 0.25 * x[: 3 * h] + 0.5
-        u[: 3 * h] *= 0.25
-        out[d] = np.ascontiguousarray(x, np.float32), np.ascontiguousarray(u, np.float32), np.ascontiguousarray(m["W"][n * h : (n + 1) * h].T)
+    for d in "fb":
+        x, u = m["X" + d].copy(), m["U" + d].copy()
+        x[:, : 3 * h] = 0.25 * x[:, : 3 * h] + 0.5
+        u[:, : 3 * h] *= 0.25
+        out[d] = np.ascontiguousarray(x, np.float32), np.ascontiguousarray(u, np.float32)
     return out
 
 
 def emissions(m: dict, ids: np.ndarray) -> np.ndarray:
-    """``T x K x B`` scores of the tags for windows ``T x B``; a gate is one contiguous block."""
+    """``T x K x B`` scores of the tags for windows ``T x B``.
+
+    Bounds are full arrays: numpy compares arrays much faster than an array and a number.
+    """
     steps, b = ids.shape
     h = m["Uf"].shape[0]
     fast = m.get("fast") or m.setdefault("fast", fast_weights(m))
-    out = np.empty((steps, K, b), np.float32)
-    out[:] = m["b"][:, None]
-    z, r, e = np.empty((4 * h, b), np.float32), np.empty((4 * h, b), np.float32), np.empty((K, b), np.float32)
-    i, f, o, g, gates = z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :], z[: 3 * h]
-    for d in "fb":
-        xt, ut, wt = fast[d]
-        hs, cs = np.zeros((h, b), np.float32), np.zeros((h, b), np.float32)
+    z, r = np.empty((b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32)
+    low, one, minus = np.zeros((b, 4 * h), np.float32), np.ones((b, 4 * h), np.float32), np.full((b, h), -1, np.float32)
+    low[:, 3 * h :] = -1
+    ones = np.ones((b, h), np.float32)
+    i, f, o, g = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
+    keep = np.empty((steps, b, h), np.float32)
+    out = np.zeros((K, steps * b), np.float32)
+    for n, d in enumerate("fb"):
+        xp, u = fast[d]
+        hs, cs = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            np.take(xt, ids[t], axis=1, out=z, mode="clip")
-            np.dot(ut, hs, out=r)
+            np.take(xp, ids[t], axis=0, out=z, mode="clip")
+            np.dot(hs, u, out=r)
             z += r
-            np.maximum(gates, 0, out=gates)
-            np.minimum(z, 1, out=z)
-            np.maximum(g, -1, out=g)
+            np.maximum(z, low, out=z)
+            np.minimum(z, one, out=z)
             cs *= f
             g *= i
             cs += g
-            np.minimum(cs, 1, out=hs)
-            np.maximum(hs, -1, out=hs)
+            hs = keep[t]
+            np.minimum(cs, ones, out=hs)
+            np.maximum(hs, minus, out=hs)
             hs *= o
-            np.dot(wt, hs, out=e)
-            out[t] += e
-    return out
+        out += np.dot(np.ascontiguousarray(m["W"][n * h : (n + 1) * h].T), keep.reshape(-1, h).T)
+    out += m["b"][:, None]
+    return out.reshape(K, steps, b).transpose(1, 0, 2)
 
 
 # transitions that the tags allow: anything to O and to a beginning, an inside only from its own type
@@ -195,8 +204,7 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Best tag paths ``T x B`` from ``T x K x B``; the way back is found again from the scores."""
     steps, k, b = e.shape
     s = np.empty((steps, k, b), np.float32)
-    s[0] = e[0]
-    s[0, 2::2] = -1e4
+    s[0] = e[0]  # a window may begin inside a span
     cols = [np.ascontiguousarray(trans[:, j])[:, None] for j in range(k)]
     tmp, two = np.empty((k, b), np.float32), np.empty(b, np.float32)
     for t in range(1, steps):
@@ -234,15 +242,18 @@ def tag_stream(m: dict, x: np.ndarray) -> np.ndarray:
     for w0 in range(0, wins, ROWS):
         first = np.arange(w0, min(wins, w0 + ROWS)) * STEP
         e = emissions(m, np.ascontiguousarray(pad[first[None, :] + np.arange(T)[:, None]]))
-        lead = e[:, 1:].max(1) - e[:, 0]
-        live = np.flatnonzero((lead > -gain).any(0))
-        if not len(live):
-            continue
-        path = viterbi(e if len(live) == e.shape[2] else np.ascontiguousarray(e[:, :, live]), trans)
-        for j, w in enumerate(live):  # the middle of a window is its own; its rims belong to neighbours
-            lo = 0 if w0 + w == 0 else cut
-            hi = T if w0 + w == wins - 1 else T - cut
-            tags[first[w] + lo : first[w] + hi] = path[lo:hi, j]
+        hot = e[:, 1:].max(1) - e[:, 0] > -gain
+        # the middle of a window is its own and is decoded in parts with a rim; rims belong to neighbours
+        for lo in range(0, T, PART):
+            a, b = max(0, lo - RIM), min(T, lo + PART + RIM)
+            live = np.flatnonzero(hot[a:b].any(0))
+            if not len(live):
+                continue
+            path = viterbi(np.ascontiguousarray(e[a:b, :, live]), trans)
+            at = first[live][None, :] + np.arange(lo, lo + PART)[:, None]
+            own = np.arange(lo, lo + PART)
+            mine = ((own >= cut) & (own < T - cut))[:, None] | ((at < cut) & (w0 == 0)) | (at >= (wins - 1) * STEP + T - cut)
+            tags[at[mine]] = path[lo - a : lo - a + PART][mine]
     return tags[:n]
 
 
