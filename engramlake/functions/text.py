@@ -138,3 +138,25 @@ def content_to_text(c: Column) -> Column:
     parts = F.from_json(c, "array<struct<type:string,text:string>>")
     shown = F.transform(parts, lambda p: F.when(p["type"] == "text", p["text"]).otherwise(F.concat(F.lit("["), F.coalesce(p["type"], F.lit("media")), F.lit("]"))))
     return F.when(F.trim(c).startswith("[{") & parts.isNotNull(), F.array_join(F.filter(shown, lambda s: s.isNotNull()), " ")).otherwise(c)
+
+
+def chat_lines(c: Column) -> Column:
+    """``[name | HH:MM] text`` lines as structs of speaker, time and text; other lines are left out."""
+    pat = r"^\[([^|\]]+) \| ([0-9]{2}:[0-9]{2})\] (.*)$"
+    lines = F.filter(F.split(c, "\n"), lambda x: x.rlike(pat))
+    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pat, 1).alias("speaker"), F.regexp_extract(x, pat, 2).alias("said_at"), F.regexp_extract(x, pat, 3).alias("said")))
+
+
+def fingerprint(*cols: Column) -> Column:
+    """SHA-256 of the settings as a JSON object in a fixed order."""
+    return F.sha2(F.to_json(F.struct(*cols)), 256)
+
+
+def clamp_k(k: Column, most: int, default: int = 5) -> Column:
+    """The number of results asked for, between 1 and ``most``."""
+    return F.least(F.lit(most), F.greatest(F.lit(1), F.coalesce(k, F.lit(default))))
+
+
+def patch(old: Column, new: Column) -> Column:
+    """A patched value: the new one where it is given."""
+    return F.coalesce(new, old)

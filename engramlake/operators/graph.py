@@ -204,3 +204,33 @@ def communities(edges: DataFrame, hubs: int = 6, rounds: int = 8) -> DataFrame:
         lab = cut(lab.unionByName(step))
     rest = both.select(F.col("a").alias("node_key")).distinct().join(lab.select("node_key"), "node_key", "left_anti").withColumn("community", F.lit(-1))
     return lab.unionByName(rest)
+
+
+def extract_atom_edges(atoms: DataFrame) -> DataFrame:
+    """Atom mode: each entity of an atom points to the atom's fact with 0.9 of its confidence.
+
+    ``atoms`` has id, parent_memory_id, content, confidence and entities (a JSON list; broken: none).
+    """
+    ents = F.from_json("entities", "array<string>")
+    e = atoms.where("content is not null").select("id", F.col("parent_memory_id").alias("memory_id"), key_of("fact", F.col("content")).alias("target_key"), (F.coalesce("confidence", F.lit(0.6)) * 0.9).alias("confidence"), F.explode(F.array_distinct(F.transform(ents, T.canonical_entity))).alias("entity"))
+    return e.where("entity <> ''").select("id", "memory_id", F.concat(F.lit("entity:"), "entity").alias("source_key"), "target_key", "confidence")
+
+
+def participant_keys(identity: Column, name: Column) -> Column:
+    """A stable account key first, else the name's."""
+    return F.coalesce(F.concat(F.lit("account:"), F.nullif(F.trim(identity), F.lit(""))), F.concat(F.lit("person:"), T.canonical_entity(name)))
+
+
+def graph_fusion(fused: DataFrame, mem: DataFrame, conf: DataFrame, as_of: float, k: int = 10) -> DataFrame:
+    """Graph route: fused score over its maximum, importance, recency, confidence, times a temporal factor.
+
+    A memory without an access falls back to its creation; ``conf`` has memory_id, confidence, temporal.
+    """
+    from engramlake.functions import temporal
+
+    top_ = F.max("rrf_score").over(Window.partitionBy("query_id"))
+    j = fused.withColumn("_m", top_).join(mem.select(F.col("memory_id").alias("doc_id"), "importance", "create_time", "last_access_time"), "doc_id")
+    j = j.join(conf.select(F.col("memory_id").alias("doc_id"), "confidence", "temporal"), "doc_id", "left")
+    rec = temporal.recency(as_of, F.col("create_time"), F.col("last_access_time"))
+    s = (0.55 * F.col("rrf_score") / F.col("_m") + 0.2 * F.col("importance") + 0.15 * rec + 0.1 * F.coalesce("confidence", F.lit(0.5))) * F.coalesce("temporal", F.lit(1.0))
+    return top(j.withColumn("score", s).select("query_id", "doc_id", "score"), k)

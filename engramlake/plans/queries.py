@@ -778,3 +778,148 @@ def session_windows(s, d):
 @query(f"with {MSG} select id from msg where content is not null and trim(content, ' ') <> '' and not coalesce(sender_id = 'bot', false) and group_id is not null")
 def capture_filter(s, d):
     return S.captured(msgs(s, d)).select("id")
+
+
+# ---- further operators ---------------------------------------------------------------------------
+@query("with r as (select session_id, id, content, row_number() over (partition by session_id order by id desc, content) r from (select distinct session_id, id, content from messages where session_id is not null)) select session_id, id, content from r where r = 1")
+def source_upsert(s, d):
+    m = table(s, d, "messages").where("session_id is not null").select("session_id", "id", "content").distinct()
+    return m.groupBy("session_id").agg(F.min_by(F.struct("id", "content"), F.struct(-F.col("id"), "content")).alias("m")).select("session_id", "m.*")
+
+
+@query(f"with {MEM}, f as (select memory_id, text, list_slice({FACTS}, 1, 5) facts from mem where text is not null), g as (select *, ' | ' || array_to_string(facts, '；') tail from f) select memory_id, case when len(facts) > 0 and ends_with(text, tail) then left(text, length(text) - length(tail)) else text end shown from g")
+def display_content(s, d):
+    m = mems(s, d).where("text is not null").select("memory_id", "text", M.facts_of(F.col("text")).alias("facts"))
+    return m.select("memory_id", M.display_content(F.col("text"), F.col("facts"), F.lit(None).cast("string")).alias("shown"))
+
+
+@query(rf"with {MEM} select memory_id, trim(regexp_replace(regexp_replace(text, '(?s)\Q(\E.*?\Q)\E', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ') stripped from mem")
+def strip_injected(s, d):
+    return mems(s, d).select("memory_id", T.strip_injected(F.col("text"), "(", ")").alias("stripped"))
+
+
+@query(f"with {ATOM}, e as (select id, unnest(from_json(case when json_valid(entities) then entities end, '[\"VARCHAR\"]')) x from atom where json_valid(entities) and json_type(entities) = 'ARRAY'), f as (select distinct id, trim(x, ' ') x from e where trim(x, ' ') <> '') select id, count(*) n from f group by 1")
+def entity_counts(s, d):
+    a = A.current(table(s, d, "memory_atoms"))
+    n = F.size(T.edit_list(F.from_json("entities", "array<string>"), 1000))
+    return a.select("id", n.cast("long").alias("n")).where("n > 0")
+
+
+@query(f"with {MEM}, l as (select memory_id, unnest(string_split(text, chr(10))) line from mem), p as (select memory_id, regexp_extract(line, '^\\[([^|\\]]+) \\| ([0-9]{{2}}:[0-9]{{2}})\\] (.*)$', 1) speaker, regexp_extract(line, '^\\[([^|\\]]+) \\| ([0-9]{{2}}:[0-9]{{2}})\\] (.*)$', 2) said_at, regexp_extract(line, '^\\[([^|\\]]+) \\| ([0-9]{{2}}:[0-9]{{2}})\\] (.*)$', 3) said from l) select memory_id, speaker, said_at, said from p where speaker <> ''")
+def chat_lines(s, d):
+    return mems(s, d).select("memory_id", F.explode(T.chat_lines(F.col("text"))).alias("l")).select("memory_id", "l.*")
+
+
+@query("select distinct id, round(case when isnan(\"timestamp\") then null when \"timestamp\" > 1e11 then \"timestamp\" / 1000 else \"timestamp\" end, 3) at_seconds from messages where id is not null")
+def normalize_ts(s, d):
+    m = table(s, d, "messages").where("id is not null")
+    return m.select("id", F.round(temporal.epoch_seconds(F.col("timestamp")), 3).alias("at_seconds")).distinct()
+
+
+@query(f"select session_id, cast(greatest(0, date_diff('day', cast(make_timestamp(cast(floor(last_active_at) * 1000000 as bigint)) as date), date '2024-04-01') - 1) as integer) missed from sessions where last_active_at is not null")
+def decay_catchup(s, d):
+    t = table(s, d, "sessions").where("last_active_at is not null")
+    last = F.to_date(F.timestamp_seconds(F.floor("last_active_at")))
+    return t.select("session_id", L.missed_days(last, F.to_date(F.lit("2024-04-01"))).alias("missed"))
+
+
+@query(f"""with {MEM}, c as (select session_id group_key, memory_id, unnest(list_slice({FACTS}, 1, 2)) fact from mem where status = 'active' and importance < 0.5 and create_time < {AS_OF} - 7 * 86400.0 and session_id is not null and text is not null),
+o as (select group_key, fact, min(memory_id) memory_id from c group by 1, 2), r as (select *, row_number() over (partition by group_key order by memory_id, fact) r from o), t as (select group_key, string_agg(fact, '；' order by r) as text from r where r <= 5 group by 1)
+select t.group_key, t.text, n_sources, first_id from t join (select group_key, count(distinct memory_id) n_sources, min(memory_id) first_id from c group by 1) n using (group_key)""")
+def consolidation_merge(s, d):
+    c = M.consolidation_candidates(mems(s, d), AS_OF).where("session_id is not null and text is not null")
+    return L.merge_groups(c.select(F.col("session_id").alias("group_key"), "memory_id", F.explode(M.facts_of(F.col("text"), 2)).alias("fact")))
+
+
+WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda w: w <> ''))"
+
+
+@query(f"""with {ATOM}, a as (select id, parent_memory_id p, {WORDS.format('lower(' + collapse_sql('content') + ')')} w from atom where content is not null and parent_memory_id is not null), j as (select a.id new_id, b.id old_id, len(list_intersect(a.w, b.w)) / cast(len(list_distinct(list_concat(a.w, b.w))) as double) s from a join a b on a.p = b.p and a.id <> b.id where len(a.w) >= 2 and len(b.w) >= 2)
+select new_id, old_id, round(s, 6) similarity from j where round(s, 6) >= 0.5""")
+def atom_duplicates(s, d):
+    a = A.current(table(s, d, "memory_atoms")).where("content is not null and parent_memory_id is not null").where(F.size(T.word_set(F.col("content"))) >= 2)
+    return A.duplicates(a, a, 0.5)
+
+
+@query(f"""with {ATOM}, e as (select id, parent_memory_id memory_id, content, coalesce(confidence, 0.6) * 0.9 confidence, unnest(from_json(case when json_valid(entities) then entities end, '["VARCHAR"]')) x from atom where content is not null and json_valid(entities) and json_type(entities) = 'ARRAY')
+select distinct id, memory_id, 'entity:' || {canonical_sql('x')} source_key, 'fact:' || {canonical_sql('content')} target_key, round(confidence, 6) confidence from e where {canonical_sql('x')} <> ''""")
+def graph_extract_atoms(s, d):
+    return G.extract_atom_edges(A.current(table(s, d, "memory_atoms"))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"with {LINK}, j as (select node_id, count(*) entry_count, count(distinct source_memory_id) memory_count, count(*) filter (entry_type = 'edge') degree from lk join graph_entries g on g.id = entry_id group by 1) select node_id, round(entry_count + 0.75::double * memory_count + 0.35::double * degree, 4) weight from j join graph_nodes n on n.id = node_id order by weight desc, node_id limit 8")
+def view_top_nodes(s, d):
+    n = G.node_weights(table(s, d, "graph_nodes"), table(s, d, "graph_entry_nodes"), table(s, d, "graph_entries"))
+    return n.orderBy(F.desc("weight"), "node_id").limit(8).select("node_id", "weight")
+
+
+GCONF = f"""gc as (select source_memory_id memory_id, avg(coalesce({number_sql('graph_confidence')}, 0.5)) confidence from graph_entries group by 1), gr as (select query_id, memory_id doc_id, 1.0::double / (60 + row_number() over (partition by query_id order by round(score, 9) desc, memory_id)) rrf_score from gf),
+gw as (select gr.query_id, gr.doc_id, 0.55::double * rrf_score / max(rrf_score) over (partition by query_id) + 0.2::double * importance + 0.15::double * exp(-0.01::double * greatest(0.0::double, ({AS_OF} - greatest(create_time, last_access_time)) / 86400.0::double)) + 0.1::double * coalesce(gc.confidence, 0.5) score from gr join mem on mem.memory_id = gr.doc_id left join gc on gc.memory_id = gr.doc_id)"""
+
+
+@query(f"with {MEM}, {NODEQ}, {EHITS}, {TOKQ}, {FOLD}, {GCONF} select query_id, doc_id, round(score, 6) score, rank from (select *, {rank_sql('gw')} rank from gw) where rank <= 10")
+def graph_fusion(s, d):
+    kw = R.rank(_graph_keyword(s, d).select("query_id", F.col("memory_id").alias("doc_id"), "score"))
+    conf = table(s, d, "graph_entries").groupBy(F.col("source_memory_id").alias("memory_id")).agg(F.avg(F.coalesce(M.meta_number(F.col("metadata"), "graph_confidence"), F.lit(0.5))).alias("confidence")).withColumn("temporal", F.lit(1.0))
+    return G.graph_fusion(R.rrf({"kw": kw}), mems(s, d), conf, AS_OF).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def graph_vector(s, d):
+    from engramlake.operators.embedding import embed
+
+    docs = embed(G.entry_documents(table(s, d, "graph_entries")), "source_memory_id", "content")
+    q = embed(node_queries(s, d), "query_id", "query").withColumnRenamed("vec_id", "query_id")
+    return R.vector_topk(q, docs, 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"with {MSG}, r as (select id, session_id, content, lag(content) over w prev, tm - lag(tm) over w gap from msg where session_id is not null window w as (partition by session_id order by {TIME})) select id, case when gap <= 7200 and prev is not null then prev || ' ' || coalesce(content, '') else content end expanded from r")
+def query_context(s, d):
+    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("at"), "id")
+    m = msgs(s, d).where("session_id is not null").withColumn("prev", F.lag("content").over(w)).withColumn("gap", F.col("at") - F.lag("at").over(w))
+    return m.select("id", F.when((F.col("gap") <= 7200) & F.col("prev").isNotNull(), F.concat("prev", F.lit(" "), F.coalesce("content", F.lit("")))).otherwise(F.col("content")).alias("expanded"))
+
+
+@query(f"with {MSG} select id from msg where role in ('assistant', 'bot', 'ai') and content is not null and not regexp_matches(content, '(?i)^(error|traceback|\\{{\"tool\")')")
+def response_filter(s, d):
+    return msgs(s, d).where(F.col("role").isin("assistant", "bot", "ai") & F.col("content").isNotNull() & ~F.col("content").rlike('(?i)^(error|traceback|\\{"tool")')).select("id")
+
+
+@query("select source_memory_id, count(vector_doc_id) n, min(vector_doc_id) lo, max(vector_doc_id) hi from graph_entries group by 1")
+def vector_ids(s, d):
+    return table(s, d, "graph_entries").groupBy("source_memory_id").agg(F.count("vector_doc_id").alias("n"), F.min("vector_doc_id").alias("lo"), F.max("vector_doc_id").alias("hi"))
+
+
+@query(f"select session_id, {meta_sql('persona_id')} persona from sessions")
+def session_persona(s, d):
+    return table(s, d, "sessions").select("session_id", M.meta_text(F.col("metadata"), "persona_id").alias("persona"))
+
+
+@query(f"with {MEM}, {MSG} select m.memory_id, count(msg.id) kept, count(*) filter (msg.sender_id = 'bot') from_bot from mem m join msg on msg.session_id = m.session_id where m.importance >= 0.8 and msg.content is not null and trim(msg.content, ' ') <> '' group by 1")
+def retained_sources(s, d):
+    m = mems(s, d).where("importance >= 0.8").select("memory_id", "session_id")
+    j = m.join(msgs(s, d).where("content is not null and trim(content) <> ''").select("session_id", "id", "sender_id"), "session_id")
+    return j.groupBy("memory_id").agg(F.count("id").alias("kept"), F.count_if(F.col("sender_id") == "bot").alias("from_bot"))
+
+
+@query(f"with {MEM}, e as (select source_memory_id, count(*) n_entries from graph_entries group by 1), a as (select parent_memory_id, count(distinct id) n_atoms from memory_atoms group by 1) select memory_id, m.status, round(importance, 6) importance, coalesce(n_entries, 0) n_entries, coalesce(n_atoms, 0) n_atoms from mem m left join e on source_memory_id = memory_id left join a on parent_memory_id = memory_id")
+def memory_detail(s, d):
+    e = table(s, d, "graph_entries").groupBy(F.col("source_memory_id").alias("memory_id")).agg(F.count(F.lit(1)).alias("n_entries"))
+    a = table(s, d, "memory_atoms").groupBy(F.col("parent_memory_id").alias("memory_id")).agg(F.countDistinct("id").alias("n_atoms"))
+    j = mems(s, d).join(e, "memory_id", "left").join(a, "memory_id", "left")
+    return j.select("memory_id", "status", F.round("importance", 6).alias("importance"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), F.coalesce("n_atoms", F.lit(0)).alias("n_atoms"))
+
+
+@query(f"with {MEM}, x as (select memory_id, importance * pow(1 - 0.1::double * (1 - 0.5::double * least(1.0::double, access_count / 10.0::double) * case when {AS_OF} - last_access_time <= 7 * 86400.0 then 1.0::double else 0.5::double end), 3.0::double) v, importance, create_time, status from mem), y as (select *, case when importance < 1.0 then greatest(0.01::double, round(v, 4)) else importance end n from x) select memory_id, round(n, 4) importance, case when status = 'active' and {AS_OF} - create_time > 30 * 86400.0 and n < 0.3 then 'archived' else status end status from y")
+def maintenance(s, d):
+    return L.maintain(mems(s, d), AS_OF, days=3, rate=0.1).select("memory_id", F.round("importance", 4).alias("importance"), "status")
+
+
+@query("select doc_id id from documents except select vec_id from embeddings")
+def set_difference(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").alias("id")).subtract(table(s, d, "embeddings").select(F.col("vec_id").alias("id")))
+
+
+@query("select vec_id id from embeddings intersect select doc_id from documents")
+def set_intersection(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id")).intersect(table(s, d, "documents").select(F.col("doc_id").alias("id")))
