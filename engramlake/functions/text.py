@@ -21,29 +21,29 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\t\n\x0B\f\r \p{Z}]+", " "))
 
 
+NOISE = "https?://\\S+|www\\.\\S+|[@#][\\p{L}\\p{N}_]+|" + ASCII_PUNCT + "|" + CJK_PUNCT
+WORD = "[一-鿿]|[\\p{L}\\p{N}]+"
+
+
 def clean_text(c: Column) -> Column:
     """Drops links, mentions, tags and punctuation (not replaced by blanks), collapses blanks."""
-    c = F.regexp_replace(c, r"https?://\S+", "")
-    c = F.regexp_replace(c, r"www\.\S+", "")
-    c = F.regexp_replace(c, r"[@#][\p{L}\p{N}_]+", "")
-    c = F.regexp_replace(F.regexp_replace(c, ASCII_PUNCT, ""), CJK_PUNCT, "")
-    return collapse(c)
+    return collapse(F.regexp_replace(c, NOISE, ""))
 
 
 def segment(c: Column) -> Column:
-    """Words of a cleaned text: each ideograph, else what blanks separate."""
-    spaced = collapse(F.regexp_replace(c, "([一-鿿])", " $1 "))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    """Words of a cleaned text: each ideograph, and each run of other letters and digits."""
+    return F.regexp_extract_all(c, F.lit(f"({WORD})"), 1)
 
 
 def keep_tokens(words: Column, stop: list[str] = STOP_WORDS) -> Column:
-    """Without words that hold no letter or digit, single ASCII characters, and stop words."""
-    return F.filter(words, lambda w: w.rlike(r"[\p{L}\p{N}]") & ~((F.length(w) == 1) & w.rlike("^[ -~]$")) & ~w.isin(stop))
+    """Without single ASCII characters and stop words (as written)."""
+    return F.filter(words, lambda w: ~(w.rlike("^[ -~]$") | w.isin(stop)))
 
 
 def tokens(c: Column, stop: list[str] = STOP_WORDS) -> Column:
-    """Index tokens of a text, folded."""
-    return F.transform(keep_tokens(segment(clean_text(c)), stop), fold)
+    """Index tokens of a text, folded; two passes over the text, then one over its words."""
+    kept = F.array_join(keep_tokens(segment(F.regexp_replace(c, NOISE, "")), stop), " ")
+    return F.filter(F.split(fold(kept), " "), lambda w: w != "")
 
 
 def canonical_entity(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engramlake.config import DAY
 from engramlake.functions import text as T
-from engramlake.tables import table
+from engramlake.tables import spread, table
 
 
 def meta_text(meta: Column, key: str) -> Column:
@@ -159,7 +159,7 @@ def render_lines(mem: DataFrame) -> DataFrame:
 
 
 def token_frequency(mem: DataFrame) -> DataFrame:
-    return mem.select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return spread(mem).select(F.explode_outer(T.tokens(F.col("text"))).alias("token")).where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def latest_sources(rows: DataFrame, key: str, seq: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from engramlake.config import FACTUAL_TERMS, RELATION_TERMS, TEMPORAL_TERMS, Recall
 from engramlake.functions import temporal
 from engramlake.functions import text as T
+from engramlake.tables import spread
 
 CFG = Recall()
 
@@ -32,8 +33,10 @@ def top(df: DataFrame, k: int | Column, score: str = "score", by: str = "query_i
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``term, doc_id, tf, dl``: one exchange by document and term, partial sums first."""
-    t = docs.select(F.col(key).alias("doc_id"), T.tokens(F.col(text)).alias("toks")).where(F.size("toks") > 0)
-    return t.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    t = spread(docs).select(F.col(key).alias("doc_id"), T.tokens(F.col(text)).alias("toks"))
+    # an outer explode: of a plain one Spark infers a filter that tokenises again, before the spread
+    t = t.select("doc_id", F.size("toks").cast("long").alias("dl"), "toks")  # before the explode, so that no row carries the list
+    return t.select("doc_id", "dl", F.explode_outer("toks").alias("term")).where("term is not null").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -44,12 +47,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: Recall = CFG) -> DataFrame:
     """``query_id, doc_id, score`` of every match: idf ln((N-df+.5)/(df+.5)), at least 1e-6.
 
-    Only postings of query terms survive the first join; the corpus is tokenised once for them and
-    once, without its terms, for the counts.
+    The corpus is tokenised once: its postings' exchange also gives the counts. Only postings of
+    query terms survive the first join.
     """
     q = query_terms(queries)
     p = postings(docs, key, text)
-    n = docs.select(F.size(T.tokens(F.col(text))).cast("long").alias("dl")).agg(F.count(F.lit(1)).alias("N"), F.avg(F.greatest(F.coalesce("dl", F.lit(0)), F.lit(0))).alias("avgdl"))
+    total = p.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))  # the same exchange as below
+    n = docs.agg(F.count(F.lit(1)).alias("N")).crossJoin(total).select("N", (F.col("n_tokens") / F.greatest(F.col("N"), F.lit(1))).alias("avgdl"))
     live = p.join(q.select("term").distinct(), "term", "left_semi")
     df = live.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

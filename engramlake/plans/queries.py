@@ -46,16 +46,18 @@ def collapse_sql(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[\t\n\x0B\f\r \p{{Z}}]+', ' ', 'g'), ' ')"
 
 
+def noise_sql(x: str) -> str:
+    return f"regexp_replace({x}, {quoted(T.NOISE)}, '', 'g')"
+
+
 def clean_sql(x: str) -> str:
-    for p in (r"https?://\S+", r"www\.\S+", r"[@#][\p{L}\p{N}_]+", T.ASCII_PUNCT, T.CJK_PUNCT):
-        x = f"regexp_replace({x}, {quoted(p)}, '', 'g')"
-    return collapse_sql(x)
+    return collapse_sql(noise_sql(x))
 
 
 def tokens_sql(x: str) -> str:
-    seg = collapse_sql(rf"regexp_replace({clean_sql(x)}, '([一-鿿])', ' \1 ', 'g')")
     stop = ", ".join(map(quoted, STOP_WORDS))
-    return f"list_transform(list_filter(string_split({seg}, ' '), lambda w: w <> '' and regexp_matches(w, '[\\p{{L}}\\p{{N}}]') and not (length(w) = 1 and regexp_matches(w, '^[ -~]$')) and w not in ({stop})), lambda w: {fold_sql('w')})"
+    words = f"list_filter(regexp_extract_all({noise_sql(x)}, '{T.WORD}'), lambda w: not (regexp_matches(w, '^[ -~]$') or w in ({stop})))"
+    return f"list_transform({words}, lambda w: {fold_sql('w')})"
 
 
 def canonical_sql(x: str) -> str:
