@@ -50,7 +50,7 @@ def millis_of(ts: Column) -> Column:
 
 def _links(messages: DataFrame) -> DataFrame:
     """``id, target`` of the reply and quote links in the metadata."""
-    keys = F.array(*[F.get_json_object("metadata", f"$.{k}").cast("long") for k in LINK_KEYS])
+    keys = F.array(*[F.get_json_object("metadata", f"$.{k}").try_cast("long") for k in LINK_KEYS])
     has = F.lit(False)
     for k in ("reply", "quote"):
         has = has | F.contains("metadata", F.lit(k))

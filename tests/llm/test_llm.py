@@ -144,7 +144,7 @@ def test_conversations(spark):
         m(5, "c", "user", "hi", None), m(6, "c", "assistant", "x", 2.0),
         m(7, "d", "narrator", "hi", 1.0), m(8, "d", "assistant", "x", 2.0),
         m(10, "e", "assistant", "x", 1.0), m(11, "e", "user", "x", 2.0),
-        m(12, "f", "system", "s", 0.0), m(13, "f", "user", "q", 1.0), m(14, None, "assistant", "answer", 2.0, '{"reply_to": 13}'), m(15, None, "assistant", "lost", 2.0, '{"reply_to": 99}'), m(16, None, "user", "x", 1.0, "{broken reply"),
+        m(12, "f", "system", "s", 0.0), m(13, "f", "user", "q", 1.0), m(14, None, "assistant", "answer", 2.0, '{"reply_to": 13}'), m(15, None, "assistant", "lost", 2.0, '{"reply_to": 99}'), m(16, None, "user", "x", 1.0, "{broken reply"), m(19, None, "user", "x", 1.0, '{"reply_to": "abc"}'),
         m(17, "gone", "user", "x", 1.0), m(18, None, None, None, None),
     ]
     df = spark.createDataFrame(data, "id long, session_id string, role string, content string, sender_id string, timestamp double, metadata string").withColumn("turn_no", F.lit(0))
