@@ -56,7 +56,7 @@ def recency(as_of: float, created: Column, accessed: Column, rate: float = 0.01)
 
 def epoch_seconds(c: Column) -> Column:
     """Seconds from a number that may be in milliseconds (above 1e11); null and NaN give null."""
-    v = c.cast("double")
+    v = c.try_cast("double")
     return F.when(v.isNotNull() & ~F.isnan(v), F.when(v > 1e11, v / 1000).otherwise(v))
 
 
