@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.llm.pii import portions
+
 CATEGORIES = ("abusive", "hateful", "sexual")
 BITS = 17
 WINDOW, STRIDE = 56, 20
@@ -204,8 +206,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = model()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at, end in portions(b.column(1).to_pylist(), 1_000_000, 500):
+                part = b.slice(at, end - at)
                 s = document_scores(part.column(1).to_pylist(), w, bias)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(s[:, i].astype(np.float64)) for i in range(3))], schema=schema)
 

@@ -353,6 +353,19 @@ def spans(texts: list[str | None], m: dict | None = None) -> list[list[tuple[int
     return out
 
 
+def portions(texts: list[str | None], most: int = 2_000_000, rows: int = 1000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` characters (a longer text alone), so that long texts don't fill the memory."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > at and (size + n > most or i - at >= rows):
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def redact(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
     """The text with a typed placeholder for every span."""
     if text is None:
@@ -376,8 +389,8 @@ def _fields(messages: DataFrame, documents: DataFrame) -> DataFrame:
 def _found_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["record_kind", "record_id", "field", "pii_type", "value"]
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            kind, rid, field, text = (b.slice(at, 1000).column(i).to_pylist() for i in range(4))
+        for at, end in portions(b.column(3).to_pylist()):
+            kind, rid, field, text = (b.slice(at, end - at).column(i).to_pylist() for i in range(4))
             same: dict[str, int] = {}  # equal texts are read once
             order = [same.setdefault(t, len(same)) for t in (x or "" for x in text)]
             got = spans(list(same))
@@ -397,8 +410,8 @@ def find(messages: DataFrame, documents: DataFrame) -> DataFrame:
 
 def _redact_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
+        for at, end in portions(b.column(3).to_pylist()):
+            part = b.slice(at, end - at)
             text = part.column(3).to_pylist()
             new = [redact(t, s) for t, s in zip(text, spans(text))]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(new, pa.string())], names=part.schema.names)
