@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.llm.pii import portions
+
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-token pattern of this vocabulary.
@@ -152,7 +154,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(folder)
         gc.disable()  # many small lists without cycles
-        for b in batches:
+        for b in (whole.slice(at, end - at) for whole in batches for at, end in portions(whole.column(1).to_pylist(), 8_000_000, 10_000)):
             ids = pa.array(c.encode_batch(b.column(1).to_pylist()), type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), ids], schema=schema)
 
@@ -166,7 +168,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(folder)
         gc.disable()  # many small lists without cycles
-        for b in batches:
+        for b in (whole.slice(at, end - at) for whole in batches for at, end in portions(whole.column(1).to_pylist(), 8_000_000, 10_000)):
             n = pa.array([len(x) for x in c.encode_batch(b.column(1).to_pylist())], type=pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), n], schema=schema)
 

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm.components import connected_components
+from engramlake.llm.pii import portions
 from engramlake.session import cut
 
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
@@ -157,7 +158,7 @@ def _bag_stage(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for b in batches:
+        for b in (whole.slice(at, end - at) for whole in batches for at, end in portions(whole.column(1).to_pylist(), 4_000_000, 10_000)):
             rec = b.column(0).to_numpy()
             texts = b.column(1).to_pylist()
             rows, sizes, elems = bags_of(texts, min_words)
