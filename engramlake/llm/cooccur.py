@@ -6,7 +6,7 @@ basket with a weight, pairs are enumerated once per distinct basket and the weig
 Scale: two prunings are exact and come before any basket is built. An item below the minimum support
 can be in no reported pair; an item in more than ``N / min_lift`` records can't either, since
 ``n(a,b) <= n(b)`` gives a lift of at most ``N / n(a)``. So the hottest items never reach the pair
-stage. A record with more than ``wide`` items isn't collapsed: its items are spread over blocks and
+stage where a lift is asked for; without thresholds every pair comes out. A record with more than ``wide`` items isn't collapsed: its items are spread over blocks and
 pairs are made block against block, so no task holds a whole wide record.
 
 Nulls: links with a null or unknown record or item are ignored; repeated links count once. Empty
@@ -38,7 +38,8 @@ def _pairs_within(arr: Column) -> Column:
 def pair_counts(links: DataFrame, min_support: int = 5, min_lift: float = 10.0, wide: int = BASKET_WIDE) -> DataFrame:
     """``a, b, n_ab, n_a, n_b, n`` of all pairs that reach the support and the lift.
 
-    ``links`` comes from :func:`clean_links`. ``min_lift <= 1`` switches the upper pruning off.
+    ``links`` comes from :func:`clean_links`. ``min_lift <= 1`` switches the upper pruning off;
+    with ``min_support=1`` and ``min_lift=0`` all pairs that occur together come out.
     """
     n_items = links.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     total = links.agg(F.countDistinct("rec").alias("n"))  # one row

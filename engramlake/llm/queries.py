@@ -45,17 +45,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_turns(spark, d).select("session_id", "turn_no", "message_id")
 
 
-def _p5(spark: SparkSession, d: str) -> DataFrame:
-    links = cooccur.clean_links(table(spark, d, "graph_entry_nodes"), table(spark, d, "graph_entries"), table(spark, d, "graph_nodes"), "entry_id", "node_id")
-    return cooccur.pair_counts(links, min_support=5, min_lift=10.0)
+def _p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return cooccur.clean_links(table(spark, d, "graph_entry_nodes"), table(spark, d, "graph_entries"), table(spark, d, "graph_nodes"), "entry_id", "node_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p5(spark, d).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+    return cooccur.pair_counts(_p5_links(spark, d), min_support=5, min_lift=10.0).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccur.scored_pairs(_p5(spark, d))
+    """Every pair that occurs together; the thresholds are those of ``p5_found`` only."""
+    return cooccur.scored_pairs(cooccur.pair_counts(_p5_links(spark, d), min_support=1, min_lift=0.0))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engramlake.llm import abuse, abuse_train, components, conversations, cooccur, encode, names, neardup, packing, pii, pii_train
+from engramlake.llm import abuse, abuse_train, components, conversations, cooccur, encode, names, neardup, packing, pii, pii_train, queries
 
 
 def rows(df):
@@ -183,6 +183,18 @@ def test_pairs_brute_force(spark, wide):
     assert got == want and got
 
 
+def test_pairs_query_has_every_pair(spark, tmp_path):
+    """Rare pairs and those of an item in every entry, from baskets and from a record over the basket width."""
+    sets = {r: {0, 1 + r % 7} for r in range(30)} | {30: set(range(80)), 31: {5}}
+    spark.createDataFrame([(r, i) for r, x in sets.items() for i in x] + [(0, 0), (None, 1), (1, 999)], "entry_id long, node_id long").write.parquet(f"{tmp_path}/graph_entry_nodes.parquet")
+    spark.range(32).write.parquet(f"{tmp_path}/graph_entries.parquet")
+    spark.range(80).write.parquet(f"{tmp_path}/graph_nodes.parquet")
+    one, two = Counter(i for x in sets.values() for i in x), Counter((a, b) for x in sets.values() for a in x for b in x if a < b)
+    got = {(r.node_a, r.node_b): r for r in queries.p5_pairs(spark, str(tmp_path)).collect()}
+    assert {k: (r.n_ab, r.n_a, r.n_b) for k, r in got.items()} == {(a, b): (k, one[a], one[b]) for (a, b), k in two.items()}
+    assert all(abs(r.lift - r.n_ab * 32 / (r.n_a * r.n_b)) < 1e-5 for r in got.values())
+
+
 # ---- 6 tokens
 def test_encoding():
     tok = pytest.importorskip("tokenizers").Tokenizer.from_file(f"{encode.TOKENIZERS}/byte_bpe_50k.json")
