@@ -36,6 +36,8 @@ DECAY = 0.6
 SHAPES = [((0, 1, 2), 0.5), ((0, 1, 2, 3, 4), 1.0), ((0, 2, 3, 4, 5), DECAY), ((0, 1, 3, 4, 5), DECAY), ((0, 1, 2, 4, 5), DECAY), ((0, 1, 2, 3, 5), DECAY)]
 HAN_SHAPES = [((0, 1), 1.0), ((0, 2), DECAY), ((0, 1, 2), 1.0)]
 END = 1
+# stop marks that may be inserted in a word, or stand for a letter of it: settled in unstop()
+DOT, LETTERLIKE = 3, 4
 # Signs read as the letters they resemble.
 LOOKS = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "!", "€": "e", "¡": "i"}
 CYRILLIC_LOOKS = dict(zip("асеорхукмтнві", "aceopxykmthbi"))
@@ -68,6 +70,8 @@ def fold_table() -> np.ndarray:
         t[ord(c)] = ord("#")
     for c in STOPS:
         t[ord(c)] = END
+    t[ord(".")] = DOT
+    t[ord("!")] = t[ord("|")] = LETTERLIKE
     t[ord("*")] = 0
     t[ord("\t")] = 32
     t[ord("，")] = t[ord("、")] = ord(",")
@@ -87,12 +91,46 @@ def kinds() -> np.ndarray:
     return k
 
 
-def folded(texts: list[str | None]) -> np.ndarray:
-    """All texts as folded code points; each ends with 2."""
+def unstop(x: np.ndarray) -> np.ndarray:
+    """Stop marks that end no sentence go.
+
+    Between single letters they spell a word out ("i.d.i.o.t"), with a blank amid them ("u. .a") two
+    words. Inside a word "!" and "|" stand for the letter i, and "." is an inserted blank.
+    """
+    k = kinds()[x]
+    mark = (x == END) | (x == DOT) | (x == LETTERLIKE)
+    blank = x == 32
+    x = x.copy()
+    one = (k > 0) & np.r_[True, k[:-1] == 0] & np.r_[k[1:] == 0, True]
+    at = np.flatnonzero(k > 0)
+    a, b = at[:-1], at[1:]
+    marks, blanks = np.r_[0, np.cumsum(mark)], np.r_[0, np.cumsum(blank)]
+    m, e = marks[b] - marks[a + 1], blanks[b] - blanks[a + 1]
+    spelled = one[a] & one[b] & (m > 0) & (m + e == b - a - 1)
+    gap = np.zeros(len(x) + 1, np.int32)
+    apart = spelled & (e > 0) & mark[np.minimum(a + 1, len(x) - 1)] & mark[b - 1]
+    np.add.at(gap, a[apart] + 1, 1)
+    np.add.at(gap, b[apart], -1)
+    x[np.cumsum(gap[:-1]) > 0] = 32
+    letter = np.r_[False, k[:-1] == 1] & np.r_[k[1:] == 1, False]
+    x[letter & (x == LETTERLIKE) & ~(np.r_[False, one[:-1]] & np.r_[one[1:], False])] = ord("i")
+    x[letter & (x == DOT) & ~(np.r_[False, one[:-1]] & np.r_[one[1:], False])] = 32
+    together = spelled & (e == 0)
+    gap = np.zeros(len(x) + 1, np.int32)
+    np.add.at(gap, a[together] + 1, 1)
+    np.add.at(gap, b[together], -1)
+    x = x[np.cumsum(gap[:-1]) == 0]
+    x[(x == DOT) | (x == LETTERLIKE)] = END
+    return x
+
+
+def folded(texts: list[str | None], ends: bool = True) -> np.ndarray:
+    """All texts as folded code points; each ends with 2. Without ``ends`` sentences end with a blank (training)."""
     joined = "￿".join((t or "").replace("￿", " ") for t in texts) + "￿"
-    # "!" and "|" may stand for letters inside a word, but end sentences elsewhere: they end them
     x = fold_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    x = x[x != 0]
+    x = unstop(x[x != 0])
+    if not ends:
+        x[x == END] = 32
     k = kinds()[x]
     # blanks inside spaced-out words and between ideographs go
     blank = x == 32

@@ -260,3 +260,15 @@ def test_abuse_table(spark):
     assert rows(abuse.found(sc)) == [(1, "abusive"), (5, "abusive")]
     r = abuse.source_rates(d, sc).first()
     assert r.n_docs == 5 and r.abusive_rate == 0.4
+
+
+def test_abuse_stop_marks_inside_words():
+    w, b = abuse.model()
+    pairs = [("what kind of f.i.l.t.h.y. .l.i.a.r are you", "what kind of filthy liar are you"), ("you w|o|r|t|h|l|e|s|s i!d!i!o!t", "you worthless idiot"), ("you are an id!ot and a l|ar", "you are an idiot and a liar"), ("你.是.白.痴", "你是白痴")]
+    for disguised, plain in pairs:
+        assert (abuse.folded([disguised]) == abuse.folded([plain])).all()
+        assert (abuse.document_scores([disguised], w, b) == abuse.document_scores([plain], w, b)).all()
+        (i, v), (j, u) = abuse_train.matrix([disguised, plain])
+        assert (i == j).all() and (v == u).all()
+    # sentences still end, and texts stay apart
+    assert list(np.flatnonzero(abuse.folded(["One man. I am! A man", "x", "y"]) <= 2)) == [7, 13, 20, 22, 24]
