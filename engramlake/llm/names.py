@@ -58,7 +58,9 @@ bill:william will:william billy:william liam:william zach:zachary zack:zachary a
 NICK = {a.split(":")[0]: a.split(":")[1].split(",") for a in NICKNAMES.replace("ph", "f").split()}
 LEET = str.maketrans("013457@$", "oieastas")
 SPLIT = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ł": "l"})
-COST = {"typo": math.log(2e-2), "nick": math.log(8e-2), "initial": math.log(5e-2), "cut": math.log(3e-2), "joined": math.log(1e-1), "nokind": math.log(1e-1)}
+COST = {"typo": math.log(2e-2), "nick": math.log(8e-2), "initial": math.log(5e-2), "cut": math.log(3e-2), "joined": math.log(1e-1), "nokind": math.log(1e-1), "script": math.log(5e-2)}
+# Cyrillic letters, and Latin spellings that these don't tell apart.
+CYRILLIC = str.maketrans(dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ", "a b v g d e j z i i k l m n o p r s t u f h ts kh sh shkh - i - e iu ia e i i e g".split())) | {"ъ": "", "ь": ""})
 
 
 def fold(s: str) -> str:
@@ -67,6 +69,26 @@ def fold(s: str) -> str:
     return "".join(c for c in s if not unicodedata.combining(c)).lower().translate(SPLIT).replace("ph", "f")
 
 
+def sound(s: str) -> str:
+    """A folded word in the letters that both scripts tell apart."""
+    s = s.translate(CYRILLIC).replace("ph", "f").replace("zh", "j")
+    return s.translate(str.maketrans({"c": "k", "q": "k", "w": "v", "y": "i", "x": "ks"}))
+
+
+for _n, _full in list(NICK.items()):
+    NICK[sound(_n)] = list(dict.fromkeys([*NICK.get(sound(_n), []), *map(sound, _full)]))
+
+
+def sounds(form: tuple[str, str, str]) -> tuple[str, str, str]:
+    """A spelling by its sound; the kinds of an organisation stay."""
+    cls, a, b = form
+    return cls, sound(a)[:1] if cls == "initial" else sound(a), b if cls == "org" else sound(b)
+
+
+def is_cyrillic(form: tuple[str, str, str]) -> bool:
+    return bool(re.search("[Ѐ-ӿ]", form[1] + form[2]))
+
+
 def _unleet(tok: str) -> str:
     """Look-alike digits inside a word."""
     return tok.translate(LEET) if re.search("[a-z]", tok) and re.search("[0-9@$]", tok) else tok
@@ -128,7 +150,15 @@ def _deletions(w: str) -> set[str]:
 
 
 def block_keys(cls: str, a: str, b: str) -> list[str]:
-    """Keys on which spellings meet that the channel can explain."""
+    """Keys on which spellings meet that the channel can explain: as written and by sound."""
+    heard = sounds((cls, a, b))
+    keys = set(_block_keys(cls, a, b))
+    if heard != (cls, a, b) and heard[1] and (heard[2] or cls in ("org", "joined")):
+        keys.update(_block_keys(*heard))
+    return sorted(keys)
+
+
+def _block_keys(cls: str, a: str, b: str) -> list[str]:
     if cls == "org":
         return ["o" + x for x in _deletions(a)]
     if cls == "joined":
@@ -164,6 +194,13 @@ def typos(a: str, b: str) -> int:
 
 def channel(v: tuple[str, str, str], c: tuple[str, str, str]) -> float | None:
     """Log likelihood of writing ``v`` for ``c``; None where no channel explains it."""
+    if is_cyrillic(v) != is_cyrillic(c):
+        score = _channel(sounds(v), sounds(c))
+        return None if score is None else score + COST["script"]
+    return _channel(v, c)
+
+
+def _channel(v: tuple[str, str, str], c: tuple[str, str, str]) -> float | None:
     (vc, va, vb), (cc, ca, cb) = v, c
     if vc == "org":
         d = typos(va, ca)
@@ -225,7 +262,9 @@ def attribution(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     fit = cut(met.mapInArrow(_score_stage, "v_rep long, v string, v_freq long, c_rep long, c string, c_freq long, loglik double").where("loglik is not null"))
     support = fit.groupBy("c_rep").agg(F.sum("v_freq").alias("near"))
     # a domain names no kind of business: it attaches, but carries no two kinds together
-    whole = F.when(F.col("form").startswith("full") | (F.col("form").startswith("org") & ~F.endswith("form", F.lit("\t"))), 1).otherwise(0)
+    # neither do Cyrillic spellings carry two Latin ones
+    latin = F.when(F.col("form").rlike("[\u0400-\u04ff]"), 1).otherwise(2)
+    whole = F.when(F.col("form").startswith("full") | (F.col("form").startswith("org") & ~F.endswith("form", F.lit("\t"))), latin).otherwise(0)
     ranked = spelled.join(support, spelled.rep == support.c_rep, "left").select("rep", (F.col("freq") + F.coalesce("near", F.lit(0))).alias("prior"), whole.alias("whole"))
     both = fit.join(ranked.select(F.col("rep").alias("v_rep"), F.struct("whole", "prior", (-F.col("rep")).alias("r")).alias("v_rank")), "v_rep")
     both = both.join(ranked.select(F.col("rep").alias("c_rep"), F.col("prior").alias("c_prior"), F.struct("whole", "prior", (-F.col("rep")).alias("r")).alias("c_rank")), "c_rep").where("c_rank > v_rank")
