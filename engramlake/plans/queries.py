@@ -507,7 +507,7 @@ def atom_search(s, d):
 @query(f"""with {MEM}, f as (select memory_id, importance, list_slice({FACTS}, 1, 2) facts from mem where text is not null), u as (select memory_id, importance, unnest(facts) as content, generate_subscripts(facts, 1) - 1 pos from f), c as (select *, {CLASS} atom_type from u)
 select memory_id, pos, atom_type, case atom_type {' '.join(f"when '{k}' then {v}" for k, v in ATOM_CONFIDENCE.items())} end confidence, case atom_type {' '.join(f"when '{k}' then '{v[1]}'" for k, v in TTL_BASE.items())} end decay_type from c""")
 def atomise(s, d):
-    m = mems(s, d).where("text is not null").select("memory_id", "importance", M.facts_of(F.col("text"), 2).alias("facts"))
+    m = mems(s, d).where("text is not null").select("memory_id", "importance", M.facts_of(F.col("text")).alias("facts"))
     return A.atomise(m, AS_OF).select("memory_id", "pos", "atom_type", "confidence", "decay_type")
 
 
@@ -519,8 +519,10 @@ def relative_dates(s, d):
 
 # ---- graph ---------------------------------------------------------------------------------------
 def graph_memories(s, d):
-    m = mems(s, d).where("text is not null")
-    return m.withColumn("topics", F.array("lang", "source")).withColumn("participants", F.array(F.concat(F.lit("u"), F.col("memory_id") % 7), F.concat(F.lit("u"), F.col("memory_id") % 11))).withColumn("facts", M.facts_of(F.col("text"), 2))
+    """Memories with the facts extraction takes and the participants of their session; a broken list means none."""
+    people = table(s, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.min_by(F.from_json("participants", "array<string>"), "id").alias("participants"))
+    m = mems(s, d).where("text is not null").join(people, "session_id", "left")
+    return m.withColumn("topics", F.array("lang", "source")).withColumn("facts", M.facts_of(F.col("text"), G.CAPS["facts"]))
 
 
 GM = f"""gp as (select memory_id, text, list_filter(list_distinct_o, lambda x: x <> '') topics, p persons, list_slice({FACTS}, 1, 2) facts from (select *, case when {canonical_sql('lang')} = {canonical_sql('source')} then [{canonical_sql('lang')}] else [coalesce({canonical_sql('lang')}, ''), coalesce({canonical_sql('source')}, '')] end list_distinct_o,
@@ -830,7 +832,7 @@ o as (select group_key, fact, min(memory_id) memory_id from c group by 1, 2), r
 select t.group_key, t.text, n_sources, first_id from t join (select group_key, count(distinct memory_id) n_sources, min(memory_id) first_id from c group by 1) n using (group_key)""")
 def consolidation_merge(s, d):
     c = M.consolidation_candidates(mems(s, d), AS_OF).where("session_id is not null and text is not null")
-    return L.merge_groups(c.select(F.col("session_id").alias("group_key"), "memory_id", F.explode(M.facts_of(F.col("text"), 2)).alias("fact")))
+    return L.merge_groups(c.select(F.col("session_id").alias("group_key"), "memory_id", F.explode(M.facts_of(F.col("text"))).alias("fact")))
 
 
 WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda w: w <> ''))"
