@@ -491,8 +491,8 @@ select a.id, round((a.confidence * 0.7 + 0.3 * 0.9) * 0.7 + 0.3 * 0.4, 6) confid
  round(greatest(1.0::double, (case atom_type {' '.join(f"when '{k}' then {v[0]}" for k, v in TTL_BASE.items())} else 30.0 end) * (0.5 + coalesce(importance, 0.5)) * (1 + least(0.5::double, 0.1::double * (coalesce(reinforcement_count, 0) + 2)))), 6) ttl_days from atom a where id % 3 = 0""")
 def atom_reinforce(s, d):
     a = A.current(table(s, d, "memory_atoms"))
-    sig = a.where("id % 3 = 0").select("id", F.posexplode(F.array(F.lit(0.9), F.lit(0.4))).alias("seq", "confidence"))
-    return A.reinforce(a.where("id % 3 = 0"), sig, AS_OF)
+    sig = a.select("id", F.posexplode(F.array(F.lit(0.9), F.lit(0.4))).alias("seq", "confidence"))
+    return A.reinforce(a, sig, AS_OF)
 
 
 @query(f"""with {ATOM}, {NODEQ}, adocs as (select id doc_id, content as text from atom), {bm_sql('adocs')}, {DECAY}, act as (select id from atom where status = 'active'),
@@ -628,7 +628,8 @@ def graph_delete(s, d):
 @query(f"""with e as (select * from graph_entries where source_memory_id <= 40 order by id desc limit 36), lk as (select distinct entry_id, node_id from graph_entry_nodes where node_id is not null and entry_id in (select id from e)),
 j as (select node_id, count(*) entry_count, count(distinct source_memory_id) memory_count, count(*) filter (entry_type = 'edge') degree from lk join e on e.id = entry_id group by 1) select node_id, round(entry_count + 0.75::double * memory_count + 0.35::double * degree, 4) weight from j join graph_nodes n on n.id = node_id order by weight desc, node_id limit 48""")
 def graph_subgraph(s, d):
-    want = table(s, d, "graph_entries").where("source_memory_id <= 40").select(F.col("source_memory_id").alias("memory_id")).distinct()
+    """The view of all memories that have entries."""
+    want = table(s, d, "graph_entries").select(F.col("source_memory_id").alias("memory_id")).distinct()
     return G.subgraph(table(s, d, "graph_entries"), table(s, d, "graph_entry_nodes"), table(s, d, "graph_nodes"), want)[1].select("node_id", "weight")
 
 

@@ -33,3 +33,17 @@ def test_graph_has_all_facts_and_the_sessions_people(spark, tables):
 def test_five_facts_become_atoms_and_merge(spark, tables):
     assert sorted((r.memory_id, r.pos) for r in Q["atomise"](spark, tables).collect()) == [(1, i) for i in range(5)] + [(2, 0), (2, 1), (3, 0), (14, 0)]
     assert {r.group_key: r.text for r in Q["consolidation_merge"](spark, tables).collect()}["s1"] == "；".join(f"fact {i}" for i in range(5))
+
+
+def test_every_atom_is_reinforced(spark, tmp_path):
+    atom = "id long, atom_type string, content string, importance double, confidence double, reinforcement_count long, last_accessed_at double"
+    spark.createDataFrame([(i, "episodic", "x", 0.5, 0.6, 0, 1.0) for i in (1, 2, 3, 4)], atom).write.parquet(f"{tmp_path}/memory_atoms.parquet")
+    got = {r.id: (r.confidence, r.reinforcements) for r in Q["atom_reinforce"](spark, str(tmp_path)).collect()}
+    assert got == {i: (pytest.approx((0.6 * 0.7 + 0.3 * 0.9) * 0.7 + 0.3 * 0.4), 2) for i in (1, 2, 3, 4)}
+
+
+def test_view_is_of_all_memories(spark, tmp_path):
+    spark.createDataFrame([(1, 7, "edge"), (2, 41, "edge"), (3, 900, "fact")], "id long, source_memory_id long, entry_type string").write.parquet(f"{tmp_path}/graph_entries.parquet")
+    spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "entry_id long, node_id long").write.parquet(f"{tmp_path}/graph_entry_nodes.parquet")
+    spark.createDataFrame([(i, "topic", "t") for i in (10, 11, 12)], "id long, node_type string, canonical_value string").write.parquet(f"{tmp_path}/graph_nodes.parquet")
+    assert {r.node_id for r in Q["graph_subgraph"](spark, str(tmp_path)).collect()} == {10, 11, 12}
