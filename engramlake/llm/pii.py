@@ -1,14 +1,17 @@
 """Personal information in free text: a character BiLSTM with CRF transitions, in numpy.
 
-Texts of an Arrow batch form one stream of characters; overlapping windows of it run through both
-directions of the LSTM side by side, and the windows are reconciled globally: every character takes
-the tag of the window in which it lies deepest. A window whose best path is provably all outside
-(every position prefers it by more than any transition can gain) skips the Viterbi sweep; the others
-are decoded exactly. Spans are then snapped to what a checker of their type accepts around them.
+A text is cut at line and sentence ends; equal segments of a batch are read once. Segments of similar
+length run through both directions of the LSTM side by side; a long one in overlapping windows, whose
+emissions are stitched (every character takes those of the window in which it lies deepest). The CRF
+then decodes each segment once, as a whole: where a stretch is provably outside (turning it into
+outside gains more than any tags and transitions around it can lose) the path is cut, and only the
+pieces between such stretches pass the Viterbi sweep, which gives the same path as the full sweep.
+Spans are then snapped to what a checker of their type accepts around them.
 
 Fields are typed: e-mail, phone, identity number, street address, person name. Redaction writes a
 placeholder for each span and keeps the rest. Null and empty texts have no spans; repeated rows are
-found like single ones. The weights are trained by ``pii_train`` from labelled spans.
+found like single ones. The weights are trained by ``pii_train`` from labelled spans; no list of names
+is used, neither as a feature nor as a filter.
 """
 
 from __future__ import annotations
@@ -23,21 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.names import NICK
-
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 K = len(TAGS)
-T, STEP, ROWS = 256, 224, 384
-PART, RIM = 64, 20
+T, STEP, ROWS, CHARS = 256, 192, 384, 40_000
 HIDDEN = 24
-# Frequent given names, a gazetteer feature of the model.
-GIVEN = """Abigail Alexander Alexandra Amanda Amara Anastasia Anthony Astrid Barbara Benjamin Boris Bruno Carmen Chiara Christopher Clara Cynthia Daniel Deborah Diego Dmitri Edward Ekaterina Eleanor Elena Elizabeth
-Farid Felix Francesca Francisco Frederick Gabriella Gregory Greta Guadalupe Hugo Ignacio Ingrid Irina Isabella Jeffrey Jennifer Jessica Johannes Jonas Jonathan Joseph Josephine Katherine Kenji Kenneth Kofi
-Konstantin Lawrence Leila Lena Leonard Luca Madeleine Margaret Marta Matteo Matthew Michael Mikhail Nadia Natalia Nathaniel Nicholas Omar Oskar Pablo Patricia Penelope Philip Philippa Priya Raymond Rebecca
-Richard Robert Rohan Ronald Rosalind Samuel Sebastian Stephen Susan Sven Theodore Thomas Timothy Valentina Victoria Vincent Vladimir Walter Wilhelmina William Yuki Zachary"""
-# Chinese family names.
-FAMILY = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
 CYR = [("sch", "ш"), ("ch", "ч"), ("sh", "ш"), ("zh", "ж"), ("kh", "х"), ("ya", "я"), ("yu", "ю"), ("ph", "ф"), ("th", "т"), ("ck", "к"), ("qu", "кв"), ("kw", "кв")] + list(zip("abcdefghijklmnopqrstuvwxyz", "а б к д е ф г х и ж к л м н о п к р с т у в в кс и з".split()))
 
 
@@ -54,18 +47,6 @@ def cyrillic(w: str) -> str:
     return out.capitalize() if w[:1].isupper() else out
 
 
-@lru_cache(maxsize=1)
-def given_names() -> frozenset[str]:
-    words = {w.lower() for w in GIVEN.split()} | {n for n in NICK if len(n) > 2}
-    return frozenset(words | {cyrillic(w) for w in words})
-
-
-@lru_cache(maxsize=1)
-def gazetteer() -> np.ndarray:
-    """Sorted token hashes of given names, short forms and their transliterations."""
-    return np.unique([token_hashes(np.frombuffer(w.encode("utf-32-le"), np.uint32))[1][0] for w in sorted(given_names())])
-
-
 @lru_cache(maxsize=1)
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Character -> id, letter flags, lower-cased code points (below U+3000, else itself)."""
@@ -125,7 +106,7 @@ def stream(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray]:
 
 
 def inputs(x: np.ndarray, han: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Input ids: character, whether its word is a given name, whether it is a common word."""
+    """Input ids: character, and whether its word is a common word of the training sentences."""
     ids = tables()[0][x].copy()
     ids[x == 0] = 0
     hans = (x >= 0x4E00) & (x < 0xA000)
@@ -135,15 +116,13 @@ def inputs(x: np.ndarray, han: np.ndarray, common: np.ndarray) -> np.ndarray:
         ids[hans] = np.where(han[at] == x[hans], BASE + at, 231)
     flag = np.zeros(len(x) + 1, np.int8)
     a, h, n = token_hashes(x)
-    bits = np.zeros(len(a), np.int8)
-    for bit, lex in ((1, gazetteer()), (2, common)):
-        if len(lex) and len(a):
-            at = np.searchsorted(lex, h)
-            at[at == len(lex)] = 0
-            bits += np.where(lex[at] == h, np.int8(bit), np.int8(0))
-    flag[a] = bits  # words start and end at different places, and never touch
-    flag[a + n] -= bits
-    ids *= 4
+    if len(common) and len(a):
+        at = np.searchsorted(common, h)
+        at[at == len(common)] = 0
+        hit = common[at] == h
+        flag[a[hit]] = 1  # words start and end at different places, and never touch
+        flag[(a + n)[hit]] -= 1
+    ids *= 2
     ids += np.cumsum(flag[:-1], dtype=np.int32)
     return ids
 
@@ -160,9 +139,10 @@ def fast_weights(m: dict) -> dict:
     return out
 
 
-def emissions(m: dict, ids: np.ndarray) -> np.ndarray:
-    """``T x K x B`` scores of the tags for windows ``T x B``.
+def emissions(m: dict, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``K x (T B)`` scores of the tags for windows ``T x B`` of ascending ``length``.
 
+    A step runs over the windows that reach it, so what stands beside a window has no influence on it.
     Bounds are full arrays: numpy compares arrays much faster than an array and a number.
     """
     steps, b = ids.shape
@@ -172,28 +152,34 @@ def emissions(m: dict, ids: np.ndarray) -> np.ndarray:
     low, one, minus = np.zeros((b, 4 * h), np.float32), np.ones((b, 4 * h), np.float32), np.full((b, h), -1, np.float32)
     low[:, 3 * h :] = -1
     ones = np.ones((b, h), np.float32)
-    i, f, o, g = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
-    keep = np.empty((steps, b, h), np.float32)
+    keep = np.zeros((steps, b, h), np.float32)
+    first = np.searchsorted(length, np.arange(steps), "right")
     out = np.zeros((K, steps * b), np.float32)
     for n, d in enumerate("fb"):
         xp, u = fast[d]
         hs, cs = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            np.take(xp, ids[t], axis=0, out=z, mode="clip")
-            np.dot(hs, u, out=r)
-            z += r
-            np.maximum(z, low, out=z)
-            np.minimum(z, one, out=z)
-            cs *= f
-            g *= i
-            cs += g
+            k = first[t]
+            zz, rr, cc = z[k:], r[k:], cs[k:]
+            xp.take(ids[t, k:], axis=0, out=zz, mode="clip")
+            np.dot(hs[k:], u, out=rr)
+            zz += rr
+            np.maximum(zz, low[k:], out=zz)
+            np.minimum(zz, one[k:], out=zz)
+            g = zz[:, 3 * h :]
+            cc *= zz[:, h : 2 * h]
+            g *= zz[:, :h]
+            cc += g
             hs = keep[t]
-            np.minimum(cs, ones, out=hs)
-            np.maximum(hs, minus, out=hs)
-            hs *= o
+            hh = hs[k:]
+            np.minimum(cc, ones[k:], out=hh)
+            np.maximum(hh, minus[k:], out=hh)
+            hh *= zz[:, 2 * h : 3 * h]
+            if d == "b" and t and first[t - 1] < k:
+                keep[t, first[t - 1] : k] = 0  # windows that end here begin with an empty state
         out += np.dot(np.ascontiguousarray(m["W"][n * h : (n + 1) * h].T), keep.reshape(-1, h).T)
     out += m["b"][:, None]
-    return out.reshape(K, steps, b).transpose(1, 0, 2)
+    return out
 
 
 # transitions that the tags allow: anything to O and to a beginning, an inside only from its own type
@@ -201,10 +187,11 @@ ALLOWED = [list(range(K)) if j == 0 or j % 2 else [j - 1, j] for j in range(K)]
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best tag paths ``T x B`` from ``T x K x B``; the way back is found again from the scores."""
+    """Best tag paths ``T x B`` from ``T x K x B``, with O before and after; the way back is found again from the scores."""
     steps, k, b = e.shape
     s = np.empty((steps, k, b), np.float32)
-    s[0] = e[0]  # a window may begin inside a span
+    s[0] = e[0] + trans[0][:, None]
+    s[0, 2::2] = -1e9  # no inside after O
     cols = [np.ascontiguousarray(trans[:, j])[:, None] for j in range(k)]
     tmp, two = np.empty((k, b), np.float32), np.empty(b, np.float32)
     for t in range(1, steps):
@@ -222,52 +209,141 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     for j in range(k):
         back[ALLOWED[j], j] = trans[ALLOWED[j], j]
     path = np.empty((steps, b), np.int64)
-    path[-1] = s[-1].argmax(0)
+    path[-1] = (s[-1] + trans[:, :1]).argmax(0)
     for t in range(steps - 1, 0, -1):
         path[t - 1] = (s[t - 1] + back[:, path[t]]).argmax(0)
     return path.astype(np.int8)
 
 
-def tag_stream(m: dict, x: np.ndarray) -> np.ndarray:
-    """A tag for each character of a stream."""
-    ids = inputs(x, m["han"], m["common"])
-    n = len(ids)
-    wins = max(1, -(-(n - T) // STEP) + 1)
-    pad = np.zeros((wins - 1) * STEP + T, np.int32)
-    pad[:n] = ids
-    tags = np.zeros(len(pad), np.int8)
-    trans = m["A"]
-    gain = 2 * float(trans.max() - trans[0, 0])
-    cut = (T - STEP) // 2
-    for w0 in range(0, wins, ROWS):
-        first = np.arange(w0, min(wins, w0 + ROWS)) * STEP
-        e = emissions(m, np.ascontiguousarray(pad[first[None, :] + np.arange(T)[:, None]]))
-        hot = e[:, 1:].max(1) - e[:, 0] > -gain
-        # the middle of a window is its own and is decoded in parts with a rim; rims belong to neighbours
-        for lo in range(0, T, PART):
-            a, b = max(0, lo - RIM), min(T, lo + PART + RIM)
-            live = np.flatnonzero(hot[a:b].any(0))
-            if not len(live):
+def pieces(e: np.ndarray, ends: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what must be decoded, from ``K x N`` emissions; segments end at ``ends``.
+
+    A stretch may be cut out if making it O gains, whatever tags it had: each position by more than a
+    transition can give, and all together by more than what the tags beside it can lose (the one after
+    it may have to turn from an inside into a beginning).
+    """
+    n = e.shape[1]
+    other = e[1].copy()
+    for k in range(2, K):
+        np.maximum(other, e[k], out=other)
+    legal = [trans[i, j] for j in range(K) for i in ALLOWED[j]]
+    top = float(max(legal))
+    margin = e[0] - other - np.float32(max(0.0, top - float(trans[0, 0])))
+    margin[ends] = np.float32(1e6)
+    cold = margin > 0
+    edge = np.flatnonzero(np.diff(np.r_[False, cold, False].astype(np.int8)))
+    a, b = edge[::2], edge[1::2]  # the last position is an end, hence cold
+    total = np.add.reduceat(margin, np.stack([a, np.minimum(b, n - 1)], 1).ravel())[::2] if len(a) else np.zeros(0)
+    total[b == n] = 1e6
+    after = np.minimum(b, n - 1)
+    lose = np.maximum(0, np.max([e[k + 1, after] - e[k, after] for k in range(1, K, 2)], axis=0))
+    around = 2 * top - float(trans[:, 0].min()) - float(min(trans[0, k] for k in (0, *range(1, K, 2))))
+    around += max(0.0, *(float(trans[k + 1, j] - trans[k, j]) for k in range(1, K, 2) for j in range(K) if k in ALLOWED[j]))
+    split = total > lose + max(0.0, around)
+    a, b = a[split], b[split]
+    lo, hi = np.r_[0, b], np.r_[a, n]
+    some = hi > lo
+    return lo[some], hi[some]
+
+
+def decode(e: np.ndarray, ends: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """A tag for each position of ``K x N`` emissions."""
+    tags = np.zeros(e.shape[1], np.int8)
+    lo, hi = pieces(e, ends, trans)
+    order = np.argsort(hi - lo, kind="stable")
+    lo, hi = lo[order], hi[order]
+    at = 0
+    while at < len(lo):
+        size = hi - lo
+        to = min(len(lo), at + 512, int(np.searchsorted(size, max(size[at] * 5 // 4, size[at] + 3), "right")))
+        steps = int(size[to - 1])
+        pos = lo[at:to][None, :] + np.arange(steps)[:, None]
+        live = pos < hi[at:to][None, :]
+        part = e[:, np.where(live, pos, lo[at:to][None, :])].transpose(1, 0, 2).copy()
+        part[:, 0][~live] = 0
+        part[:, 1:].transpose(0, 2, 1)[~live] = -1e6
+        path = viterbi(part, trans)
+        tags[pos[live]] = path[live]
+        at = to
+    return tags
+
+
+# what ends a segment: a line, a sentence (a full stop only after a word of four letters, before no digit), a bar
+CUT = re.compile(r"\n+|[!?。！？；]+|\.\s+(?=[^\d\s])|\s\|\s")
+SHORT_FORM = re.compile(r"(?:prof|avda|просп|herr|frau|(?<![^\W\d_])[^\W\d_]{1,3})$", re.I)
+
+
+def segments(text: str) -> list[tuple[int, str]]:
+    """Offsets and texts of the segments; blanks at both ends belong to none."""
+    out, at = [], 0
+    for m in CUT.finditer(text):
+        a, b = m.span()
+        c = text[a]
+        if c == ".":
+            if not text[a - 4 : a].isalpha() or SHORT_FORM.search(text, max(at, a - 6), a):
                 continue
-            path = viterbi(np.ascontiguousarray(e[a:b, :, live]), trans)
-            at = first[live][None, :] + np.arange(lo, lo + PART)[:, None]
-            own = np.arange(lo, lo + PART)
-            mine = ((own >= cut) & (own < T - cut))[:, None] | ((at < cut) & (w0 == 0)) | (at >= (wins - 1) * STEP + T - cut)
-            tags[at[mine]] = path[lo - a : lo - a + PART][mine]
-    return tags[:n]
+            a += 1
+        elif c not in "\n \t":
+            a = b
+        if a > at:
+            s = text[at:a]
+            t = s.strip()
+            if len(t) > 1:
+                out.append((at + s.index(t[0]), t))
+        at = b
+    if at < len(text):
+        s = text[at:]
+        t = s.strip()
+        if len(t) > 1:
+            out.append((at + s.index(t[0]), t))
+    return out
+
+
+def tag_stream(m: dict, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A tag for each character of a stream whose segments end at ``ends``."""
+    ids = inputs(x, m["han"], m["common"])
+    start = np.r_[0, ends[:-1] + 1]
+    size = ends - start
+    # windows: one for a segment up to T, else overlapping ones; the own zone of each ends midway in the overlap
+    extra = np.maximum(0, -(-(size - T) // STEP))
+    seg = np.repeat(np.arange(len(size)), extra + 1)
+    nth = np.arange(len(seg)) - np.repeat(np.cumsum(extra + 1) - (extra + 1), extra + 1)
+    w0 = start[seg] + nth * STEP
+    w1 = np.minimum(w0 + T, ends[seg])
+    rim = (T - STEP) // 2
+    own0 = np.where(nth == 0, w0, w0 + rim)
+    own1 = np.where(nth == extra[seg], w1, w1 - rim)
+    order = np.argsort(w1 - w0, kind="stable")
+    w0, w1, own0, own1 = w0[order], w1[order], own0[order], own1[order]
+    e = np.empty((K, len(x)), np.float32)
+    e[:, ends] = 0
+    length, at = w1 - w0, 0
+    while at < len(w0):
+        to = min(len(w0), at + ROWS, max(at + 1, at + CHARS // max(1, int(length[min(len(w0) - 1, at + ROWS)]))))
+        steps = int(length[to - 1])
+        pos = w0[at:to][None, :] + np.arange(steps)[:, None]
+        got = emissions(m, ids[np.minimum(pos, len(ids) - 1)], length[at:to])
+        mine = ((pos >= own0[at:to][None, :]) & (pos < own1[at:to][None, :])).ravel()
+        where = pos.ravel()[mine]
+        for k in range(K):
+            e[k][where] = got[k][mine]
+        at = to
+    return decode(e, ends, m["A"])
 
 
 MAIL = r"[A-Za-z0-9_.+\-]+\s*(?:@|\(at\)|\[at\]|\sat\s)\s*[A-Za-z0-9_\-]+(?:\s*(?:\.|\[dot\]|\(dot\)|\sdot\s)\s*[A-Za-z][A-Za-z0-9\-]+)+"
 CHECK = {
     "email": re.compile(MAIL, re.I),
     "phone": re.compile(r"(?<![0-9A-Za-z.])(?!(?:19|20)\d\d-\d\d-\d\d(?!\d))(?:\+|00)?\(?\d(?:[ ()./\-]{0,2}\d){6,14}(?![0-9A-Za-z])"),
-    "id_number": re.compile(r"(?<![0-9A-Za-z])(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|[XYZ]?-?\d[\d.]{5,10}-?[A-Z]|[A-Z]\d{7,9}|(?=(?:[A-Z]?\d){5})[A-Z][A-Z0-9]{7,9}|(?!(?:19|20)\d\d-\d\d-\d\d(?!\d))\d(?:[ \-]?\d){7,17}[Xx]?)(?![0-9A-Za-z])"),
+    "id_number": re.compile(r"(?<![0-9A-Za-z])(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|[XYZ]?-?\d[\d.]{5,10}-?[A-Z]|[A-Z]{1,3}\d{6,9}|(?=(?:[A-Z]?\d){5})[A-Z][A-Z0-9]{7,9}|(?!(?:19|20)\d\d-\d\d-\d\d(?!\d))\d(?:[ \-]?\d){7,17}[Xx]?)(?![0-9A-Za-z])"),
     "street_address": re.compile(r"(?=.*(?:\d|号))(?=.*(?:[A-ZА-Яa-zа-яäöüßáéíóúñ]{4}|[一-鿿]{3}))\S.*\S", re.S),
     "person_name": re.compile(r"[^\W\d_]"),
 }
 RUSSIAN_STREET = re.compile(r"(?:проспект|просп\.|улица|ул\.|пер\.|переулок|бульвар)\s+[^\d,]+,\s*д\.\s*\d+\w?(?:,\s*кв\.\s*\d+)?(?:,\s*(?:\d{5,6}\s+)?[А-Я][а-я]+)?")
 HEDGE = re.compile(r"(?:(?:dr|prof|mr|mrs|ms|herr|frau|sr|sra|miss|г-н|г-жа)\.?\s+)+", re.I)
 TAIL = re.compile(r"[\s,]+(?:jr|sr|ii|iii|phd|md)\.?$", re.I)
+# Small words inside names.
+PARTICLES = set("de del la di da dos van von der den bin ibn al el y zu ten".split())
 EDGE = " \t\r\n,;:!?\"'()[]{}<>|/*~_-。，、；：！？（）「」"
 
 
@@ -311,12 +387,25 @@ def refine(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
         if "@" in v or re.search(r"\d", v):
             return None
         if re.match("[一-鿿]", v):
-            return (a, b) if 2 <= len(v) <= 4 and v[0] in FAMILY else None
-        words = re.findall(r"[^\W\d_]+", v)
-        if not 2 <= len(words) <= 4 or max(map(len, words)) < 2 or re.search(r"[_\[\]|]", v):
+            return (a, b) if re.fullmatch("[一-鿿]{2,4}", v) else None
+        words = list(re.finditer(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", v))
+        if any(w[0][0].isupper() for w in words):  # a word in lower case amid capitals ends the name, unless it is a particle
+            runs: list[list] = [[]]
+            for w in words:
+                if w[0][0].isupper() or (w[0] in PARTICLES and runs[-1]):
+                    runs[-1].append(w)
+                elif runs[-1]:
+                    runs.append([])
+            words = max(runs, key=len)
+            while words and not words[-1][0][0].isupper():
+                words.pop()
+            if words:
+                end = words[-1].end() + (1 if len(words[-1][0]) == 1 and v[words[-1].end() :][:1] == "." else 0)
+                a, v = a + words[0].start(), v[words[0].start() : end]
+                b = a + len(v)
+        words = [w[0] for w in words]
+        if not 2 <= len(words) <= 5 or max(map(len, words)) < 2 or re.search(r"[_\[\]|]", v):
             return None
-        if v.isupper() and not any(w.lower() in given_names() for w in words):
-            return None  # shouted words
         return a, b
     return (a, b) if b - a > 4 and CHECK[kind].match(text[a:b]) else None
 
@@ -334,26 +423,30 @@ def model(path: str = MODEL) -> dict:
 def spans(texts: list[str | None], m: dict | None = None) -> list[list[tuple[int, int, str]]]:
     """``(start, end, type)`` of each text, in order, without overlaps."""
     m = m or model()
-    joined, x, ends = stream(texts)
-    tags = tag_stream(m, x)
-    tags[x == 0] = 0
+    known: dict[str, int] = {}  # equal segments are read once
+    parts = [[(at, known.setdefault(s, len(known))) for at, s in segments(t)] if t else [] for t in texts]
+    if not known:
+        return [[] for _ in texts]
+    segs = list(known)
+    _, x, ends = stream(segs)
+    tags = tag_stream(m, x, ends)
     kind = (tags + 1) // 2  # 0 outside, else the type's number
     begin = (kind > 0) & ((tags % 2 == 1) | (np.r_[0, kind[:-1]] != kind))
     a = np.flatnonzero(begin)
     stop = np.flatnonzero((kind > 0) & np.r_[(kind[1:] != kind[:-1]) | begin[1:], True]) + 1
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    doc = np.searchsorted(ends, a)
     first = np.r_[0, ends[:-1] + 1]
-    for i, s, e in zip(doc, a, stop):
-        base = first[i]
-        t = texts[i]
-        got = refine(TYPES[kind[s] - 1], t, int(s - base), int(e - base))
-        if got and (not out[i] or got[0] >= out[i][-1][1]):
-            out[i].append((*got, TYPES[kind[s] - 1]))
-    return out
-
-
-def portions(texts: list[str | None], most: int = 2_000_000, rows: int = 1000) -> Iterator[tuple[int, int]]:
+    inside: dict[int, list[tuple[int, int, str]]] = {}
+    for i, s, e in zip(np.searchsorted(ends, a).tolist(), a.tolist(), stop.tolist()):
+        base = int(first[i])
+        typ = TYPES[kind[s] - 1]
+        got = refine(typ, segs[i], s - base, e - base)
+        have = inside.setdefault(i, [])
+        if got and (not have or got[0] >= have[-1][1]):
+            have.append((*got, typ))
+    return [[(at + a, at + b, typ) for at, i in p for a, b, typ in inside.get(i, ())] for p in parts]
+
+
+def portions(texts: list[str | None], most: int = 1_000_000, rows: int = 20_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``most`` characters (a longer text alone), so that long texts don't fill the memory."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -413,7 +506,9 @@ def _redact_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at, end in portions(b.column(3).to_pylist()):
             part = b.slice(at, end - at)
             text = part.column(3).to_pylist()
-            new = [redact(t, s) for t, s in zip(text, spans(text))]
+            same = list(dict.fromkeys(t or "" for t in text))  # equal texts are read once
+            of = dict(zip(same, spans(same)))
+            new = [redact(t, of[t or ""]) for t in text]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(new, pa.string())], names=part.schema.names)
 
 

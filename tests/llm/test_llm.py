@@ -70,6 +70,34 @@ def test_prefix_depth():
 
 
 # ---- 2 personal information
+# carriers and values that occur neither in the training templates nor in the tables
+HELD_NAMES = "Hiroshi Tanaka;Olga Petrova;Fatima Al-Rashid;Emma Thompson;Sanjay Gupta;Graham Norton;Marcus Webb;Ingvar Holm;Michael Webb;Louise Pemberton;Rosa Delgado;Viktor Orlov;Noor Rahman;Kenji Matsuda;Beatrice Fontaine;Dmitry Belov;Lucia Marino;Patrick Gallagher;Renate Vogel;Tomas Havel;P. Gallagher;Vogel, Renate;Amina Diallo;Jonas Lindqvist".split(";")
+HELD = {
+    "person_name": [f"{x}" for x in ("The contract was drafted by {} last winter.", "{} will chair the panel on Tuesday.", "Nobody has seen {} since lunch.", "I owe {} ten euros.", "Could {} review the slides?", "{} and her team won the cup.", "Tickets are held for {} at the door.", "The new tenant is {}.")],
+    "email": ["Forward the logs to {} once done.", "My old inbox {} is closed.", "Invoices go to {}, thanks."],
+    "phone": ["You can reach the clinic under {}.", "Ring {} when you arrive.", "Our office line is {} now."],
+    "id_number": ["The clerk noted passport number {}.", "Her identity card reads {}.", "Please quote national id {} in the form."],
+    "street_address": ["The bakery moved to {}.", "Parcels for us go to {}.", "Our new home is {}."],
+}
+HELD_VALUES = {
+    "email": ["hiroshi.tanaka@mail.co.jp", "olga_p@posteo.net", "m.webb+work@corp.example.org", "sgupta77@uni.edu"],
+    "phone": ["+1 212 555 0147", "(415) 555-0199", "+49 171 5550123", "020 7946 0018"],
+    "id_number": ["AB1234567", "987-65-4320", "X1234567L", "C98765432"],
+    "street_address": ["12 Baker Street, London NW1 6XE", "48 Elm Avenue, Springfield, IL 62704", "7 Orchard Lane", "221 Maple Road, Flat 4"],
+}
+
+
+def test_pii_disjoint_names_and_carriers():
+    cases = [(c.format(v), k, v) for k, cs in HELD.items() for c in cs for v in (HELD_NAMES if k == "person_name" else HELD_VALUES[k])]
+    known = {w for c in (pii_train.NAME, pii_train.MORE) for t in c.values() for w in t.split("|")}
+    assert not known & {c.replace("{}", "{N}") for c in HELD["person_name"]} and not set(pii_train.GIVEN.split()) & {n.split()[0] for n in HELD_NAMES}
+    got = pii.spans([t for t, _, _ in cases])
+    hit = sum((k, v) in {(g, t[a:b]) for a, b, g in found} for (t, k, v), found in zip(cases, got))
+    extra = sum((g, t[a:b]) != (k, v) for (t, k, v), found in zip(cases, got) for a, b, g in found)
+    print("held out: recall", hit / len(cases), "precision", hit / (hit + extra))
+    assert hit / len(cases) > 0.8 and hit / (hit + extra) > 0.85
+
+
 def test_pii_round_trip_and_held_out():
     rng = random.Random(99)
     hit = total = extra = 0
@@ -87,6 +115,26 @@ def test_pii_round_trip_and_held_out():
     assert pii.redact(None, []) is None
 
 
+def test_pii_does_not_depend_on_neighbours():
+    texts = ["Lena Dugrafizo", "call me at (555) 019-9704 after six", "x", "ask Hiroshi Tanaka about the tent. " * 30, "word " * 400 + "Lena Dugrafizo wrote"]
+    together = pii.spans(texts)
+    assert together == [pii.spans([t])[0] for t in texts] and all(together[i] for i in (0, 1, 3))
+    assert len(together[3]) == 30
+
+
+def test_pieces_give_the_path_of_the_whole_sweep():
+    rng = np.random.default_rng(5)
+    trans = pii.model()["A"]
+    for _ in range(40):
+        n = int(rng.integers(5, 120))
+        e = rng.standard_normal((pii.K, n)).astype(np.float32) * 3
+        e[0] += rng.choice([0, 4, 12], n)
+        ends = np.array([n - 1])
+        e[:, -1] = 0
+        whole = pii.viterbi(e[:, :-1].T[:, :, None].copy(), trans)[:, 0]
+        assert (pii.decode(e, ends, trans)[:-1] == whole).all()
+
+
 def test_pii_plain(spark):
     m = spark.createDataFrame([(1, "call me at (555) 019-9704 after six", "Lena Dugrafizo"), (1, "call me at (555) 019-9704 after six", "Lena Dugrafizo"), (2, None, None)], "id long, content string, sender_name string")
     d = spark.createDataFrame([(7, "you can write to kodafano19@dibrehi.invalid any time. server 192.0.2.93 answered in 769 ms " * 300), (8, None)], "doc_id long, text string")
@@ -100,10 +148,12 @@ def test_pii_plain(spark):
 def test_crf_decoding_is_exact():
     rng = np.random.default_rng(3)
     e, a = rng.standard_normal((6, pii.K, 5)).astype(np.float32), rng.standard_normal((pii.K, pii.K)).astype(np.float32)
-    path = pii.viterbi(e, a)
+    path = pii.viterbi(e, a)  # outside before and after
 
     def score(p, b):
-        s = e[0, p[0], b]
+        if p[0] and p[0] % 2 == 0:
+            return -1e9  # no inside after outside
+        s = a[0, p[0]] + e[0, p[0], b] + a[p[-1], 0]
         for t in range(1, len(p)):
             if p[t - 1] not in pii.ALLOWED[p[t]]:
                 return -1e9
