@@ -12,14 +12,15 @@ RELATION_TERMS = ["谁", "和谁", "关系", "认识", "朋友", "同事", "家
 TEMPORAL_TERMS = ["上次", "昨天", "前天", "刚才", "之前", "什么时候", "哪天", "最近", "last time", "yesterday", "recently", "when"]
 FACTUAL_TERMS = ["是什么", "什么是", "解释", "定义", "怎么", "如何", "why", "what is", "explain", "define", "how to"]
 
-# Patterns of the atom classes, an own set for the languages of the tables; Java and RE2 read them alike.
+# Words that tell the class of an atom (times, actions, states, relations, preferences).
 ATOM_PATTERNS = {
-    "planned": r"(明天|后天|下周|下个月|明年|之前|截止|(^|[^A-Za-z])will([^A-Za-z]|$)|(^|[^A-Za-z])plans? to([^A-Za-z]|$)|promised to|going to|(^|[^A-Za-z])before([^A-Za-z]|$)|antes del|piensa|wird |plant|bis zum|собирается|планирует|до \d)",
-    "preference": r"(喜欢|讨厌|偏好|最爱|(^|[^A-Za-z])prefers?([^A-Za-z]|$)|(^|[^A-Za-z])likes?([^A-Za-z]|$)|dislikes?|(^|[^A-Za-z])loves?([^A-Za-z]|$)|(^|[^A-Za-z])hates?([^A-Za-z]|$)|prefiere|le gusta|(^|[^A-Za-z])mag([^A-Za-z]|$)|bevorzugt|любит|предпочитает)",
-    "relational": r"(同事|朋友|同学|家人|邻居|室友|合作|(^|[^A-Za-z])friends?([^A-Za-z]|$)|colleague|neighbo|teammate|together with|classmate|amigo|vecina|compañer|Kollege|Nachbar|Freund|коллега|сосед|друг)",
-    "factual": r"(位于|属于|包括|意味|(^|[^A-Za-z])is([^A-Za-z]|$)|(^|[^A-Za-z])are([^A-Za-z]|$)|(^|[^A-Za-z])has([^A-Za-z]|$)|(^|[^A-Za-z])costs?([^A-Za-z]|$)|(^|[^A-Za-z])keeps?([^A-Za-z]|$)|(^|[^A-Za-z])stores?([^A-Za-z]|$)|belongs to| es | cuesta| ist | kostet|стоит)",
-    "episodic": r"(昨天|前天|上周|去了|参加|完成|(^|[^A-Za-z])was([^A-Za-z]|$)|(^|[^A-Za-z])went([^A-Za-z]|$)|(^|[^A-Za-z])moved([^A-Za-z]|$)|(^|[^A-Za-z])lost([^A-Za-z]|$)|(^|[^A-Za-z])visited([^A-Za-z]|$)|(^|[^A-Za-z])finished([^A-Za-z]|$)|(^|[^A-Za-z])came([^A-Za-z]|$)|fue|perdió| war |ging|verlor|потерял|был)",
+    "time": r"明天|后天|大后天|昨天|前天|今天|(?:上周|本周|下下周|下周)?周[一二三四五六日天]|上周|本周|下下周|下周|下个?月|上个?月|明年|后年|去年|前年|[0-9]{1,2}月[0-9]{1,2}[日号]|[0-9]{4}年[0-9]{1,2}月|上午|下午|晚上|凌晨|早上|中午|傍晚|[0-9]{1,2}[点时：:][0-9]{1,2}",
+    "action": r"开会|讨论|参加|组织|安排|举办|进行|执行|完成|提交|发送|发布|去|来|到|做|要|准备|计划|打算",
+    "stative": r"是|有|属于|等于|代表|意味|包含|包括|位于",
+    "relation": r"同事|朋友|同学|家人|亲戚|队友|搭档|伙伴|老板|上司|下属|合作|合伙|夫妻|情侣|邻居|室友|老乡",
+    "preference": r"喜欢|讨厌|爱|不爱|偏好|最爱|不喜欢|热衷于|沉迷|爱吃|爱喝|喜欢喝|喜欢去|讨厌吃|讨厌去",
 }
+# Confidence of each class, base days to live and kind of decay, states of an atom.
 ATOM_CONFIDENCE = {"planned": 0.85, "preference": 0.82, "relational": 0.80, "factual": 0.78, "episodic": 0.75, "unknown": 0.60}
 TTL_BASE = {"episodic": (7.0, "exponential"), "planned": (2.0, "step"), "factual": (180.0, "exponential"), "relational": (90.0, "linear"), "preference": (60.0, "exponential"), "unknown": (30.0, "exponential")}
 ATOM_STATUSES = ["active", "dormant", "expired", "forgotten", "superseded"]

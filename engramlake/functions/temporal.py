@@ -35,11 +35,12 @@ def decay_kind(kind: Column) -> Column:
 
 
 def classify(c: Column) -> Column:
-    """The first class whose pattern matches; unknown if none does."""
-    out = F.lit("unknown")
-    for k in reversed(list(ATOM_PATTERNS)):
-        out = F.when(c.rlike(ATOM_PATTERNS[k]), F.lit(k)).otherwise(out)
-    return out
+    """A time with an action is planned; else preference, relation, state, action; unknown if none occurs."""
+    has = {k: c.rlike(p) for k, p in ATOM_PATTERNS.items()}
+    return (
+        F.when(has["time"] & has["action"], "planned").when(has["preference"], "preference").when(has["relation"], "relational")
+        .when(has["stative"], "factual").when(has["action"], "episodic").otherwise("unknown")
+    )
 
 
 def class_confidence(kind: Column) -> Column:

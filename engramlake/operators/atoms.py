@@ -19,8 +19,14 @@ def current(atoms: DataFrame) -> DataFrame:
 
 
 def atomise(mem: DataFrame, as_of: float) -> DataFrame:
-    """One atom for each fact: class, confidence, days to live. ``mem`` has memory_id, facts, importance."""
-    a = mem.select("memory_id", "importance", F.posexplode("facts").alias("pos", "content")).where("trim(content) <> ''")
+    """One atom for each fact: class, confidence, days to live, and the memory's topics and participants as entities.
+
+    ``mem`` has memory_id, facts, importance and may have topics and participants (arrays; null: none).
+    Only plans have a time of the event.
+    """
+    none = F.array().cast("array<string>")
+    ents = F.concat(*[F.coalesce(c, none) if c in mem.columns else none for c in ("topics", "participants")])
+    a = mem.select("memory_id", "importance", ents.alias("entities"), F.posexplode("facts").alias("pos", "content")).where("trim(content) <> ''").withColumn("content", F.trim("content"))
     a = a.withColumn("atom_type", temporal.classify(F.col("content"))).withColumn("confidence", temporal.class_confidence(F.col("atom_type")))
     event = F.datediff(temporal.relative_date(F.col("content"), as_of), F.to_date(F.timestamp_seconds(F.lit(as_of)))).cast("double")
     ttl = temporal.atom_ttl(F.col("atom_type"), F.col("importance"), F.lit(0), event)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import temporal
 from engramlake.functions import text as T
-from engramlake.operators.ranks import bucketed_rank
+from engramlake.operators.ranks import bucketed_rank, chunks
 
 
 def clean(messages: DataFrame) -> DataFrame:
@@ -85,24 +85,53 @@ def expired(sessions: DataFrame, as_of: float, ttl: float) -> DataFrame:
     return sessions.where(F.coalesce("last_active_at", "created_at", F.lit(0.0)) < as_of - ttl).select("session_id")
 
 
-def rounds(messages: DataFrame, most: int = 60_000, cut: int = 30_000) -> DataFrame:
-    """A user row and the assistant row right after it, as one text; too long pairs are left out."""
-    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("at"), "id")
-    m = messages.where("session_id is not null").withColumn("r2", F.lead("role").over(w)).withColumn("c2", F.lead("content").over(w)).where("role = 'user' and r2 = 'assistant'")
+def purge(sessions: DataFrame, messages: DataFrame, as_of: float, ttl: float) -> tuple[DataFrame, DataFrame]:
+    """Sessions and messages that stay when idle sessions go; messages of no session stay."""
+    gone = expired(sessions, as_of, ttl).where("session_id is not null").distinct()
+    return sessions.join(gone, "session_id", "left_anti"), messages.join(gone, "session_id", "left_anti")
+
+
+def by_time(messages: DataFrame) -> DataFrame:
+    """Adds ``pos``: numbers of a session's messages by time, then id; null times first."""
+    return bucketed_rank(messages.where("session_id is not null"), ["session_id"], F.floor(F.col("at") / 3600), [F.asc_nulls_first("at"), "id"])
+
+
+def rounds(messages: DataFrame, most: int = 60_000, cut: int = 30_000, size: int = 5000) -> DataFrame:
+    """``session_id, id, text, was_cut``: a user row and the assistant row right after it, as one text.
+
+    Pairs of over ``most`` characters are left out; a part of over ``cut`` is cut, which ``was_cut`` tells.
+    """
+    m, w = chunks(by_time(messages), ["session_id"], size=size, rim=1)
+    m = m.withColumn("r0", F.lag("role").over(w)).withColumn("c0", F.lag("content").over(w)).withColumn("i0", F.lag("id").over(w)).where("_own and role = 'assistant' and r0 = 'user'")
+    n = [F.length(F.coalesce(x, F.lit(""))) for x in ("c0", "content")]
     c = lambda x: T.truncate(F.coalesce(x, F.lit("")), cut)
-    return m.where(F.length(F.coalesce("content", F.lit(""))) + F.length(F.coalesce("c2", F.lit(""))) <= most).select("session_id", "id", F.concat(F.lit("user: "), c(F.col("content")), F.lit("\nassistant: "), c(F.col("c2"))).alias("text"))
+    text = F.concat(F.lit("user: "), c(F.col("c0")), F.lit("\nassistant: "), c(F.col("content")))
+    return m.where(n[0] + n[1] <= most).select("session_id", F.col("i0").alias("id"), text.alias("text"), ((n[0] > cut) | (n[1] > cut)).alias("was_cut"))
+
+
+def with_context(messages: DataFrame, within: float = 7200.0, before: int = 4, size: int = 5000) -> DataFrame:
+    """``id, expanded``: each message after the up to ``before`` messages right before it that are at most
+    ``within`` seconds older and not blank, oldest first, joined by bars. A null time gives and takes no context."""
+    m, w = chunks(by_time(messages), ["session_id"], size=size, rim=before)
+    prev = F.array(*[F.struct(F.lag("content", k).over(w).alias("c"), F.lag("at", k).over(w).alias("t")) for k in range(before, 0, -1)])
+    m = m.withColumn("_p", prev).where("_own")
+    fit = F.filter("_p", lambda x: (F.trim(x["c"]) != "") & (F.col("at") - x["t"] <= within))
+    parts = F.transform(fit, lambda x: F.trim(x["c"]))
+    own = F.coalesce("content", F.lit(""))
+    return m.select("id", F.when(F.size(parts) > 0, F.concat(F.array_join(parts, " | "), F.lit(" "), own)).otherwise(own).alias("expanded"))
 
 
-def context_lines(messages: DataFrame, n: int = 50) -> DataFrame:
-    """Lines of the last n messages; group rows name the speaker, id and time."""
+def context_lines(messages: DataFrame) -> DataFrame:
+    """``session_id, pos, line``: every message as a line; group rows name the speaker, id and time."""
     who = F.concat(F.lit("["), F.when(F.col("role") == "assistant", "Bot: ").otherwise(""), F.coalesce("sender_name", "sender_id", F.lit("?")), F.lit(" | "), F.coalesce("sender_id", F.lit("?")), F.lit(" | "), F.coalesce(F.date_format(F.timestamp_seconds(F.floor("at")), "yyyy-MM-dd HH:mm"), F.lit("?")), F.lit("] "))
     line = F.concat(F.when(F.col("group_id").isNotNull(), who).otherwise(F.concat(F.coalesce("role", F.lit("?")), F.lit(": "))), F.coalesce("content", F.lit("")))
-    return last_n(messages, n).select("session_id", "pos", line.alias("line"))
+    return by_time(messages).select("session_id", "pos", line.alias("line"))
 
 
-def transcripts(messages: DataFrame, n: int = 50) -> DataFrame:
-    """The last n lines of each session as one text; n bounds what is gathered."""
-    return context_lines(messages, n).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+def transcripts(messages: DataFrame, lines: int = 200) -> DataFrame:
+    """``session_id, part, text``: all lines of each session in order, ``lines`` to a part, so that no session is gathered whole."""
+    c = context_lines(messages).withColumn("part", F.floor((F.col("pos") - 1) / lines))
+    return c.groupBy("session_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
 def time_tags(messages: DataFrame) -> DataFrame:

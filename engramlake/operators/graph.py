@@ -62,17 +62,37 @@ def merge_edges(obs: DataFrame, seq: str = "memory_id") -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(F.col("confidence") * share).alias("confidence"), F.sum(wt * weight).alias("weight"), F.count(F.lit(1)).alias("n_obs"))
 
 
-def neighbors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``query_id, node_key, weight`` one step from the seeds (``query_id, node_key``), seeds left out."""
+def stored_edges(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """``source_key, target_key, relation_type, confidence, weight, n_obs`` of the edges behind entries of type ``edge``.
+
+    An edge ties the least and the greatest node its entry links; the confidence is the entry's
+    ``graph_confidence`` (0.8 if missing). A memory's later entry of an edge replaces its earlier one;
+    edges of several memories merge in the order of entries. Null links and single nodes give none.
+    """
+    from engramlake.operators.memories import meta_number
+
+    l = links.where("entry_id is not null and node_id is not null").groupBy("entry_id").agg(F.min("node_id").alias("source_key"), F.max("node_id").alias("target_key")).where("source_key < target_key")
+    e = entries.where("entry_type = 'edge'").select(F.col("id").alias("entry_id"), F.col("source_memory_id").alias("memory_id"), F.coalesce("relation_type", F.lit("related")).alias("relation_type"), F.coalesce(meta_number(F.col("metadata"), "graph_confidence"), F.lit(0.8)).alias("confidence"))
+    keys = ["memory_id", "source_key", "target_key", "relation_type"]
+    obs = e.join(l, "entry_id").groupBy(*keys).agg(F.max("entry_id").alias("entry_id"), F.max_by("confidence", "entry_id").alias("confidence"))
+    return merge_edges(obs, "entry_id")
+
+
+def neighbors(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """``query_id, node_key, weight`` one step from the seeds (``query_id, node_key``), seeds left out; the heaviest ``most``."""
     both = edges.select(F.col("source_key").alias("node_key"), F.col("target_key").alias("next"), "weight").unionAll(edges.select("target_key", "source_key", "weight"))
-    out = seeds.join(both, "node_key").groupBy("query_id", F.col("next").alias("node_key")).agg(F.sum("weight").alias("weight"))
-    return out.join(seeds.select("query_id", "node_key"), ["query_id", "node_key"], "left_anti")
+    out = seeds.select("query_id", "node_key").join(both, "node_key").groupBy("query_id", F.col("next").alias("node_key")).agg(F.sum("weight").alias("weight"))
+    out = out.join(seeds.select("query_id", "node_key"), ["query_id", "node_key"], "left_anti")
+    if most is None:
+        return out
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("weight", 9)), "node_key")
+    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
-def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def two_hop(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """``query_id, node_key, hop``: breadth first, each node at its first hop."""
-    one = neighbors(edges, seeds).select("query_id", "node_key")
-    two = neighbors(edges, one).select("query_id", "node_key").join(seeds.select("query_id", "node_key"), ["query_id", "node_key"], "left_anti")
+    one = neighbors(edges, seeds, most).select("query_id", "node_key")
+    two = neighbors(edges, one, most).select("query_id", "node_key").join(seeds.select("query_id", "node_key"), ["query_id", "node_key"], "left_anti")
     return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
 
 
@@ -84,47 +104,89 @@ def entry_search(scores: DataFrame, entries: DataFrame, queries: DataFrame, k: i
     return minmax(top(j, k)).select("query_id", "doc_id", "source_memory_id", "score", "rank")
 
 
-def node_matches(queries: DataFrame, nodes: DataFrame, most: int = 24) -> DataFrame:
-    """Nodes whose canonical value holds a query token; shortest first.
+def token_matches(toks: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """``query_id, node_id, rank``: nodes whose canonical value holds a token (``query_id, tok``); shortest first.
 
-    The token list comes from the queries; nodes are scanned once against it.
+    Nodes are looked up by the first one to three characters of the token in their 1- to 3-grams, an
+    equality join; the whole token is tested after it.
     """
-    toks = queries.select("query_id", F.explode(T.graph_query_tokens(F.col("query"))).alias("tok")).distinct()
-    hit = nodes.select("id", F.lower("canonical_value").alias("v")).where("v is not null").join(toks, F.contains(F.col("v"), F.col("tok")))
+    v = F.lower("canonical_value")
+    grams = lambda k: F.when(F.length(v) >= k, F.transform(F.sequence(F.lit(1), F.length(v) - k + 1), lambda i: F.substring(v, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    n = nodes.where("canonical_value is not null").select("id", v.alias("v"), F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
+    t = toks.where("tok <> ''").select("query_id", F.lower("tok").alias("tok")).distinct().withColumn("gram", F.substring("tok", 1, 3))
+    hit = t.join(n, "gram").where(F.contains(F.col("v"), F.col("tok")))
     one = hit.select("query_id", "id", F.length("v").alias("len")).distinct()
     w = Window.partitionBy("query_id").orderBy("len", "id")
     return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", F.col("id").alias("node_id"), "rank")
 
 
-def entries_of_nodes(hits: DataFrame, links: DataFrame, entries: DataFrame, most: int = 50) -> DataFrame:
-    """Entries linked to the nodes of a query: 0.35 plus 0.15 a distinct node, at most 1."""
+def node_matches(queries: DataFrame, nodes: DataFrame, most: int = 24) -> DataFrame:
+    """Nodes for the tokens of a view's text query."""
+    return token_matches(queries.select("query_id", F.explode(T.graph_query_tokens(F.col("query"))).alias("tok")), nodes, most)
+
+
+def entries_of_nodes(hits: DataFrame, links: DataFrame, entries: DataFrame, most: int = 50, queries: DataFrame | None = None) -> DataFrame:
+    """Entries linked to the nodes of a query, in its scope: 0.35 plus 0.15 a distinct node, at most 1."""
     j = hits.select("query_id", "node_id").join(links.where("node_id is not null").select("entry_id", "node_id").distinct(), "node_id")
     c = j.groupBy("query_id", "entry_id").agg(F.countDistinct("node_id").alias("hits"))
-    c = c.join(entries.select(F.col("id").alias("entry_id"), "source_memory_id"), "entry_id")
+    c = c.join(entries.select(F.col("id").alias("entry_id"), "source_memory_id", "session_id", "persona_id"), "entry_id")
+    if queries is not None:
+        c = c.join(queries.select("query_id", F.col("session_id").alias("q_s"), F.col("persona_id").alias("q_p")), "query_id").where("(q_s is null or session_id = q_s) and (q_p is null or persona_id = q_p)")
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("entry_id"))
     c = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    return c.withColumn("score", F.least(F.lit(1.0), 0.35 + 0.15 * F.col("hits")))
+    return c.withColumn("score", F.least(F.lit(1.0), 0.35 + 0.15 * F.col("hits"))).drop("session_id", "persona_id", "q_s", "q_p")
 
 
 def fold_hits(hits: DataFrame) -> DataFrame:
-    """``query_id, memory_id, score, trail`` from ``query_id, memory_id, stage, rank, score``.
+    """``query_id, memory_id, score, entry_id, trail`` from ``query_id, memory_id, stage, rank, score, entry_id``.
 
-    In the order of stages: a higher hit replaces the score, a lower one adds 0.35 of itself, up to 1.
-    The list of one memory is bounded by the stages' limits.
+    In the order of stages: a higher hit replaces the score (and the entry that stands for the memory),
+    a lower one adds 0.35 of itself, up to 1. The list of one memory is bounded by the stages' limits.
     """
-    seq = F.array_sort(F.collect_list(F.struct("stage", "rank", "score")))
-    fold = lambda a, x: F.when(x["score"] > a, x["score"]).otherwise(F.least(F.lit(1.0), a + 0.35 * x["score"]))
-    g = hits.groupBy("query_id", "memory_id").agg(seq.alias("h"))
-    return g.select("query_id", "memory_id", F.aggregate("h", F.lit(0.0), fold).alias("score"), F.array_join(F.array_distinct(F.transform("h", lambda x: x["stage"].cast("string"))), ",").alias("trail"))
+    seq = F.array_sort(F.collect_list(F.struct("stage", "rank", "score", "entry_id")))
+    first = F.struct(F.lit(-1.0).alias("s"), F.lit(None).cast("long").alias("e"))
+    fold = lambda a, x: F.when(x["score"] > a["s"], F.struct(x["score"].alias("s"), x["entry_id"].alias("e"))).otherwise(F.struct(F.least(F.lit(1.0), a["s"] + 0.35 * x["score"]).alias("s"), a["e"].alias("e")))
+    entry = (F.col("entry_id") if "entry_id" in hits.columns else F.lit(None)).cast("long").alias("entry_id")
+    g = hits.select("query_id", "memory_id", "stage", "rank", "score", entry).groupBy("query_id", "memory_id").agg(seq.alias("h")).withColumn("f", F.aggregate("h", first, fold))
+    return g.select("query_id", "memory_id", F.col("f.s").alias("score"), F.col("f.e").alias("entry_id"), F.array_join(F.array_distinct(F.transform("h", lambda x: x["stage"].cast("string"))), ",").alias("trail"))
+
 
+def keyword_search(queries: DataFrame, entries: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, scores: DataFrame, limit: int = 10, hops: int = 2, expansion: int = 24, second: float = 0.4) -> DataFrame:
+    """``query_id, memory_id, score, entry_id, trail`` of the best ``limit`` memories of each query.
 
-def node_weights(nodes: DataFrame, links: DataFrame, entries: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """Entries + 0.75 memories + 0.35 degree of every node with an entry."""
+    Stages: entries by text (weight 1), entries of nodes that hold a query token (0.7), of the nodes one
+    edge away (0.7) and, with two hops, two edges away (``second``); a node counts at its first stage.
+    """
+    n, ex = max(3 * limit, 12), max(expansion, 3 * limit)
+    direct = entry_search(scores, entries, queries, n)
+    # a few rows a query, used by several stages: written once
+    seeds = cut(token_matches(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("tok")), nodes, n).select("query_id", F.col("node_id").alias("node_key")))
+    near = cut(neighbors(edges, seeds, ex).select("query_id", "node_key"))
+    stages = [(2, 0.7, seeds), (3, 0.7, near)]
+    if hops > 1:
+        stages.append((4, second, neighbors(edges, near, ex).join(seeds, ["query_id", "node_key"], "left_anti").select("query_id", "node_key")))
+    out = direct.select("query_id", F.col("source_memory_id").alias("memory_id"), F.lit(1).alias("stage"), "rank", "score", F.col("doc_id").alias("entry_id"))
+    for no, weight, found in stages:
+        e = entries_of_nodes(found.withColumnRenamed("node_key", "node_id"), links, entries, ex, queries)
+        out = out.unionByName(e.select("query_id", F.col("source_memory_id").alias("memory_id"), F.lit(no).alias("stage"), "rank", (F.col("score") * weight).alias("score"), "entry_id"))
+    folded = fold_hits(out.where("memory_id is not null"))
+    return top(folded.withColumnRenamed("memory_id", "doc_id"), limit).withColumnRenamed("doc_id", "memory_id")
+
+
+def node_weights(nodes: DataFrame, links: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entries + 0.75 memories + 0.35 degree of every node with an entry; the degree counts edges between such nodes."""
     l = links.where("node_id is not null and entry_id is not null").select("entry_id", "node_id").distinct()
     j = l.join(entries.select(F.col("id").alias("entry_id"), "source_memory_id"), "entry_id").groupBy("node_id").agg(F.count(F.lit(1)).alias("entry_count"), F.countDistinct("source_memory_id").alias("memory_count"))
-    deg = l.join(entries.where("entry_type = 'edge'").select(F.col("id").alias("entry_id")), "entry_id").groupBy("node_id").agg(F.count(F.lit(1)).alias("degree")) if edges is None else edges
-    j = j.join(deg, "node_id", "left").join(nodes.select(F.col("id").alias("node_id"), "node_type", "canonical_value"), "node_id")
-    return j.withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("weight", F.round(F.col("entry_count") + 0.75 * F.col("memory_count") + 0.35 * F.col("degree"), 4))
+    j = j.join(nodes.select(F.col("id").alias("node_id"), "node_type", "node_value", "canonical_value"), "node_id")
+    live = edges.join(j.select(F.col("node_id").alias("source_key")), "source_key", "left_semi").join(j.select(F.col("node_id").alias("target_key")), "target_key", "left_semi")
+    deg = live.select(F.col("source_key").alias("node_id")).unionAll(live.select("target_key")).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
+    j = j.join(deg, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return j.withColumn("weight", F.round(F.col("entry_count") + 0.75 * F.col("memory_count") + 0.35 * F.col("degree"), 4))
+
+
+def view_order() -> list[Column]:
+    """Order of nodes in a view: weight, entries, degree, label; then the id."""
+    return [F.desc("weight"), F.desc("entry_count"), F.desc("degree"), F.coalesce("node_value", F.lit("")).asc(), F.asc("node_id")]
 
 
 def entry_documents(entries: DataFrame, most: int = 4000) -> DataFrame:
@@ -177,33 +239,86 @@ def latest_entry(entries: DataFrame) -> DataFrame:
     return entries.groupBy("source_memory_id", "entry_type").agg(F.max("id").alias("entry_id"))
 
 
-def subgraph(entries: DataFrame, links: DataFrame, nodes: DataFrame, memories: DataFrame, most_entries: int = 36, most_nodes: int = 48) -> tuple[DataFrame, DataFrame]:
-    """Newest entries and heaviest nodes of the given memories (one view)."""
-    e = entries.join(memories.select(F.col("memory_id").alias("source_memory_id")), "source_memory_id", "left_semi").orderBy(F.desc("id")).limit(most_entries)
-    l = links.join(e.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
-    n = node_weights(nodes, l, e).orderBy(F.desc("weight"), "node_id").limit(most_nodes)
-    return e, n
+def recent_memories(entries: DataFrame, most: int = 200) -> DataFrame:
+    """``memory_id, last_entry``: memories by their newest entry, 1 to 200."""
+    g = entries.where("source_memory_id is not null").groupBy(F.col("source_memory_id").alias("memory_id")).agg(F.max("id").alias("last_entry"))
+    return g.orderBy(F.desc("last_entry")).limit(max(1, min(200, most)))
 
 
-def communities(edges: DataFrame, hubs: int = 6, rounds: int = 8) -> DataFrame:
-    """``node_key, community``: non-adjacent hubs of high degree, then breadth-first claims.
+def subgraph(entries: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, memories: DataFrame, most_entries: int = 36, most_nodes: int = 48, most_edges: int = 72) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``nodes, edges, entries, memories`` of one view of the given memories.
 
-    Hubs are picked on the driver from a bounded list (``hubs * 20`` nodes of highest degree).
+    The newest entries, their nodes, the newest edges among these (``edges`` has edge_id, memory_id,
+    source_key, target_key); then the heaviest nodes stay, with edges and entries that keep a node
+    (a summary stays without one), and memories are counted over what stays.
     """
-    both = cut(edges.select(F.col("source_key").alias("a"), F.col("target_key").alias("b")).unionAll(edges.select("target_key", "source_key")).where("a <> b").distinct())
-    first = [r.a for r in both.groupBy("a").agg(F.count(F.lit(1)).alias("d")).orderBy(F.desc("d"), "a").limit(hubs * 20).collect()]
-    near = {(r.a, r.b) for r in both.where(F.col("a").isin(first) & F.col("b").isin(first)).collect()} if first else set()
-    chosen: list[str] = []
-    for n in first:
-        if len(chosen) < hubs and all((n, c) not in near for c in chosen):
-            chosen.append(n)
-    spark = edges.sparkSession
-    lab = spark.createDataFrame([(c, i) for i, c in enumerate(chosen)], "node_key string, community int")
-    for _ in range(rounds):
-        step = lab.join(both, F.col("node_key") == F.col("a")).groupBy(F.col("b").alias("node_key")).agg(F.min("community").alias("community")).join(lab.select("node_key"), "node_key", "left_anti")
-        lab = cut(lab.unionByName(step))
-    rest = both.select(F.col("a").alias("node_key")).distinct().join(lab.select("node_key"), "node_key", "left_anti").withColumn("community", F.lit(-1))
-    return lab.unionByName(rest)
+    want = memories.select(F.col("memory_id").alias("source_memory_id")).distinct()
+    e = entries.join(want, "source_memory_id", "left_semi").orderBy(F.desc("id")).limit(most_entries).select("id", "source_memory_id", "entry_type", "metadata")
+    l = links.where("node_id is not null").join(e.select(F.col("id").alias("entry_id")), "entry_id", "left_semi").select("entry_id", "node_id").distinct()
+    l = l.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    seen = l.select("node_id").distinct()
+    g = edges.join(want.withColumnRenamed("source_memory_id", "memory_id"), "memory_id", "left_semi").join(seen.withColumnRenamed("node_id", "source_key"), "source_key", "left_semi").join(seen.withColumnRenamed("node_id", "target_key"), "target_key", "left_semi")
+    g = g.orderBy(F.desc("edge_id")).limit(most_edges)
+    n = node_weights(nodes, l, e, g).orderBy(*view_order()).limit(most_nodes)
+    kept = n.select("node_id")
+    g = g.join(kept.withColumnRenamed("node_id", "source_key"), "source_key", "left_semi").join(kept.withColumnRenamed("node_id", "target_key"), "target_key", "left_semi")
+    l = l.join(kept, "node_id", "left_semi")
+    e = e.join(l.select(F.col("entry_id").alias("id"), F.lit(True).alias("_has")).distinct(), "id", "left").where("_has or entry_type = 'summary'").drop("_has")
+    per = e.groupBy(F.col("source_memory_id").alias("memory_id")).agg(F.count(F.lit(1)).alias("entry_count"))
+    ln = l.join(e.select(F.col("id").alias("entry_id"), F.col("source_memory_id").alias("memory_id")), "entry_id").groupBy("memory_id").agg(F.countDistinct("node_id").alias("node_count"))
+    m = per.join(g.groupBy("memory_id").agg(F.count(F.lit(1)).alias("edge_count")), "memory_id", "left").join(ln, "memory_id", "left")
+    m = m.select("memory_id", "entry_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"), F.coalesce("node_count", F.lit(0)).alias("node_count"))
+    return n, g, e, m
+
+
+def memory_edges(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """``edge_id, memory_id, source_key, target_key, relation_type``: edges before they merge; the id is the entry's."""
+    l = links.where("entry_id is not null and node_id is not null").groupBy("entry_id").agg(F.min("node_id").alias("source_key"), F.max("node_id").alias("target_key")).where("source_key < target_key")
+    e = entries.where("entry_type = 'edge'").select(F.col("id").alias("entry_id"), F.col("source_memory_id").alias("memory_id"), F.coalesce("relation_type", F.lit("related")).alias("relation_type"))
+    return e.join(l, "entry_id").withColumnRenamed("entry_id", "edge_id")
+
+
+def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_key, community``: hubs of high degree, then breadth-first claims until nothing moves.
+
+    ``nodes`` has ``node_key, weight``. One hub under 8 nodes, else the root of a sixth of their number,
+    from 2 to 12. A hub is the node of highest degree that touches no earlier hub, or, if none is left, of
+    highest degree. A node goes to the nearest hub, the first one of equally near. Unreached nodes share
+    one community. Communities are numbered by size. The driver holds only the hubs.
+    """
+    both = cut(edges.select(F.col("source_key").alias("a"), F.col("target_key").alias("b")).unionAll(edges.select("target_key", "source_key")).where("a <> b"))
+    deg = both.groupBy(F.col("a").alias("node_key")).agg(F.count(F.lit(1)).alias("d"))
+    ranked = cut(nodes.select("node_key", "weight").join(deg, "node_key", "left").withColumn("d", F.coalesce("d", F.lit(0))))
+    spark, n = edges.sparkSession, ranked.count()
+    target = 1 if n < 8 else max(2, min(12, int((n / 6) ** 0.5 + 0.5)))
+    hubs: list = []
+    key_type = dict(ranked.dtypes)["node_key"]
+    as_frame = lambda: spark.createDataFrame([(h, i) for i, h in enumerate(hubs)], f"node_key {key_type}, community int")
+    best = lambda df: df.orderBy(F.desc("d"), F.desc("weight"), "node_key").limit(1).collect()
+    apart = True
+    while len(hubs) < min(target, n):
+        left = ranked if not hubs else ranked.join(as_frame().select("node_key"), "node_key", "left_anti")
+        if hubs and apart:
+            left = left.join(both.join(as_frame().select(F.col("node_key").alias("b")), "b", "left_semi").select(F.col("a").alias("node_key")), "node_key", "left_anti")
+        got = best(left)
+        if not got:
+            apart = False
+            continue
+        hubs.append(got[0].node_key)
+    lab = as_frame()
+    front = lab
+    while hubs:
+        step = front.join(both, F.col("node_key") == F.col("a")).groupBy(F.col("b").alias("node_key")).agg(F.min("community").alias("community")).join(lab.select("node_key"), "node_key", "left_anti")
+        front = cut(step)
+        if not front.limit(1).count():
+            break
+        lab = cut(lab.unionByName(front))
+    rest = ranked.join(lab.select("node_key"), "node_key", "left_anti").select("node_key", F.lit(len(hubs)).alias("community"))
+    own = lab.join(ranked.select("node_key"), "node_key", "left_semi").unionByName(rest)
+    size = own.groupBy("community").agg(F.count(F.lit(1)).alias("n"))  # at most 13 rows
+    w = Window.orderBy((F.col("community") == len(hubs)).cast("int"), F.desc("n"), "community")
+    size = size.select("community", (F.row_number().over(w) - 1).alias("no"))
+    return own.join(size, "community").select("node_key", F.col("no").alias("community"))
 
 
 def extract_atom_edges(atoms: DataFrame) -> DataFrame:
@@ -221,16 +336,30 @@ def participant_keys(identity: Column, name: Column) -> Column:
     return F.coalesce(F.concat(F.lit("account:"), F.nullif(F.trim(identity), F.lit(""))), F.concat(F.lit("person:"), T.canonical_entity(name)))
 
 
-def graph_fusion(fused: DataFrame, mem: DataFrame, conf: DataFrame, as_of: float, k: int = 10) -> DataFrame:
-    """Graph route: fused score over its maximum, importance, recency, confidence, times a temporal factor.
+def graph_fusion(keyword: DataFrame, vector: DataFrame | None, mem: DataFrame, first: DataFrame, atoms: DataFrame, as_of: float, k: int = 10, confidence: DataFrame | None = None) -> DataFrame:
+    """Graph route: keyword and vector lists (``query_id, doc_id, rank, score``; keyword with its ``entry_id``), fused and cut to k.
 
-    A memory without an access falls back to its creation; ``conf`` has memory_id, confidence, temporal.
+    Then fused score over its maximum, importance, recency and the confidence of the entry that stands
+    for the memory (``first`` gives that of a vector hit; 0.7 if none is named), all times the decay of
+    the memory's atom (``atoms``: memory_id, ttl_days, decay_type) since its last access.
     """
     from engramlake.functions import temporal
-
-    top_ = F.max("rrf_score").over(Window.partitionBy("query_id"))
-    j = fused.withColumn("_m", top_).join(mem.select(F.col("memory_id").alias("doc_id"), "importance", "create_time", "last_access_time"), "doc_id")
-    j = j.join(conf.select(F.col("memory_id").alias("doc_id"), "confidence", "temporal"), "doc_id", "left")
+    from engramlake.operators.retrieval import rrf
+
+    lists = {"kw": keyword} if vector is None else {"kw": keyword, "vec": vector}
+    fused = top(rrf(lists), k, "rrf_score").drop("rank")
+    if vector is None:
+        fused = fused.withColumn("vec_score", F.lit(None).cast("double"))
+    fused = fused.join(keyword.select("query_id", "doc_id", "entry_id"), ["query_id", "doc_id"], "left").join(first.select(F.col("memory_id").alias("doc_id"), F.col("entry_id").alias("_first")), "doc_id", "left")
+    j = fused.withColumn("_e", F.coalesce("entry_id", "_first")).withColumn("_m", F.max("rrf_score").over(Window.partitionBy("query_id")))
+    j = j.join(mem.select(F.col("memory_id").alias("doc_id"), "importance", "create_time", "last_access_time"), "doc_id")
+    if confidence is not None:
+        j = j.join(confidence.select(F.col("entry_id").alias("_e"), "confidence"), "_e", "left")
+    else:
+        j = j.withColumn("confidence", F.lit(None).cast("double"))
+    j = j.join(atoms.select(F.col("memory_id").alias("doc_id"), "ttl_days", "decay_type"), "doc_id", "left")
     rec = temporal.recency(as_of, F.col("create_time"), F.col("last_access_time"))
-    s = (0.55 * F.col("rrf_score") / F.col("_m") + 0.2 * F.col("importance") + 0.15 * rec + 0.1 * F.coalesce("confidence", F.lit(0.5))) * F.coalesce("temporal", F.lit(1.0))
-    return top(j.withColumn("score", s).select("query_id", "doc_id", "score"), k)
+    age = F.greatest(F.lit(0.0), (F.lit(as_of) - F.col("last_access_time")) / 86400.0)
+    factor = F.when(F.coalesce("ttl_days", F.lit(0.0)) > 0, temporal.decay_score(F.coalesce("decay_type", F.lit("")), age, F.col("ttl_days"))).otherwise(1.0)
+    s = (0.55 * F.col("rrf_score") / F.col("_m") + 0.2 * F.col("importance") + 0.15 * rec + 0.1 * F.coalesce("confidence", F.lit(0.7))) * factor
+    return top(j.withColumn("score", s).select("query_id", "doc_id", "score", "vec_score"), k)

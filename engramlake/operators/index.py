@@ -1,7 +1,10 @@
-"""A text index on disk: postings by term bucket, document lengths, statistics.
+"""A text index on disk: postings by term bucket, document lengths, removals.
 
-Built once for a generation; a batch of queries reads only the buckets of its terms. New documents
-are appended as segments and removed ones are listed, so an update does not rewrite the corpus.
+Built once for a generation; a batch of queries reads only the buckets of its terms (partition
+pruning at run time). A bucket's postings are salted by document, so a term that a third of all
+documents share is spread over files. New documents come as segments of rising number. A removal
+names the documents and the first segment it does not touch, so a document that is removed and added
+again (an update) is found with its new text only. Null and empty texts count as documents without terms.
 """
 
 from __future__ import annotations
@@ -11,38 +14,55 @@ from pyspark.sql import functions as F
 
 from engramlake.config import Recall
 from engramlake.functions import text as T
-from engramlake.operators.retrieval import postings, query_terms
+from engramlake.operators.retrieval import bm25_of, postings, query_terms
 
-BUCKETS = 64
+BUCKETS, SALTS = 8, 2
 
 
-def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", segment: str = "base", buckets: int = BUCKETS) -> None:
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", segment: int = 0, buckets: int = BUCKETS, salts: int = SALTS) -> None:
     """Writes one segment; a term's postings lie together, sorted by document."""
-    p = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("segment", F.lit(segment))
-    p.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("segment", "bucket").parquet(f"{path}/postings")
-    docs.select(F.col(key).alias("doc_id"), F.greatest(F.coalesce(F.size(T.tokens(F.col(text))), F.lit(0)), F.lit(0)).cast("long").alias("dl"), F.lit(segment).alias("segment")).write.mode("append").partitionBy("segment").parquet(f"{path}/docs")
+    p = postings(docs, key, text).withColumn("bucket", _bucket(buckets))
+    p = p.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    p.sortWithinPartitions("bucket", "term", "doc_id").select("term", "doc_id", "dl", "tf", F.lit(segment).alias("segment"), "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    size = F.greatest(F.coalesce(F.size(T.tokens(F.col(text))), F.lit(0)), F.lit(0)).cast("long")
+    docs.select(F.col(key).alias("doc_id"), size.alias("dl"), F.lit(segment).alias("segment")).write.mode("append").parquet(f"{path}/docs")
+
+
+def next_segment(spark: SparkSession, path: str) -> int:
+    return (spark.read.parquet(f"{path}/docs").agg(F.max("segment")).first()[0] or 0) + 1
 
 
 def remove(ids: DataFrame, path: str) -> None:
-    """Lists documents as removed (``doc_id``)."""
-    ids.select("doc_id").write.mode("append").parquet(f"{path}/removed")
+    """Removes documents (``doc_id``) of all segments written so far."""
+    n = next_segment(ids.sparkSession, path)
+    ids.select("doc_id", F.lit(n).alias("before")).distinct().write.mode("append").parquet(f"{path}/removed")
+
+
+def update(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, salts: int = SALTS) -> None:
+    """Replaces documents by a new segment."""
+    n = next_segment(docs.sparkSession, path)
+    remove(docs.select(F.col(key).alias("doc_id")), path)
+    build(docs, path, key, text, n, buckets, salts)
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{path}/{name}")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/removed")
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        df = df.join(spark.read.parquet(f"{path}/removed").distinct(), "doc_id", "left_anti")
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/removed")
+    if gone.getFileSystem(spark._jsc.hadoopConfiguration()).exists(gone):
+        last = spark.read.parquet(f"{path}/removed").groupBy("doc_id").agg(F.max("before").alias("before"))
+        df = df.join(last, "doc_id", "left").where("before is null or segment >= before").drop("before")
     return df
 
 
 def search(queries: DataFrame, path: str, buckets: int = BUCKETS, cfg: Recall = Recall()) -> DataFrame:
     """``query_id, doc_id, score`` like ``retrieval.bm25``, from the index."""
     spark = queries.sparkSession
-    q = query_terms(queries).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    live = _read(spark, path, "postings").join(q.select("term", "bucket").distinct(), ["bucket", "term"], "left_semi")
-    st = _read(spark, path, "docs").agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
-    df = live.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
-    return q.drop("bucket").join(live, "term").join(df, "term").crossJoin(F.broadcast(st)).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    q = query_terms(queries)
+    want = q.select(_bucket(buckets).alias("bucket")).distinct()
+    p = _read(spark, path, "postings").join(F.broadcast(want), "bucket", "left_semi")  # at most ``buckets`` rows
+    n = _read(spark, path, "docs").agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return bm25_of(q, p.select("term", "doc_id", "dl", "tf"), n, cfg)

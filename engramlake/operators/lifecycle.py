@@ -78,15 +78,24 @@ def import_key(text: Column, session: Column, persona: Column) -> Column:
 
 
 def import_plan(entries: DataFrame, existing: DataFrame, mode: str = "skip") -> DataFrame:
-    """``entry_id, action``: insert, or duplicate of the batch or of what exists (skip mode)."""
-    e = entries.withColumn("key", import_key(F.col("text"), F.col("session_id"), F.col("persona_id")))
+    """``entry_id, action``: insert, or duplicate of the batch or of what exists (skip mode).
+
+    The first entry of a key is an aggregate, so a text that a third of the batch shares is not ordered.
+    """
+    e = entries.select("entry_id", import_key(F.col("text"), F.col("session_id"), F.col("persona_id")).alias("key"))
     have = existing.select(import_key(F.col("text"), F.col("session_id"), F.col("persona_id")).alias("key")).distinct().withColumn("_have", F.lit(True))
-    w = Window.partitionBy("key").orderBy("entry_id")
-    j = e.withColumn("_r", F.row_number().over(w)).join(have, "key", "left")
-    act = F.lit("insert") if mode == "allow" else F.when(F.col("_have"), "exists").when(F.col("_r") > 1, "repeated").otherwise("insert")
+    first = e.groupBy("key").agg(F.min("entry_id").alias("_first")).join(have, "key", "left")
+    j = e.join(first, "key")
+    act = F.lit("insert") if mode == "allow" else F.when(F.col("_have"), "exists").when(F.col("entry_id") > F.col("_first"), "repeated").otherwise("insert")
     return j.select("entry_id", act.alias("action"))
 
 
+def import_counts(plan: DataFrame) -> DataFrame:
+    """One row of a dry run: entries, those to insert and those left out."""
+    n = lambda a: F.count_if(F.col("action") == a)
+    return plan.agg(F.count(F.lit(1)).alias("total"), n("insert").alias("inserted"), n("exists").alias("existing"), n("repeated").alias("repeated"))
+
+
 def consistency(mem: DataFrame, text_index: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: documents missing from either index, and index rows without a document."""
     a = mem.where("status = 'active'").select("memory_id")
@@ -118,3 +127,11 @@ def maintain(mem: DataFrame, as_of: float, days: float = 1, rate: float = 0.01,
     m = m.withColumn("importance", F.col("new_importance")).withColumn("access_count", F.col("new_access_count")).drop("new_importance", "new_access_count")
     faded = (F.col("status") == "active") & (F.lit(as_of) - F.col("create_time") > cleanup_days * DAY) & (F.col("importance") < below)
     return m.where(~faded) if action == "delete" else m.withColumn("status", F.when(faded, "archived").otherwise(F.col("status")))
+
+
+def consolidation_status(documents: DataFrame) -> DataFrame:
+    """One row: documents merged from others (a list ``consolidated_from``), and archived ones."""
+    v = F.try_parse_json("metadata")
+    src = F.try_variant_get(v, "$.consolidated_from", "array<variant>")
+    status = F.coalesce(F.try_variant_get(v, "$.status", "string"), F.lit("active"))
+    return documents.select(F.coalesce(F.size(src) > 0, F.lit(False)).alias("_c"), (status == "archived").alias("_a")).agg(F.count_if("_c").alias("consolidated"), F.count_if("_a").alias("archived"))

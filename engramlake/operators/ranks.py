@@ -23,3 +23,16 @@ def bucketed_rank(df: DataFrame, keys: list[str], bucket: Column, order: list, n
     for i, k in enumerate(keys):
         on = on & inside[k].eqNullSafe(base[f"_k{i}"])
     return inside.join(base, on).withColumn(name, F.col("_base") + F.col("_r")).drop("_b", "_bb", "_base", "_r", *[f"_k{i}" for i in range(len(keys))])
+
+
+def chunks(df: DataFrame, keys: list[str], pos: str = "pos", size: int = 5000, rim: int = 1) -> tuple[DataFrame, Window]:
+    """Rows dealt to chunks of their group by position, and the window over a chunk in order of position.
+
+    The last ``rim`` rows of a chunk also stand, with ``_own`` false, before the next one, so that a look
+    back of up to ``rim`` rows is right and no group is ordered in one task. Filter on ``_own`` afterwards.
+    """
+    at = F.floor((F.col(pos) - 1) / size)
+    near_end = (F.col(pos) - 1) % size >= size - rim
+    homes = F.when(near_end, F.array(F.struct(at.alias("c"), F.lit(True).alias("own")), F.struct((at + 1).alias("c"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(at.alias("c"), F.lit(True).alias("own"))))
+    out = df.withColumn("_h", F.explode(homes)).withColumn("_c", F.col("_h.c")).withColumn("_own", F.col("_h.own")).drop("_h")
+    return out, Window.partitionBy(*keys, "_c").orderBy(pos)

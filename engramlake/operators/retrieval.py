@@ -50,10 +50,14 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "
     The corpus is tokenised once: its postings' exchange also gives the counts. Only postings of
     query terms survive the first join.
     """
-    q = query_terms(queries)
     p = postings(docs, key, text)
     total = p.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))  # the same exchange as below
     n = docs.agg(F.count(F.lit(1)).alias("N")).crossJoin(total).select("N", (F.col("n_tokens") / F.greatest(F.col("N"), F.lit(1))).alias("avgdl"))
+    return bm25_of(query_terms(queries), p, n, cfg)
+
+
+def bm25_of(q: DataFrame, p: DataFrame, n: DataFrame, cfg: Recall = CFG) -> DataFrame:
+    """Scores from query terms, postings and the one row ``N, avgdl``."""
     live = p.join(q.select("term").distinct(), "term", "left_semi")
     df = live.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -69,13 +73,15 @@ def minmax(df: DataFrame, score: str = "score", by: str = "query_id") -> DataFra
     return df.withColumn("_lo", lo).withColumn("_hi", hi).withColumn(score, F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)).drop("_lo", "_hi")
 
 
-def bm25_search(queries: DataFrame, mem: DataFrame, prefetch: str = "reference", cfg: Recall = CFG) -> DataFrame:
+def bm25_search(queries: DataFrame, mem: DataFrame, prefetch: str = "reference", cfg: Recall = CFG, scores: DataFrame | None = None) -> DataFrame:
     """Top k of each query, normalised. ``queries`` has query_id, query, k, session_id, persona_id.
 
     reference: candidates are cut to 2k (10k if scoped) before the filters; exact: filters first.
+    ``scores`` are those of :func:`bm25` or of a text index, made here if not given.
     """
-    docs = mem.select(F.col("memory_id").alias("doc_id"), "text")
-    s = bm25(queries, docs, cfg=cfg).join(queries.select("query_id", "k", F.col("session_id").alias("q_s"), F.col("persona_id").alias("q_p")), "query_id")
+    if scores is None:
+        scores = bm25(queries, mem.select(F.col("memory_id").alias("doc_id"), "text"), cfg=cfg)
+    s = scores.join(queries.select("query_id", "k", F.col("session_id").alias("q_s"), F.col("persona_id").alias("q_p")), "query_id")
     if prefetch == "reference":
         s = top(s, F.when(F.col("q_s").isNotNull() | F.col("q_p").isNotNull(), F.col("k") * 10).otherwise(F.col("k") * 2)).drop("rank")
     s = s.join(mem.select(F.col("memory_id").alias("doc_id"), "session_id", "persona_id", "status"), "doc_id")
@@ -150,12 +156,18 @@ def weighted(fused: DataFrame, mem: DataFrame, as_of: float, cfg: Recall = CFG)
     return j.withColumn("score", cfg.weight_rrf * F.col("rrf_score") / F.col("_m") + cfg.weight_importance * F.col("importance") + cfg.weight_recency * F.col("recency")).drop("_m", "create_time", "last_access_time")
 
 
-def hybrid(queries: DataFrame, vec_queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: float, k: int = 10, cfg: Recall = CFG) -> DataFrame:
-    """BM25 and vectors, fused, rescored, cut to k."""
+def hybrid(queries: DataFrame, vec_queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: float, k: int = 10, cfg: Recall = CFG, routes: tuple[str, ...] = ("kw", "vec"), scores: DataFrame | None = None) -> DataFrame:
+    """BM25 and vectors (2k fetched), fused, rescored, cut to k; ``routes`` may name one of the two only.
+
+    Result: query_id, doc_id, rank, score, rrf_score, importance and, of each route, its score.
+    """
     live = vectors.join(mem.where("status = 'active'").select(F.col("memory_id").alias("vec_id")), "vec_id", "left_semi")
-    v = vector_topk(vec_queries, live, 2 * k)
-    f = rrf({"kw": bm25_search(queries, mem, cfg=cfg), "vec": v}, cfg.rrf_k)
-    return top(weighted(f, mem, as_of, cfg), k)
+    lists = {}
+    if "kw" in routes:
+        lists["kw"] = bm25_search(queries.withColumn("k", F.lit(k).cast("long")), mem, cfg=cfg, scores=scores)
+    if "vec" in routes:
+        lists["vec"] = vector_topk(vec_queries, live, 2 * k)
+    return top(weighted(rrf(lists, cfg.rrf_k), mem, as_of, cfg), k)
 
 
 def mmr(hits: DataFrame, k: int, lam: float = 0.7) -> DataFrame:
@@ -201,27 +213,60 @@ def route_weights(queries: DataFrame, cfg: Recall = CFG) -> DataFrame:
 
 
 def dual_route(doc: DataFrame, graph: DataFrame, weights: DataFrame, k: int = 10, cfg: Recall = CFG) -> DataFrame:
-    """Both routes over their maximum, weighted, with a bonus for both; no graph hits: documents as they are."""
+    """Both routes (2k each) over their maximum, weighted, with a bonus for both; no graph hits: documents as they are.
+
+    ``vec_score`` of a row is the best vector signal of either route; a route that has the document
+    without a vector gives 0.
+    """
     w = Window.partitionBy("query_id")
-    best = lambda df, name: df.select("query_id", "doc_id", F.col("score").alias(name), (F.col("score") / F.coalesce(F.nullif(F.max("score").over(w), F.lit(0.0)), F.lit(1.0))).alias(name + "_n"))
+
+    def best(df: DataFrame, name: str) -> DataFrame:
+        vec = F.coalesce("vec_score", F.lit(0.0)) if "vec_score" in df.columns else F.lit(0.0)
+        return df.select("query_id", "doc_id", F.col("score").alias(name), (F.col("score") / F.coalesce(F.nullif(F.max("score").over(w), F.lit(0.0)), F.lit(1.0))).alias(name + "_n"), vec.alias(name + "_v"))
+
     j = best(doc, "doc_score").join(best(graph, "graph_score"), ["query_id", "doc_id"], "full_outer").join(weights.select("query_id", "w_doc", "w_graph"), "query_id")
     any_graph = F.max(F.col("graph_score").isNotNull()).over(w)
     both = F.when(F.col("doc_score").isNotNull() & F.col("graph_score").isNotNull(), cfg.both_bonus).otherwise(0.0)
     s = F.least(F.lit(1.0), F.col("w_doc") * F.coalesce("doc_score_n", F.lit(0.0)) + F.col("w_graph") * F.coalesce("graph_score_n", F.lit(0.0)) + both)
-    j = j.withColumn("_g", any_graph).withColumn("score", F.when(F.col("_g"), s).otherwise(F.col("doc_score")))
-    return top(j.select("query_id", "doc_id", "score"), k)
+    j = j.withColumn("_g", any_graph).withColumn("score", F.when(F.col("_g"), s).otherwise(F.col("doc_score"))).withColumn("vec_score", F.greatest("doc_score_v", "graph_score_v"))
+    return top(j.select("query_id", "doc_id", "score", "vec_score"), k)
 
 
-def recent_slots(results: DataFrame, queries: DataFrame, mem: DataFrame, as_of: float, slots: int = 2, hours: float = 72.0) -> DataFrame:
+def newest(queries: DataFrame, mem: DataFrame, as_of: float, slots: int = 2, hours: float = 72.0, keep: Column | None = None) -> DataFrame:
+    """``query_id, doc_id, r``: the newest active memories of each query's scope.
+
+    Of each scope (session, persona, both or none) three times ``slots`` are fetched, then ``keep``
+    (a policy over importance) applies and the first ``slots`` stay. Memories are ranked once for each
+    scope, so a query meets a handful of rows by equality.
+    """
+    fresh = mem.where((F.col("status") == "active") & (F.col("create_time") <= as_of) & (F.col("create_time") >= as_of - hours * 3600)).select("memory_id", "create_time", "session_id", "persona_id", "importance")
+    q = queries.select("query_id", F.least(F.lit(slots), F.col("k")).alias("n"), "session_id", "persona_id")
+    out = None
+    for cols in ((), ("session_id",), ("persona_id",), ("session_id", "persona_id")):
+        want = q.where(" and ".join(f"{c} is {'not ' if c in cols else ''}null" for c in ("session_id", "persona_id")))
+        if cols:
+            w = Window.partitionBy(*cols).orderBy(F.desc("create_time"), F.desc("memory_id"))
+            got = fresh.dropna(subset=list(cols)).withColumn("r0", F.row_number().over(w)).where(F.col("r0") <= 3 * slots)
+            j = want.join(got.select(*cols, "memory_id", "importance", "r0"), list(cols))
+        else:
+            got = fresh.orderBy(F.desc("create_time"), F.desc("memory_id")).limit(3 * slots)
+            w = Window.orderBy(F.desc("create_time"), F.desc("memory_id"))  # of at most 3 slots rows
+            j = want.crossJoin(F.broadcast(got.withColumn("r0", F.row_number().over(w)).select("memory_id", "importance", "r0")))
+        j = j.where(F.col("r0") <= 3 * F.col("n")).select("query_id", "n", F.col("memory_id").alias("doc_id"), "importance", "r0")
+        out = j if out is None else out.unionByName(j)
+    if keep is not None:
+        out = out.where(keep)
+    w = Window.partitionBy("query_id").orderBy("r0")
+    return out.withColumn("r", F.row_number().over(w)).where("r <= n").select("query_id", "doc_id", "r")
+
+
+def recent_slots(results: DataFrame, queries: DataFrame, mem: DataFrame, as_of: float, slots: int = 2, hours: float = 72.0, keep: Column | None = None) -> DataFrame:
     """Keeps up to two places for the newest memories in scope: head of the results, new ones, the rest."""
-    fresh = mem.where((F.col("status") == "active") & (F.col("create_time") <= as_of) & (F.col("create_time") >= as_of - hours * 3600)).select(F.col("memory_id").alias("doc_id"), "create_time", F.col("session_id").alias("s"), F.col("persona_id").alias("p"))
-    q = queries.select("query_id", "k", F.col("session_id").alias("q_s"), F.col("persona_id").alias("q_p"), F.least(F.lit(slots), F.col("k")).alias("n"))
-    # only the newest few of a scope can be chosen; there is one scope a query
-    near = q.join(fresh, (F.col("q_s").isNull() | (F.col("s") == F.col("q_s"))) & (F.col("q_p").isNull() | (F.col("p") == F.col("q_p"))))
-    w = Window.partitionBy("query_id").orderBy(F.desc("create_time"), F.asc("doc_id"))
-    near = near.withColumn("r", F.row_number().over(w)).where("r <= n").select("query_id", "doc_id", F.lit(2).alias("part"), F.col("r").alias("pos"))
-    r = results.join(q.select("query_id", "k", "n"), "query_id")
-    head = r.select("query_id", "doc_id", F.when(F.col("rank") <= F.col("k") - F.col("n"), 1).otherwise(3).alias("part"), F.col("rank").alias("pos"))
+    near = newest(queries, mem, as_of, slots, hours, keep).select("query_id", "doc_id", F.lit(2).alias("part"), F.col("r").alias("pos"))
+    q = queries.select("query_id", "k", F.least(F.lit(slots), F.col("k")).alias("n"))
+    r = results.join(q, "query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    some = near.select("query_id").distinct().withColumn("_any", F.lit(True))
+    head = r.join(some, "query_id", "left").select("query_id", "doc_id", F.when(F.col("_any").isNull() | (F.col("rank") <= F.col("k") - F.col("n")), 1).otherwise(3).alias("part"), F.col("rank").alias("pos"))
     once = head.unionByName(near).groupBy("query_id", "doc_id").agg(F.min(F.struct("part", "pos")).alias("o"))
     w = Window.partitionBy("query_id").orderBy("o.part", "o.pos", "doc_id")
     return once.withColumn("rank", F.row_number().over(w)).join(q.select("query_id", "k"), "query_id").where("rank <= k").select("query_id", "doc_id", "rank")

@@ -13,9 +13,11 @@ from engramlake.functions import text as T
 from engramlake.operators import atoms as A
 from engramlake.operators import conversation as C
 from engramlake.operators import graph as G
+from engramlake.operators import index as IX
 from engramlake.operators import lifecycle as L
 from engramlake.operators import memories as M
 from engramlake.operators import retrieval as R
+from engramlake.session import fingerprint, stored
 from engramlake.streaming import streams as S
 from engramlake.tables import table
 
@@ -120,6 +122,20 @@ def mems(s: SparkSession, d: str) -> DataFrame:
     return M.memories(s, d)
 
 
+def text_index(s: SparkSession, d: str, name: str) -> str:
+    """The folder of the text index of documents, graph entries or current atoms; built once for their files."""
+    docs = {
+        "documents": lambda: table(s, d, "documents").select("doc_id", "text"),
+        "graph_entries": lambda: table(s, d, "graph_entries").select(F.col("id").alias("doc_id"), F.col("content").alias("text")),
+        "memory_atoms": lambda: A.current(table(s, d, "memory_atoms")).select(F.col("id").alias("doc_id"), F.col("content").alias("text")),
+    }[name]
+    return stored(s, f"text-{name}", fingerprint(s, f"{d}/{name}.parquet"), lambda p: IX.build(docs(), p))
+
+
+def text_scores(s: SparkSession, d: str, name: str, q: DataFrame) -> DataFrame:
+    return IX.search(q, text_index(s, d, name))
+
+
 def node_queries(s: SparkSession, d: str, persona: str | None = None) -> DataFrame:
     """Every fiftieth node's value as a query."""
     n = table(s, d, "graph_nodes").where("id % 50 = 0 and node_value is not null")
@@ -271,12 +287,14 @@ def render_memories(s, d):
 # ---- retrieval -----------------------------------------------------------------------------------
 @query(f"with {MEM}, {NODEQ}, {search_sql()} select query_id, doc_id, rank, round(score, 6) score from hits")
 def bm25_topk(s, d):
-    return R.bm25_search(node_queries(s, d), mems(s, d)).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    q = node_queries(s, d)
+    return R.bm25_search(q, mems(s, d), scores=text_scores(s, d, "documents", q)).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"with {MEM}, {SCOPEDQ}, {search_sql()} select query_id, doc_id, rank, round(score, 6) score from hits")
 def bm25_scoped(s, d):
-    return R.bm25_search(node_queries(s, d, "p_lumi"), mems(s, d)).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    q = node_queries(s, d, "p_lumi")
+    return R.bm25_search(q, mems(s, d), scores=text_scores(s, d, "documents", q)).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"with {MEM}, {EMB}, {VHITS} select query_id, doc_id, rank, round(score, 6) score from vhits where rank <= 10")
@@ -295,49 +313,12 @@ def similar_pairs(s, d):
     return R.similar_pairs(table(s, d, "embeddings"), 0.35).select("id_a", "id_b", F.round("score", 6).alias("score"))
 
 
-FUSED = f"""fl as (select query_id, doc_id, rank, score, 'k' side from hits union all select query_id, doc_id, rank, score, 'v' from vhits), fus as (select query_id, doc_id, sum(1.0::double / (60 + rank)) rrf_score, max(case when side = 'k' then score end) kw_score, max(case when side = 'v' then score end) vec_score from fl group by 1, 2)"""
-HYB = f"""hw as (select f.*, importance, exp(-0.01::double * greatest(0.0::double, ({AS_OF} - greatest(create_time, last_access_time)) / 86400.0::double)) recency, rrf_score / max(rrf_score) over (partition by query_id) rel from fus f join mem on mem.memory_id = f.doc_id),
-hs as (select *, 0.5::double * rel + 0.25::double * importance + 0.25::double * recency score from hw), hyb as (select * from (select *, {rank_sql('hs')} rank from hs) where rank <= 10)"""
-HQ = "q as (select v.vec_id query_id, d.query, cast(10 as bigint) k, cast(null as varchar) session_id, cast(null as varchar) persona_id from embeddings v join (select id, node_value query from graph_nodes) d on d.id = v.vec_id + 2 where v.vec_id % 50 = 0 and query is not null)"
-
-
 def hybrid_queries(s: SparkSession, d: str) -> DataFrame:
-    """A text (the value of a node) for every fiftieth vector."""
-    n = table(s, d, "graph_nodes").where("node_value is not null").select((F.col("id") - 2).alias("query_id"), F.col("node_value").alias("query"))
+    """A text (the content of an entry) for every fiftieth vector."""
+    n = table(s, d, "graph_entries").where("content is not null").select((F.col("id") - 2).alias("query_id"), F.col("content").alias("query"))
     return vec_queries(s, d).select("query_id").join(n, "query_id").select("query_id", "query", F.lit(10).cast("long").alias("k"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("persona_id"))
 
 
-def _lists(s, d):
-    m = mems(s, d)
-    v = table(s, d, "embeddings").join(m.where("status = 'active'").select(F.col("memory_id").alias("vec_id")), "vec_id", "left_semi")
-    return m, {"kw": R.bm25_search(hybrid_queries(s, d), m), "vec": R.vector_topk(vec_queries(s, d), v, 20)}
-
-
-@query(f"with {MEM}, {HQ}, {search_sql()}, {EMB}, {VHITS}, {FUSED} select query_id, doc_id, round(rrf_score, 9) rrf_score, round(kw_score, 6) kw_score, round(vec_score, 6) vec_score from fus")
-def rrf_fusion(s, d):
-    return R.rrf(_lists(s, d)[1]).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"), F.round("kw_score", 6).alias("kw_score"), F.round("vec_score", 6).alias("vec_score"))
-
-
-@query(f"with {MEM}, {HQ}, {search_sql()}, {EMB}, {VHITS}, {FUSED}, {HYB} select query_id, doc_id, rank, round(score, 6) score from hyb")
-def hybrid_recall(s, d):
-    m, lists = _lists(s, d)
-    return R.top(R.weighted(R.rrf(lists), m, AS_OF), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
-
-
-@query(f"with {MEM}, {HQ}, {search_sql()}, {EMB}, {VHITS}, {FUSED}, {HYB} select query_id, doc_id from hyb where importance >= 0.3 and (vec_score is null or vec_score >= 0.1)")
-def policy_filter(s, d):
-    m, lists = _lists(s, d)
-    hits = R.top(R.weighted(R.rrf(lists), m, AS_OF), 10)
-    return M.policy_filter(hits, 0.3, 0.1).select("query_id", "doc_id")
-
-
-@query()
-def mmr(s, d):
-    m, lists = _lists(s, d)
-    hits = R.top(R.weighted(R.rrf(lists), m, AS_OF), 30)
-    return R.mmr(hits.join(m.select(F.col("memory_id").alias("doc_id"), "text"), "doc_id"), 10)
-
-
 def any_sql(terms: list[str]) -> str:
     return "(" + " or ".join(f"contains(lower(query), {quoted(t)})" for t in terms) + ")"
 
@@ -354,21 +335,6 @@ def intent_route(s, d):
     return R.route_weights(q).select("query_id", F.round("w_doc", 6).alias("w_doc"), F.round("w_graph", 6).alias("w_graph"), "intent")
 
 
-EHITS = f"""edocs as (select id doc_id, content as text from graph_entries), {bm_sql('edocs', 'e')},
-etop as (select * from (select b.query_id, b.doc_id, b.score, g.source_memory_id, row_number() over (partition by b.query_id order by round(b.score, 9) desc, b.doc_id) rank from ebm b join graph_entries g on g.id = b.doc_id) where rank <= 10), ehits as ({minmax_sql('etop')})"""
-
-
-def _entry_hits(s, d, queries=None):
-    e = table(s, d, "graph_entries")
-    q = node_queries(s, d) if queries is None else queries
-    return G.entry_search(R.bm25(q, e.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))), e, q), q, e
-
-
-@query(f"with {NODEQ}, {EHITS} select query_id, doc_id, source_memory_id, round(score, 6) score, rank from ehits")
-def graph_entry_bm25(s, d):
-    return _entry_hits(s, d)[0].select("query_id", "doc_id", "source_memory_id", F.round("score", 6).alias("score"), "rank")
-
-
 TOKQ = rf"""nb as (select query_id, lower({collapse_sql('query')}) low from q), nc as (select query_id, low, regexp_replace(low, '[^\p{{L}}\p{{N}}_]', '', 'g') compact from nb),
 nt as (select query_id, list_concat(list_filter(regexp_extract_all(low, '([\p{{L}}\p{{N}}_]+)', 1), lambda w: length(w) >= 2), case when regexp_matches(compact, '[^\x00-\x7F]') then list_concat(list_filter([compact], lambda w: length(w) >= 2),
  list_concat(case when length(compact) >= 2 then list_transform(range(1, length(compact)), lambda i: substr(compact, i, 2)) else [] end, case when length(compact) >= 3 then list_transform(range(1, length(compact) - 1), lambda i: substr(compact, i, 3)) else [] end)) else [] end) a from nc),
@@ -391,65 +357,13 @@ def entries_for_nodes(s, d):
     return G.entries_of_nodes(h, table(s, d, "graph_entry_nodes"), table(s, d, "graph_entries")).select("query_id", "entry_id", "hits", F.round("score", 6).alias("score"), "rank")
 
 
-def _graph_keyword(s, d, queries=None):
-    hits, q, e = _entry_hits(s, d, queries)
-    nodes = G.entries_of_nodes(G.node_matches(q, table(s, d, "graph_nodes")), table(s, d, "graph_entry_nodes"), e)
-    one = hits.select("query_id", F.col("source_memory_id").alias("memory_id"), F.lit(1).alias("stage"), "rank", "score")
-    two = nodes.select("query_id", F.col("source_memory_id").alias("memory_id"), F.lit(2).alias("stage"), "rank", (F.col("score") * 0.7).alias("score"))
-    return G.fold_hits(one.unionByName(two).where("memory_id is not null"))
-
-
-FOLD = """gh as (select query_id, source_memory_id memory_id, 1 stage, rank, score from ehits union all select n.query_id, g.source_memory_id, 2, n.rank, n.score * 0.7::double from nent n join graph_entries g on g.id = n.entry_id),
-gf as (select query_id, memory_id, list_reduce(list_prepend(0.0::double, list(score order by stage, rank, score)), lambda a, x: case when x > a then x else least(1.0::double, a + 0.35::double * x) end) score, string_agg(distinct stage::varchar, ',' order by stage::varchar) trail from gh where memory_id is not null group by 1, 2)"""
-
-
-@query(f"with {NODEQ}, {EHITS}, {TOKQ}, {FOLD} select query_id, memory_id, round(score, 6) score, trail from gf")
-def graph_keyword(s, d):
-    return _graph_keyword(s, d).select("query_id", "memory_id", F.round("score", 6).alias("score"), "trail")
-
-
-DUAL = f"""iq as (select query_id, query from q), {INTENT}, dd as (select query_id, doc_id, score, score / coalesce(nullif(max(score) over (partition by query_id), 0), 1) n from hits), gg as (select query_id, memory_id doc_id, score, score / coalesce(nullif(max(score) over (partition by query_id), 0), 1) n from gf),
-dj as (select coalesce(dd.query_id, gg.query_id) query_id, coalesce(dd.doc_id, gg.doc_id) doc_id, dd.score ds, dd.n dn, gg.score gs, gg.n gn from dd full join gg on dd.query_id = gg.query_id and dd.doc_id = gg.doc_id),
-dw as (select dj.query_id, dj.doc_id, case when bool_or(gs is not null) over (partition by dj.query_id) then least(1.0::double, w_doc * coalesce(dn, 0) + w_graph * coalesce(gn, 0) + case when ds is not null and gs is not null then 0.08::double else 0 end) else ds end score from dj join route on route.query_id = dj.query_id),
-dual as (select * from (select query_id, doc_id, score, {rank_sql('dw')} rank from dw) where rank <= 10)"""
-
-
-def _dual(s, d):
-    q = node_queries(s, d)
-    doc = R.bm25_search(q, mems(s, d))
-    graph = _graph_keyword(s, d, q).select("query_id", F.col("memory_id").alias("doc_id"), "score")
-    return R.dual_route(doc, graph, R.route_weights(q)), q
-
-
-@query(f"with {MEM}, {NODEQ}, {search_sql()}, {EHITS}, {TOKQ}, {FOLD}, {DUAL} select query_id, doc_id, rank, round(score, 6) score from dual")
-def dual_route(s, d):
-    return _dual(s, d)[0].select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
-
-
-RECENT_AS_OF = 1706745600.0
-SLOTS = f"""fresh as (select memory_id doc_id, create_time from mem where status = 'active' and create_time <= {RECENT_AS_OF} and create_time >= {RECENT_AS_OF} - 72 * 3600.0),
-nw as (select * from (select q.query_id, fresh.doc_id, row_number() over (partition by q.query_id order by create_time desc, fresh.doc_id) r from q, fresh) where r <= 2),
-al as (select query_id, doc_id, case when rank <= 8 then 1 else 3 end part, rank pos from dual union all select query_id, doc_id, 2, r from nw), on_ as (select query_id, doc_id, min(struct_pack(part := part, pos := pos)) o from al group by 1, 2),
-slot as (select * from (select query_id, doc_id, row_number() over (partition by query_id order by o.part, o.pos, doc_id) rank from on_) where rank <= 10)"""
-
-
-@query(f"with {MEM}, {NODEQ}, {search_sql()}, {EHITS}, {TOKQ}, {FOLD}, {DUAL}, {SLOTS} select query_id, doc_id, rank from slot")
-def recent_slots(s, d):
-    dual, q = _dual(s, d)
-    return R.recent_slots(dual, q, mems(s, d), RECENT_AS_OF)
-
-
-@query(f"with {MEM}, {NODEQ}, {search_sql()}, {EHITS}, {TOKQ}, {FOLD}, {DUAL}, {SLOTS} select query_id, doc_id, rank from slot join mem on memory_id = doc_id where importance >= 0.2")
-def recall(s, d):
-    """Dual route, recent slots, policy: the end-to-end recall of a batch of queries."""
-    dual, q = _dual(s, d)
-    m = mems(s, d)
-    hits = R.recent_slots(dual, q, m, RECENT_AS_OF).join(m.select(F.col("memory_id").alias("doc_id"), "importance"), "doc_id").withColumn("vec_score", F.lit(None).cast("double"))
-    return M.policy_filter(hits, 0.2).select("query_id", "doc_id", "rank")
+# ---- atoms ---------------------------------------------------------------------------------------
+def class_sql(x: str) -> str:
+    has = lambda k: f"regexp_matches({x}, {quoted(ATOM_PATTERNS[k])})"
+    return f"case when {has('time')} and {has('action')} then 'planned' when {has('preference')} then 'preference' when {has('relation')} then 'relational' when {has('stative')} then 'factual' when {has('action')} then 'episodic' else 'unknown' end"
 
 
-# ---- atoms ---------------------------------------------------------------------------------------
-CLASS = "case " + " ".join(f"when regexp_matches(content, {quoted(p)}) then '{k}'" for k, p in ATOM_PATTERNS.items()) + " else 'unknown' end"
+CLASS = class_sql("content")
 
 
 @query(f"with {ATOM} select id, {CLASS} atom_class from atom where content is not null")
@@ -486,9 +400,9 @@ def atom_counts(s, d):
     return A.counts(A.current(table(s, d, "memory_atoms")))
 
 
-@query(f"""with {ATOM}, sig as (select id, generate_subscripts([0.9::double, 0.4::double], 1) seq, unnest([0.9::double, 0.4::double]) c from atom where id % 3 = 0)
+@query(f"""with {ATOM}, sig as (select id, generate_subscripts([0.9::double, 0.4::double], 1) seq, unnest([0.9::double, 0.4::double]) c from atom)
 select a.id, round((a.confidence * 0.7 + 0.3 * 0.9) * 0.7 + 0.3 * 0.4, 6) confidence, coalesce(reinforcement_count, 0) + 2 reinforcements,
- round(greatest(1.0::double, (case atom_type {' '.join(f"when '{k}' then {v[0]}" for k, v in TTL_BASE.items())} else 30.0 end) * (0.5 + coalesce(importance, 0.5)) * (1 + least(0.5::double, 0.1::double * (coalesce(reinforcement_count, 0) + 2)))), 6) ttl_days from atom a where id % 3 = 0""")
+ round(greatest(1.0::double, (case atom_type {' '.join(f"when '{k}' then {v[0]}" for k, v in TTL_BASE.items())} else 30.0 end) * (0.5 + coalesce(importance, 0.5)) * (1 + least(0.5::double, 0.1::double * (coalesce(reinforcement_count, 0) + 2)))), 6) ttl_days from atom a""")
 def atom_reinforce(s, d):
     a = A.current(table(s, d, "memory_atoms"))
     sig = a.select("id", F.posexplode(F.array(F.lit(0.9), F.lit(0.4))).alias("seq", "confidence"))
@@ -501,10 +415,10 @@ select query_id, doc_id, round(score, 6) score, rank from (select *, {rank_sql('
 def atom_search(s, d):
     a = A.current(table(s, d, "memory_atoms"))
     q = node_queries(s, d)
-    return A.search(R.bm25(q, a.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))), a, AS_OF).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return A.search(text_scores(s, d, "memory_atoms", q), a, AS_OF).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""with {MEM}, f as (select memory_id, importance, list_slice({FACTS}, 1, 2) facts from mem where text is not null), u as (select memory_id, importance, unnest(facts) as content, generate_subscripts(facts, 1) - 1 pos from f), c as (select *, {CLASS} atom_type from u)
+@query(f"""with {MEM}, f as (select memory_id, importance, list_slice({FACTS}, 1, 5) facts from mem where text is not null), u as (select memory_id, importance, unnest(facts) as content, generate_subscripts(facts, 1) - 1 pos from f), c as (select *, {CLASS} atom_type from u)
 select memory_id, pos, atom_type, case atom_type {' '.join(f"when '{k}' then {v}" for k, v in ATOM_CONFIDENCE.items())} end confidence, case atom_type {' '.join(f"when '{k}' then '{v[1]}'" for k, v in TTL_BASE.items())} end decay_type from c""")
 def atomise(s, d):
     m = mems(s, d).where("text is not null").select("memory_id", "importance", M.facts_of(F.col("text")).alias("facts"))
@@ -517,75 +431,6 @@ def relative_dates(s, d):
     return a.select("id", temporal.relative_date(F.col("content"), AS_OF).cast("string").alias("day")).where("day is not null")
 
 
-# ---- graph ---------------------------------------------------------------------------------------
-def graph_memories(s, d):
-    """Memories with the facts extraction takes and the participants of their session; a broken list means none."""
-    people = table(s, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.min_by(F.from_json("participants", "array<string>"), "id").alias("participants"))
-    m = mems(s, d).where("text is not null").join(people, "session_id", "left")
-    return m.withColumn("topics", F.array("lang", "source")).withColumn("facts", M.facts_of(F.col("text"), G.CAPS["facts"]))
-
-
-GM = f"""gp as (select memory_id, text, list_filter(list_distinct_o, lambda x: x <> '') topics, p persons, list_slice({FACTS}, 1, 2) facts from (select *, case when {canonical_sql('lang')} = {canonical_sql('source')} then [{canonical_sql('lang')}] else [coalesce({canonical_sql('lang')}, ''), coalesce({canonical_sql('source')}, '')] end list_distinct_o,
- case when memory_id % 7 = memory_id % 11 then ['u' || (memory_id % 7)] else ['u' || (memory_id % 7), 'u' || (memory_id % 11)] end p from mem where text is not null)),
-ft as (select memory_id, unnest(facts) f from gp), tp as (select memory_id, unnest(topics) t from gp), pn as (select memory_id, unnest(persons) u from gp),
-obs as (select distinct * from (select tp.memory_id, 'topic:' || t source_key, 'fact:' || {canonical_sql('f')} target_key, 'describes' relation_type, 0.82::double confidence from tp join ft using (memory_id)
- union all select pn.memory_id, 'person:' || u, 'fact:' || {canonical_sql('f')}, 'mentioned_in', 0.88::double from pn join ft using (memory_id) union all select a.memory_id, 'person:' || a.u, 'person:' || b.u, 'co_occurs_with', 0.70::double from pn a join pn b on a.memory_id = b.memory_id and b.u > a.u))"""
-EDGES = """eo as (select *, row_number() over w - 1 i, count(*) over (partition by source_key, target_key, relation_type) - 1 n from obs window w as (partition by source_key, target_key, relation_type order by memory_id)),
-edges as (select source_key, target_key, relation_type, sum(confidence * (case when i = 0 then 1.0::double else 0.3::double end) * pow(0.7::double, n - i)) confidence, sum(case when i = 0 then 1.0::double else 0.15::double end) weight, count(*) n_obs from eo group by 1, 2, 3)"""
-
-
-@query(f"with {MEM}, {GM} select * from obs")
-def graph_extract(s, d):
-    return G.extract_edges(graph_memories(s, d))
-
-
-@query(f"with {MEM}, {GM}, {EDGES} select source_key, target_key, relation_type, round(confidence, 6) confidence, round(weight, 6) weight, n_obs from edges")
-def graph_edges(s, d):
-    return G.merge_edges(G.extract_edges(graph_memories(s, d))).select("source_key", "target_key", "relation_type", F.round("confidence", 6).alias("confidence"), F.round("weight", 6).alias("weight"), "n_obs")
-
-
-@query(f"""with {MEM}, {GM} select memory_id, 'fact' entry_type, f as content, 0.90::double confidence from ft union all select memory_id, 'topic', t, 0.75::double from tp union all select memory_id, 'participant', u, 0.70::double from pn""")
-def graph_entries_extract(s, d):
-    return G.extract_entries(graph_memories(s, d))
-
-
-SEEDS = "seeds as (select k + 1 query_id, 'person:u' || k node_key from range(0, 3) t(k))"
-BOTH = "both_ as (select source_key a, target_key b, weight from edges where relation_type = 'co_occurs_with' union all select target_key, source_key, weight from edges where relation_type = 'co_occurs_with')"
-
-
-def _seed_edges(s, d):
-    seeds = s.range(3).select((F.col("id") + 1).alias("query_id"), F.concat(F.lit("person:u"), "id").alias("node_key"))
-    return seeds, G.merge_edges(G.extract_edges(graph_memories(s, d))).where("relation_type = 'co_occurs_with'")
-
-
-@query(f"with {MEM}, {GM}, {EDGES}, {SEEDS}, {BOTH} select s.query_id, b node_key, round(sum(weight), 6) weight from seeds s join both_ on a = s.node_key where not exists (select 1 from seeds z where z.query_id = s.query_id and z.node_key = b) group by 1, 2")
-def graph_neighbors(s, d):
-    seeds, e = _seed_edges(s, d)
-    return G.neighbors(e, seeds).select("query_id", "node_key", F.round("weight", 6).alias("weight"))
-
-
-@query(f"""with {MEM}, {GM}, {EDGES}, {SEEDS}, {BOTH}, h1 as (select distinct s.query_id, b node_key from seeds s join both_ on a = s.node_key where b <> s.node_key), h2 as (select distinct h1.query_id, b node_key from h1 join both_ on a = h1.node_key)
-select query_id, node_key, 1 hop from h1 union all select query_id, node_key, 2 from h2 where not exists (select 1 from h1 z where z.query_id = h2.query_id and z.node_key = h2.node_key) and not exists (select 1 from seeds z where z.query_id = h2.query_id and z.node_key = h2.node_key)""")
-def graph_two_hop(s, d):
-    seeds, e = _seed_edges(s, d)
-    return G.two_hop(e, seeds)
-
-
-LINK = "lk as (select distinct entry_id, node_id from graph_entry_nodes where node_id is not null and entry_id is not null)"
-
-
-@query(f"""with {LINK}, j as (select node_id, count(*) entry_count, count(distinct source_memory_id) memory_count, count(*) filter (entry_type = 'edge') degree from lk join graph_entries g on g.id = entry_id group by 1)
-select node_id, entry_count, memory_count, degree, round(entry_count + 0.75::double * memory_count + 0.35::double * degree, 4) weight, node_type, canonical_value from j join graph_nodes n on n.id = node_id""")
-def graph_node_weight(s, d):
-    return G.node_weights(table(s, d, "graph_nodes"), table(s, d, "graph_entry_nodes"), table(s, d, "graph_entries")).select("node_id", "entry_count", "memory_count", "degree", "weight", "node_type", "canonical_value")
-
-
-@query("select 'nodes' what, count(*) n from graph_nodes union all select 'entries', count(*) from graph_entries union all select 'links', count(*) from graph_entry_nodes")
-def graph_counts(s, d):
-    parts = [table(s, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("what"), "n") for w, t in (("nodes", "graph_nodes"), ("entries", "graph_entries"), ("links", "graph_entry_nodes"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 @query("select node_type kind, count(*) n from graph_nodes group by 1 union all select coalesce(relation_type, '-'), count(*) from graph_entries group by 1")
 def type_breakdown(s, d):
     a = table(s, d, "graph_nodes").groupBy(F.col("node_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
@@ -612,11 +457,6 @@ def components(s, d):
     return G.components(R.similar_pairs(table(s, d, "embeddings"), 0.35))
 
 
-@query()
-def communities(s, d):
-    return G.communities(G.merge_edges(G.extract_edges(graph_memories(s, d))).where("relation_type <> 'mentioned_in'"))
-
-
 @query("with e as (select * from graph_entries where source_memory_id % 10 <> 0), l as (select * from graph_entry_nodes where entry_id in (select id from e)) select (select count(*) from e) n_entries, (select count(*) from l) n_links, (select count(*) from graph_nodes where id in (select node_id from l)) n_nodes")
 def graph_delete(s, d):
     gone = table(s, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("memory_id")).unionAll(table(s, d, "graph_entries").where("source_memory_id % 10 = 0").select("source_memory_id"))
@@ -625,14 +465,6 @@ def graph_delete(s, d):
     return c(e, "n_entries").crossJoin(c(l, "n_links")).crossJoin(c(n, "n_nodes"))
 
 
-@query(f"""with e as (select * from graph_entries where source_memory_id <= 40 order by id desc limit 36), lk as (select distinct entry_id, node_id from graph_entry_nodes where node_id is not null and entry_id in (select id from e)),
-j as (select node_id, count(*) entry_count, count(distinct source_memory_id) memory_count, count(*) filter (entry_type = 'edge') degree from lk join e on e.id = entry_id group by 1) select node_id, round(entry_count + 0.75::double * memory_count + 0.35::double * degree, 4) weight from j join graph_nodes n on n.id = node_id order by weight desc, node_id limit 48""")
-def graph_subgraph(s, d):
-    """The view of all memories that have entries."""
-    want = table(s, d, "graph_entries").select(F.col("source_memory_id").alias("memory_id")).distinct()
-    return G.subgraph(table(s, d, "graph_entries"), table(s, d, "graph_entry_nodes"), table(s, d, "graph_nodes"), want)[1].select("node_id", "weight")
-
-
 # ---- lifecycle -----------------------------------------------------------------------------------
 @query(f"""with {MEM} select memory_id, case when importance < 1.0 then greatest(0.01::double, round(importance * pow(1 - 0.1::double * (1 - 0.5::double * least(1.0::double, access_count / 10.0::double) * case when {AS_OF} - last_access_time <= 7 * 86400.0 then 1.0::double else 0.5::double end), 3.0::double), 4)) else importance end new_importance,
  case when importance < 1.0 then cast(floor(access_count * 0.5) as bigint) else access_count end new_access_count from mem""")
@@ -646,18 +478,34 @@ def access_touch(s, d):
     return L.touch(mems(s, d), e).select("memory_id", F.round("last_access_time", 3).alias("last_access_time"), "access_count")
 
 
-@query(f"""with {MEM}, k as (select memory_id, {collapse_sql('text')} c, coalesce(session_id, '') ss, coalesce(persona_id, '') pp from mem), e as (select memory_id entry_id, c, ss, pp from k where memory_id % 2 = 0), h as (select distinct coalesce(c, '') c, ss, pp from k where memory_id % 2 = 1 and memory_id % 3 = 0)
-select e.entry_id, case when h.c is not null then 'exists' when row_number() over (partition by coalesce(e.c, ''), e.ss, e.pp order by entry_id) > 1 then 'repeated' else 'insert' end as action from e left join h on h.c = coalesce(e.c, '') and h.ss = e.ss and h.pp = e.pp""")
-def import_dedup(s, d):
+IMPORTED = f"""k as (select memory_id, {collapse_sql('text')} c, coalesce(session_id, '') ss, coalesce(persona_id, '') pp from mem), e as (select memory_id + 1000000000 entry_id, c, ss, pp from k union all select id, {collapse_sql('content')}, coalesce(session_id, ''), '' from msg), h as (select distinct coalesce(c, '') c, ss, pp from k),
+act as (select e.entry_id, case when h.c is not null then 'exists' when row_number() over (partition by coalesce(e.c, ''), e.ss, e.pp order by entry_id) > 1 then 'repeated' else 'insert' end as action from e left join h on h.c = coalesce(e.c, '') and h.ss = e.ss and h.pp = e.pp)"""
+
+
+def imported(s, d):
+    """Every document again, and every message as a memory, against the documents."""
     m = mems(s, d)
-    return L.import_plan(m.where("memory_id % 2 = 0").withColumnRenamed("memory_id", "entry_id"), m.where("memory_id % 2 = 1 and memory_id % 3 = 0"))
+    again = m.select((F.col("memory_id") + 1_000_000_000).alias("entry_id"), "text", "session_id", "persona_id")
+    new = msgs(s, d).select(F.col("id").alias("entry_id"), F.col("content").alias("text"), "session_id", F.lit(None).cast("string").alias("persona_id"))
+    return L.import_plan(again.unionByName(new), m)
+
+
+@query(f"with {MEM}, {MSG}, {IMPORTED} select * from act")
+def import_dedup(s, d):
+    return imported(s, d)
+
+
+@query(f"with {MEM}, {MSG}, {IMPORTED} select count(*) total, count(*) filter (action = 'insert') inserted, count(*) filter (action = 'exists') existing, count(*) filter (action = 'repeated') repeated from act")
+def import_counts(s, d):
+    return L.import_counts(imported(s, d))
 
 
-@query(f"""with {MEM}, t as (select memory_id from mem where text is not null and trim(text, ' ') <> '' and memory_id % 13 <> 0), v as (select vec_id memory_id from embeddings), a as (select memory_id from mem where status = 'active')
+@query(f"""with {MEM}, t as (select memory_id from mem), v as (select vec_id memory_id from embeddings), a as (select memory_id from mem where status = 'active')
 select (select count(*) from a) n_active, (select count(*) from a where memory_id not in (select memory_id from t)) missing_text, (select count(*) from a where memory_id not in (select memory_id from v)) missing_vector, (select count(*) from t where memory_id not in (select memory_id from mem)) orphan_text, (select count(*) from v where memory_id not in (select memory_id from mem)) orphan_vector, 'full' as mode""")
 def index_consistency(s, d):
-    m = mems(s, d)
-    return L.rebuild_mode(L.consistency(m, m.where("text is not null and trim(text) <> '' and memory_id % 13 <> 0"), table(s, d, "embeddings").select(F.col("vec_id").alias("memory_id"))))
+    """Documents against the text index on disk and the table of vectors."""
+    indexed = s.read.parquet(f"{text_index(s, d, 'documents')}/docs").select(F.col("doc_id").alias("memory_id"))
+    return L.rebuild_mode(L.consistency(mems(s, d), indexed, table(s, d, "embeddings").select(F.col("vec_id").alias("memory_id"))))
 
 
 @query(f"with {MEM} select memory_id, case when memory_id % 5 = 0 then 'archived' else status end status from mem where memory_id % 7 <> 0")
@@ -736,7 +584,7 @@ def summary_window(s, d):
     return C.summary_window(table(s, d, "sessions"), msgs(s, d))
 
 
-@query(f"with {MSG}, r as (select session_id, id, role, content, lead(role) over w r2, lead(content) over w c2 from msg where session_id is not null window w as (partition by session_id order by {TIME})) select session_id, id, 'user: ' || coalesce(content, '') || chr(10) || 'assistant: ' || coalesce(c2, '') as text from r where role = 'user' and r2 = 'assistant'")
+@query(f"with {MSG}, r as (select session_id, id, role, content, lead(role) over w r2, lead(content) over w c2 from msg where session_id is not null window w as (partition by session_id order by {TIME})) select session_id, id, 'user: ' || coalesce(content, '') || chr(10) || 'assistant: ' || coalesce(c2, '') as text, false was_cut from r where role = 'user' and r2 = 'assistant'")
 def msg_rounds(s, d):
     return C.rounds(msgs(s, d))
 
@@ -751,12 +599,24 @@ def participant_identities(s, d):
     return C.identities(msgs(s, d))
 
 
-@query(f"""with {MSG}, r as (select *, row_number() over (partition by session_id order by tm desc nulls last, id desc) r from msg where session_id is not null), l as (select session_id, r, case when group_id is not null then '[' || (case when role = 'assistant' then 'Bot: ' else '' end) || coalesce(sender_name, sender_id, '?') || ' | ' || coalesce(sender_id, '?') || ' | ' || coalesce(strftime(make_timestamp(cast(floor(tm) * 1000000 as bigint)), '%Y-%m-%d %H:%M'), '?') || '] ' else coalesce(role, '?') || ': ' end || coalesce(content, '') line from r where r <= 50)
-select session_id, string_agg(line, chr(10) order by r desc) as text from l group by 1""")
+@query(f"""with {MSG}, r as (select *, row_number() over (partition by session_id order by {TIME}) r from msg where session_id is not null), l as (select session_id, r, case when group_id is not null then '[' || (case when role = 'assistant' then 'Bot: ' else '' end) || coalesce(sender_name, sender_id, '?') || ' | ' || coalesce(sender_id, '?') || ' | ' || coalesce(strftime(make_timestamp(cast(floor(tm) * 1000000 as bigint)), '%Y-%m-%d %H:%M'), '?') || '] ' else coalesce(role, '?') || ': ' end || coalesce(content, '') line from r)
+select session_id, (r - 1) // 200 part, string_agg(line, chr(10) order by r) as text from l group by 1, 2""")
 def transcripts(s, d):
     return C.transcripts(msgs(s, d))
 
 
+@query(f"with {MSG}, gone as (select session_id from sessions where coalesce(last_active_at, created_at, 0.0) < {AS_OF} - 100 * 86400.0) select (select count(*) from sessions where session_id is null or session_id not in (select session_id from gone where session_id is not null)) n_sessions, (select count(*) from msg where session_id is null or session_id not in (select session_id from gone where session_id is not null)) n_messages")
+def session_purge(s, d):
+    kept, m = C.purge(table(s, d, "sessions"), msgs(s, d), AS_OF, 100 * 86400.0)
+    return kept.agg(F.count(F.lit(1)).alias("n_sessions")).crossJoin(m.agg(F.count(F.lit(1)).alias("n_messages")))
+
+
+@query(f"with {MSG} select session_id, count(*) n, round(max(tm), 3) last_at, coalesce(string_agg(distinct sender_id, ',' order by sender_id), '') senders from msg where session_id is not null group by 1")
+def session_state(s, d):
+    """The stream's state of each session, in batch."""
+    return S.session_state(msgs(s, d).where("session_id is not null")).select("session_id", "n", F.round("last_at", 3).alias("last_at"), F.array_join("senders", ",").alias("senders"))
+
+
 # ---- streams (batch twins) -----------------------------------------------------------------------
 @query("with u as (select event_id, ts from events union all select event_id, ts + interval 60 second from events where event_id % 10 = 0), g as (select *, epoch(ts) - lag(epoch(ts)) over (partition by event_id order by ts) gap from u) select event_id, epoch(ts) \"at\" from g where gap is null or gap > 300")
 def dedup_events(s, d):
@@ -828,7 +688,7 @@ def decay_catchup(s, d):
     return t.select("session_id", L.missed_days(last, F.to_date(F.lit("2024-04-01"))).alias("missed"))
 
 
-@query(f"""with {MEM}, c as (select session_id group_key, memory_id, unnest(list_slice({FACTS}, 1, 2)) fact from mem where status = 'active' and importance < 0.5 and create_time < {AS_OF} - 7 * 86400.0 and session_id is not null and text is not null),
+@query(f"""with {MEM}, c as (select session_id group_key, memory_id, unnest(list_slice({FACTS}, 1, 5)) fact from mem where status = 'active' and importance < 0.5 and create_time < {AS_OF} - 7 * 86400.0 and session_id is not null and text is not null),
 o as (select group_key, fact, min(memory_id) memory_id from c group by 1, 2), r as (select *, row_number() over (partition by group_key order by memory_id, fact) r from o), t as (select group_key, string_agg(fact, '；' order by r) as text from r where r <= 5 group by 1)
 select t.group_key, t.text, n_sources, first_id from t join (select group_key, count(distinct memory_id) n_sources, min(memory_id) first_id from c group by 1) n using (group_key)""")
 def consolidation_merge(s, d):
@@ -852,37 +712,10 @@ def graph_extract_atoms(s, d):
     return G.extract_atom_edges(A.current(table(s, d, "memory_atoms"))).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"with {LINK}, j as (select node_id, count(*) entry_count, count(distinct source_memory_id) memory_count, count(*) filter (entry_type = 'edge') degree from lk join graph_entries g on g.id = entry_id group by 1) select node_id, round(entry_count + 0.75::double * memory_count + 0.35::double * degree, 4) weight from j join graph_nodes n on n.id = node_id order by weight desc, node_id limit 8")
-def view_top_nodes(s, d):
-    n = G.node_weights(table(s, d, "graph_nodes"), table(s, d, "graph_entry_nodes"), table(s, d, "graph_entries"))
-    return n.orderBy(F.desc("weight"), "node_id").limit(8).select("node_id", "weight")
-
-
-GCONF = f"""gc as (select source_memory_id memory_id, avg(coalesce({number_sql('graph_confidence')}, 0.5)) confidence from graph_entries group by 1), gr as (select query_id, memory_id doc_id, 1.0::double / (60 + row_number() over (partition by query_id order by round(score, 9) desc, memory_id)) rrf_score from gf),
-gw as (select gr.query_id, gr.doc_id, 0.55::double * rrf_score / max(rrf_score) over (partition by query_id) + 0.2::double * importance + 0.15::double * exp(-0.01::double * greatest(0.0::double, ({AS_OF} - greatest(create_time, last_access_time)) / 86400.0::double)) + 0.1::double * coalesce(gc.confidence, 0.5) score from gr join mem on mem.memory_id = gr.doc_id left join gc on gc.memory_id = gr.doc_id)"""
-
-
-@query(f"with {MEM}, {NODEQ}, {EHITS}, {TOKQ}, {FOLD}, {GCONF} select query_id, doc_id, round(score, 6) score, rank from (select *, {rank_sql('gw')} rank from gw) where rank <= 10")
-def graph_fusion(s, d):
-    kw = R.rank(_graph_keyword(s, d).select("query_id", F.col("memory_id").alias("doc_id"), "score"))
-    conf = table(s, d, "graph_entries").groupBy(F.col("source_memory_id").alias("memory_id")).agg(F.avg(F.coalesce(M.meta_number(F.col("metadata"), "graph_confidence"), F.lit(0.5))).alias("confidence")).withColumn("temporal", F.lit(1.0))
-    return G.graph_fusion(R.rrf({"kw": kw}), mems(s, d), conf, AS_OF).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
-@query()
-def graph_vector(s, d):
-    from engramlake.operators.embedding import embed
-
-    docs = embed(G.entry_documents(table(s, d, "graph_entries")), "source_memory_id", "content")
-    q = embed(node_queries(s, d), "query_id", "query").withColumnRenamed("vec_id", "query_id")
-    return R.vector_topk(q, docs, 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
-
-
-@query(f"with {MSG}, r as (select id, session_id, content, lag(content) over w prev, tm - lag(tm) over w gap from msg where session_id is not null window w as (partition by session_id order by {TIME})) select id, case when gap <= 7200 and prev is not null then prev || ' ' || coalesce(content, '') else content end expanded from r")
+@query(f"""with {MSG}, r as (select id, session_id, content, tm, [struct_pack(c := lag(content, 4) over w, t := lag(tm, 4) over w), struct_pack(c := lag(content, 3) over w, t := lag(tm, 3) over w), struct_pack(c := lag(content, 2) over w, t := lag(tm, 2) over w), struct_pack(c := lag(content, 1) over w, t := lag(tm, 1) over w)] p from msg where session_id is not null window w as (partition by session_id order by {TIME})),
+f as (select id, content, list_transform(list_filter(p, lambda x: coalesce(trim(x.c, ' ') <> '' and tm - x.t <= 7200, false)), lambda x: trim(x.c, ' ')) l from r) select id, case when len(l) > 0 then array_to_string(l, ' | ') || ' ' || coalesce(content, '') else coalesce(content, '') end expanded from f""")
 def query_context(s, d):
-    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("at"), "id")
-    m = msgs(s, d).where("session_id is not null").withColumn("prev", F.lag("content").over(w)).withColumn("gap", F.col("at") - F.lag("at").over(w))
-    return m.select("id", F.when((F.col("gap") <= 7200) & F.col("prev").isNotNull(), F.concat("prev", F.lit(" "), F.coalesce("content", F.lit("")))).otherwise(F.col("content")).alias("expanded"))
+    return C.with_context(msgs(s, d))
 
 
 @query(f"with {MSG} select id from msg where role in ('assistant', 'bot', 'ai') and content is not null and not regexp_matches(content, '(?i)^(error|traceback|\\{{\"tool\")')")

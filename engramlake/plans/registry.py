@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 
-def queries() -> dict:
-    from engramlake.plans import queries as q
+def _all():
+    from engramlake.plans import graph_queries, queries  # noqa: F401  (the second adds to the first's tables)
 
-    return dict(q.QUERIES)
+    return queries
 
 
-def oracle_sql() -> dict[str, str]:
-    from engramlake.plans import queries as q
+def queries() -> dict:
+    return dict(_all().QUERIES)
 
-    return dict(q.SQL)
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_all().SQL)

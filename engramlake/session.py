@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage; survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,3 +61,44 @@ def drop_cut(df: DataFrame) -> None:
         folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
         if folder.getName().startswith("cut-"):
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_all_cuts(spark: SparkSession) -> int:
+    """Removes every table that :func:`cut` made in this application; returns their number.
+
+    Lazy results may still read them, so this is for the end of a job.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    mine = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith(f"cut-{spark.sparkContext.applicationId}-")] if fs.exists(root) else []
+    for p in mine:
+        fs.delete(p, True)
+    return len(mine)
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A key of files' names, lengths and times of change."""
+    parts = []
+    for p in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(root):
+            parts += sorted(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}" for f in fs.listStatus(root))
+    return hashlib.sha1("\n".join(parts).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, name: str, key: str, build: Callable[[str], None]) -> str:
+    """The folder of an index or derived table in the shared folder, made by ``build(folder)`` at first use.
+
+    ``key`` is the fingerprint of what it is made of: other data get another folder. A folder appears
+    whole, by a rename, so a second driver at the same time loses nothing but its own work.
+    """
+    path = f"{shared_dir(spark)}/stored-{name}-{key[:24]}"
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(to):
+        tmp = f"{path}-{uuid.uuid4().hex}"
+        build(tmp)
+        if fs.exists(to) or not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(tmp), to):
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(tmp), True)
+    return path

@@ -52,8 +52,8 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str =
 
 
 def session_state(messages: DataFrame) -> DataFrame:
-    """Running state of sessions (count, last time, senders), in update mode on a stream."""
-    return messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"), F.approx_count_distinct("sender_id").alias("n_senders"))
+    """Running state of sessions (count, last time, the exact set of senders), in update mode on a stream."""
+    return messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"), F.array_sort(F.collect_set("sender_id")).alias("senders"))
 
 
 def captured(messages: DataFrame, groups_only: bool = True, bot_ids: tuple[str, ...] = ("bot",), allow: list[str] | None = None) -> DataFrame:
