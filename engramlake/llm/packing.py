@@ -1,149 +1,129 @@
-"""Filling containers of a fixed capacity, by bulk-synchronous best fit.
-
-Sizes are whole numbers of at most the capacity C, so sorted documents are runs of equal size and
-sorted gaps are runs of containers with the same room. A round matches runs: every size, largest
-first, looks up its successor among the gaps (the least gap that holds it); where several sizes meet
-one gap, the larger size ranks first; the gaps move to what is left; this repeats until no document
-fits, then containers are opened for the largest documents, as many as the rest needs at least.
-The state of a round has at most C runs of sizes, whatever the number of documents: only the counts
-per size (at most C rows for a window) come to the driver, and the documents themselves are placed by
-an equality join on (window, size, rank).
-
-Ranks inside one size are made per bucket of ids with running offsets, so a size that a third of all
-documents share is not ranked in one task.
-
-A document longer than C fills whole containers of its own and leaves one rest; all others stay
-whole. A document without tokens is not placed. Windows with a null or non-positive capacity are
-ignored.
+"""Filling containers of a fixed capacity, by best fit in stripes.
+
+The documents of a window are dealt into stripes of about ``STRIPE`` documents each by the hash of their
+key, so every stripe has the sizes of the whole. A stripe's documents are range-sorted by size (by the
+engine, with spill), and one task sweeps over them: each document looks up its successor among the sorted
+gaps, the least gap that holds it; where several meet one gap the larger, then the smaller key, ranks
+first; the gap moves to what is left; a document without a successor opens a container. That is exact
+best-fit decreasing inside a stripe, and stripes need nothing of each other.
+
+The sweeps of all documents in common rounds (range-sorted documents and gaps, conflicts resolved
+between tasks, repeated until nothing fits) take a round for each document of a container, so about as many
+passes over all data as the smallest documents fit into the largest window. Stripes do the same sweeps
+with one exchange; what they lose is the last, partly filled container of each stripe.
+
+A document longer than the capacity fills whole containers of its own and leaves one rest; all others
+stay whole. A document without tokens is not placed. Windows with a null or non-positive capacity are
+ignored. Nothing but the number of documents comes to the driver.
 """
 
 from __future__ import annotations
 
-
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+STRIPE = 50_000
 BUCKETS = 64
 
 
-def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Segments ``(size, first_rank, n, first_container, offset)`` of a best-fit packing.
+def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Container and offset of each document; ``sizes`` descend and are from 1 to the capacity.
 
-    ``n`` documents of one size, by rank, go into ``n`` consecutive containers at ``offset``.
+    Equal sizes are swept together: a run of documents takes the containers of one gap, last opened first.
     """
-    left = {s: n for s, n in counts.items() if n > 0}
-    order = sorted(left, reverse=True)
-    done = dict.fromkeys(order, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> (first container, how many)
-    keys: list[int] = []  # sorted gaps in use
-    total = sum(s * n for s, n in left.items())
+    box, at = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    gaps: dict[int, list[np.ndarray]] = {}  # gap -> containers
+    keys: list[int] = []  # gaps in use, sorted
     opened = 0
-    out: list[tuple[int, int, int, int, int]] = []
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap not in gaps:
-            insort(keys, gap)
-            gaps[gap] = []
-        gaps[gap].append((first, n))
-
-    def place(size: int, n: int, gap: int, first: int) -> None:
-        nonlocal total
-        out.append((size, done[size], n, first, capacity - gap))
-        done[size] += n
-        left[size] -= n
-        total -= size * n
-        if gap > size:
-            put(gap - size, first, n)
-
-    while order:
-        # sweep: proposals are resolved by rank, larger sizes first; new gaps wait for the next round
-        moved = False
-        fresh: list[tuple[int, int, int]] = []
-        for size in order:
-            n = left[size]
-            while n and keys and keys[-1] >= size:
-                at = bisect_left(keys, size)
-                gap = keys[at]
-                runs = gaps[gap]
-                first, have = runs.pop()
-                take = min(n, have)
-                if take < have:
-                    runs.append((first + take, have - take))
-                if not runs:
-                    del gaps[gap], keys[at]
-                out.append((size, done[size], take, first, capacity - gap))
-                done[size] += take
-                left[size] -= take
-                total -= size * take
-                n -= take
-                moved = True
-                if gap > size:
-                    fresh.append((gap - size, first, take))
-        for gap, first, n in fresh:
-            put(gap, first, n)
-        order = [s for s in order if left[s]]
-        if moved or not order:
+
+    def put(gap: int, which: np.ndarray) -> None:
+        if gap:
+            if gap not in gaps:
+                insort(keys, gap)
+                gaps[gap] = []
+            gaps[gap].append(which)
+
+    run = np.r_[np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]]), len(sizes)] if len(sizes) else [0]
+    for a, b in zip(run[:-1], run[1:]):
+        size = int(sizes[a])
+        while a < b:
+            k = bisect_left(keys, size)
+            if k < len(keys):
+                gap = keys[k]
+                have = gaps[gap].pop()
+                take = have[: b - a]
+                if len(take) < len(have):
+                    gaps[gap].append(have[len(take) :])
+                elif not gaps[gap]:
+                    del gaps[gap], keys[k]
+            else:
+                gap = capacity
+                take = np.arange(opened, opened + -(-(b - a) // (capacity // size)))
+                opened += len(take)
+            n = len(take)
+            box[a : a + n], at[a : a + n] = take, capacity - gap
+            a += n
+            put(gap - size, take)
+    return box, at
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by window, stripe and falling size; a stripe is held whole (about ``STRIPE`` rows)."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        cap, stripes, stripe = (t.column(c)[0].as_py() for c in ("cap", "stripes", "stripe"))
+        box, at = best_fit(t.column("rest").to_numpy(), cap)
+        out = t.select(["window_name", "key", "n_tokens", "cap", "rest"]).append_column("container", pa.array(box * stripes + stripe)).append_column("offset", pa.array(at))
+        return out.to_batches()[0]
+
+    group = None
+    for b in batches:
+        if not b.num_rows:
             continue
-        need = max(1, total // capacity)  # containers that the rest needs at least
-        for size in order:
-            n = min(left[size], need)
-            place(size, n, capacity, opened)
-            opened += n
-            need -= n
-            if not need:
-                break
-        order = [s for s in order if left[s]]
-    return out
-
-
-def pack(sizes: DataFrame, windows: DataFrame, key: str = "doc_id") -> DataFrame:
+        w, s = b.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+        edge = np.r_[0, np.flatnonzero((w[1:] != w[:-1]) | (s[1:] != s[:-1])) + 1, b.num_rows]
+        for a, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            now = (b.column(0)[a].as_py(), int(s[a]))
+            if group is not None and now != group:
+                yield flush()
+                held = []
+            group = now
+            held.append(b.slice(a, e - a))
+    if held:
+        yield flush()
+
+
+def pack(sizes: DataFrame, windows: DataFrame, key: str = "doc_id", stripe: int = STRIPE) -> DataFrame:
     """``window_name, container, key, piece_no, start_token, n_tokens, offset`` of every placed piece.
 
-    ``sizes`` has ``key, n_tokens``; ``windows`` has ``window_name, capacity_tokens``. ``sizes`` is read
-    twice, so give a written table. Containers are numbered per window from 0: first those that
-    pieces of over-long documents fill (named by a negative number's absolute order in ``whole``).
+    ``sizes`` has ``key, n_tokens``; it is read three times, so give a written table. Containers are
+    numbered per window: from 0 (with steps) those that are packed, from -1 downwards those that pieces of
+    over-long documents fill.
     """
-    spark = sizes.sparkSession
-    caps = windows.where("capacity_tokens > 0").select("window_name", F.col("capacity_tokens").cast("long").alias("cap")).distinct()
-    # capacities are configuration: one row for each window
-    caps_list = [(r.window_name, r.cap) for r in caps.collect()]
-    docs = sizes.where("n_tokens > 0").crossJoin(F.broadcast(caps))
-    rest = docs.withColumn("rest", F.pmod("n_tokens", "cap")).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
-    items = rest.where("rest > 0")
-    per = items.groupBy("window_name", "rest", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    per_rows = per.groupBy("window_name", "rest").agg(F.sum("n").alias("n")).collect()  # <= sum of capacities
-    segments = []
-    used: dict[str, int] = {}
-    for name, cap in caps_list:
-        plan = plan_runs({r["rest"]: r["n"] for r in per_rows if r["window_name"] == name}, cap)
-        used[name] = max((first + n for _, _, n, first, _ in plan), default=0)
-        segments += [(name, *x) for x in plan]
-    schema = "window_name string, rest long, first_rank long, n long, first_container long, offset long"
-    seg = spark.createDataFrame(pd.DataFrame(segments, columns=["window_name", "rest", "first_rank", "n", "first_container", "offset"]), schema) if segments else spark.createDataFrame([], schema)
-    seg = seg.select("window_name", "rest", "first_rank", "first_container", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    slots = seg.select("window_name", "rest", (F.col("first_rank") + F.col("i")).alias("rank"), (F.col("first_container") + F.col("i")).alias("container"), "offset")
-
-    before = Window.partitionBy("window_name", "rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select("window_name", "rest", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("window_name", "rest", "bucket").orderBy(key)) - 1
-    ranked = items.withColumn("r", inside).join(base, ["window_name", "rest", "bucket"]).withColumn("rank", F.col("base") + F.col("r"))
-    tail = ranked.join(slots, ["window_name", "rest", "rank"]).select(
-        "window_name", "container", key, F.floor(F.col("n_tokens") / F.col("cap")).alias("piece_no"),
-        (F.col("n_tokens") - F.col("rest")).alias("start_token"), F.col("rest").alias("n_tokens"), "offset",
-    )
-
-    # whole containers of over-long documents follow the packed ones, numbered by running offsets
-    long = docs.where("n_tokens >= cap").withColumn("full", F.floor(F.col("n_tokens") / F.col("cap"))).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    caps = windows.where("capacity_tokens > 0").select("window_name", F.col("capacity_tokens").cast("long").alias("cap")).distinct()  # configuration: one row a window
+    docs = sizes.where("n_tokens > 0").select(F.col(key).alias("key"), F.col("n_tokens").cast("long").alias("n_tokens")).crossJoin(F.broadcast(caps))
+    stripes = max(1, -(-sizes.where("n_tokens > 0").count() // stripe))
+    items = docs.withColumn("rest", F.pmod("n_tokens", "cap")).where("rest > 0")
+    items = items.select("window_name", F.pmod(F.xxhash64("key"), F.lit(stripes)).alias("stripe"), "key", "n_tokens", "cap", "rest", F.lit(stripes).cast("long").alias("stripes"))
+    parts = min(stripes * 8, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = items.repartition(parts, "window_name", "stripe").sortWithinPartitions("window_name", "stripe", F.desc("rest"), "key")
+    kind = dict(sizes.dtypes)[key]
+    placed = dealt.mapInArrow(_sweep, f"window_name string, key {kind}, n_tokens long, cap long, rest long, container long, offset long")
+    tail = placed.select("window_name", "container", F.col("key").alias(key), F.floor(F.col("n_tokens") / F.col("cap")).alias("piece_no"), (F.col("n_tokens") - F.col("rest")).alias("start_token"), F.col("rest").alias("n_tokens"), "offset")
+
+    # whole containers of over-long documents, numbered by running offsets
+    long = docs.where("n_tokens >= cap").withColumn("full", F.floor(F.col("n_tokens") / F.col("cap"))).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
     lw = Window.partitionBy("window_name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    lbase = long.groupBy("window_name", "bucket").agg(F.sum("full").alias("k")).select("window_name", "bucket", F.coalesce(F.sum("k").over(lw), F.lit(0)).alias("base"))
-    lin = F.sum("full").over(Window.partitionBy("window_name", "bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    start = F.create_map(*[x for k, v in used.items() for x in (F.lit(k), F.lit(v).cast("long"))]) if used else F.create_map(F.lit(""), F.lit(0).cast("long"))
-    full = long.withColumn("inner", F.coalesce(lin, F.lit(0))).join(lbase, ["window_name", "bucket"]).select(
-        "window_name", key, "cap", (start[F.col("window_name")] + F.col("base") + F.col("inner")).alias("c0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece_no"),
-    )
-    full = full.select("window_name", (F.col("c0") + F.col("piece_no")).alias("container"), key, "piece_no", (F.col("piece_no") * F.col("cap")).alias("start_token"), F.col("cap").alias("n_tokens"), F.lit(0).cast("long").alias("offset"))
-    # a rest of zero with an exact multiple is a full piece only; a document equal to the capacity too
+    base = long.groupBy("window_name", "bucket").agg(F.sum("full").alias("k")).select("window_name", "bucket", F.coalesce(F.sum("k").over(lw), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("full").over(Window.partitionBy("window_name", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    full = long.withColumn("inner", inside).join(base, ["window_name", "bucket"])
+    full = full.select("window_name", "key", "cap", (F.col("base") + F.col("inner")).alias("c0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece_no"))
+    full = full.select("window_name", (-1 - F.col("c0") - F.col("piece_no")).alias("container"), F.col("key").alias(key), "piece_no", (F.col("piece_no") * F.col("cap")).alias("start_token"), F.col("cap").alias("n_tokens"), F.lit(0).cast("long").alias("offset"))
     return tail.unionByName(full)

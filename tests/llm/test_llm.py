@@ -1,5 +1,6 @@
 """Training-data operators: brute force, round trips, held-out accuracy, odd rows."""
 
+import bisect
 import random
 import re
 from collections import Counter
@@ -295,9 +296,31 @@ def test_packing(spark):
         for r in got:
             spans.setdefault(r.container, []).append((r.offset, r.offset + r.n_tokens))
         assert all(a[1] <= b[0] for s in spans.values() for a, b in zip(sorted(s), sorted(s)[1:]))
+        assert rows(packing.pack(sizes, w, stripe=100).where(F.col("window_name") == name).groupBy("doc_id").agg(F.sum("n_tokens"))) == sorted(((i, n) for i, n in size.items() if n), key=str)
     assert packing.pack(sizes.limit(0), w).count() == 0
 
 
+def test_best_fit_is_that_of_single_documents():
+    rng = random.Random(8)
+    for cap in (64, 512):
+        sizes = sorted((rng.choice([1, 3, rng.randint(1, cap), rng.randint(1, cap // 4)]) for _ in range(3000)), reverse=True)
+        gaps, opened = [], 0
+        for s in sizes:
+            i = bisect.bisect_left(gaps, s)
+            if i < len(gaps):
+                g = gaps.pop(i)
+            else:
+                g, opened = cap, opened + 1
+            if g > s:
+                bisect.insort(gaps, g - s)
+        box, at = packing.best_fit(np.array(sizes), cap)
+        assert box.max() + 1 <= opened
+        fill = Counter()
+        for s, b in zip(sizes, box):
+            fill[b] += s
+        assert max(fill.values()) <= cap
+
+
 # ---- 8 abuse
 def test_abuse_held_out():
     rng = random.Random(77)
