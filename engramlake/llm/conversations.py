@@ -1,17 +1,21 @@
 """Rebuilding conversations from message rows.
 
-Steps: (1) rows that lack a session are tied to other rows by the reply and quote links of their
-metadata, and the components of these links (large-star / small-star) carry a session to them;
-(2) copies collapse; (3) a conversation is validated as a whole; (4) its turns are numbered.
-
-Contraction: a row with a session is represented by its session's vertex, so only links touch the
-star rounds; a session with a third of all rows is one vertex. A component that reaches no session,
-or more than one, gives none to its rows without one.
-
-Order: turns are numbered through hourly buckets (counts per bucket, a running sum over buckets, a
-rank inside one bucket), so one huge session is not sorted in a single task.
-
-Null or unreadable metadata has no links; a null session without links belongs to no conversation.
+Steps: (1) rows that lack a session are tied to each other by the reply and quote links of their
+metadata; the components of these links (large-star / small-star) are conversations without an
+identifier, and take a session if a link leads to one; (2) copies collapse; (3) a conversation is
+validated as a whole; (4) its turns are numbered.
+
+Only links between two rows without a session enter the star rounds, so a quote between two sessions
+ties nothing together and a session with a third of all rows is no vertex. A row's own links to
+sessions count first (its reply, that is the least target); a row without one takes the session that most
+links of its component lead to, of equal ones the least. A component that reaches no session becomes a
+conversation of its own, ``links:`` and its least id.
+
+Order: turns are numbered through hours and minutes (counts per bucket, running sums over buckets, a rank
+inside one minute), so one huge session or one busy hour is not sorted in a single task.
+
+Null or unreadable metadata has no links; links to rows that don't exist count as none; a row without a
+session and links belongs to no conversation.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.llm.components import connected_components
+from engramlake.session import cut
 
 # Spellings of the four roles.
 ROLE_WORDS = {
@@ -58,26 +63,35 @@ def _links(messages: DataFrame) -> DataFrame:
 
 
 def attach_sessions(messages: DataFrame) -> DataFrame:
-    """Fills ``session_id`` of rows without one from the component of their links."""
+    """Fills ``session_id`` of rows without one from the links of their component."""
     links = _links(messages)
-    vertex = F.coalesce(F.concat(F.lit("s:"), "session_id"), F.concat(F.lit("m:"), F.col("id").cast("string")))
-    names = messages.select("id", vertex.alias("v")).distinct()
-    edges = links.join(names.withColumnRenamed("v", "u"), "id").select("u", F.col("target").alias("id")).join(names, "id").select("u", "v")
-    found = connected_components(edges)
-    owner = found.where(F.col("vertex").startswith("s:")).groupBy("component").agg(F.min("vertex").alias("s"), F.max("vertex").alias("t")).where("s = t")
-    owned = found.where(F.col("vertex").startswith("m:")).join(owner, "component").select(F.substring("vertex", 3, 40).cast("long").alias("id"), F.expr("substring(s, 3)").alias("found_session"))
-    lost = messages.where("session_id is null").join(owned, "id", "left").withColumn("session_id", F.col("found_session")).drop("found_session")
+    of = messages.where("id is not null").groupBy("id").agg(F.min("session_id").alias("s"))
+    ends = links.join(of, "id").withColumnRenamed("s", "s_own").join(of.select(F.col("id").alias("target"), F.col("s").alias("s_to")), "target")
+    ends = cut(ends.select("id", "target", "s_own", "s_to"))
+    loose = ends.where("s_own is null and s_to is null")
+    comp = connected_components(loose.select(F.col("id").alias("u"), F.col("target").alias("v")))
+    # links between a row without a session and one with: from either side
+    tied = ends.where("s_own is null and s_to is not null").select("id", "target", F.col("s_to").alias("s")).unionAll(ends.where("s_own is not null and s_to is null").select(F.col("target"), F.col("id"), F.col("s_own")))
+    own = tied.groupBy("id").agg(F.min_by("s", F.struct("target", "s")).alias("own"))
+    votes = tied.join(comp.withColumnRenamed("vertex", "id"), "id").groupBy("component", "s").agg(F.count(F.lit(1)).alias("n"))
+    most = votes.groupBy("component").agg(F.min_by("s", F.struct(-F.col("n"), "s")).alias("most"))
+    all_ = comp.withColumnRenamed("vertex", "id").join(most, "component", "left").join(own, "id", "full_outer")
+    found = all_.select("id", F.coalesce("own", "most", F.concat(F.lit("links:"), F.col("component").cast("string"))).alias("found_session"))
+    lost = messages.where("session_id is null").join(found, "id", "left").withColumn("session_id", F.col("found_session")).drop("found_session")
     return messages.where("session_id is not null").unionByName(lost)
 
 
 def turns(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """``session_id, turn_no, message_id, role, content, at_ms`` of every kept conversation.
+    """``session_id, turn_no, message_id, role, content, at_ms`` of every kept conversation: those of
+    ``sessions`` and those that links alone make.
 
     Dropped whole: a conversation with a row without a time or a known role, with a blank answer of
     the assistant, with nothing left, or not beginning with the user and ending with the assistant.
     """
     m = attach_sessions(messages.select("id", "session_id", "role", "content", "sender_id", "timestamp", "metadata"))
-    m = m.where("session_id is not null").join(sessions.select("session_id").where("session_id is not null").distinct(), "session_id", "left_semi")
+    m = m.where("session_id is not null")
+    known = sessions.select("session_id").where("session_id is not null").distinct().withColumn("known", F.lit(True))
+    m = m.join(known, "session_id", "left").where("known or startswith(session_id, 'links:')").drop("known")
     m = m.select("id", "session_id", "sender_id", role_of(F.col("role")).alias("role"), millis_of(F.col("timestamp")).alias("at_ms"), "content")
     m = m.groupBy("session_id", "sender_id", "at_ms", "role", "content").agg(F.min("id").alias("message_id"))
     m = m.withColumn("blank", F.length(F.regexp_replace(F.coalesce("content", F.lit("")), BLANK, "")) == 0)
@@ -88,9 +102,11 @@ def turns(messages: DataFrame, sessions: DataFrame) -> DataFrame:
         F.min_by("role", key).alias("first_role"), F.max_by("role", key).alias("last_role"),
     )
     good = verdict.where("not coalesce(broken, true) and first_role = 'user' and last_role = 'assistant'").select("session_id")
-    kept = m.where(spoken).join(good, "session_id", "left_semi").withColumn("bucket", F.floor(F.col("at_ms") / 3_600_000))
-    sizes = kept.groupBy("session_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("session_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("session_id", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("session_id", "bucket").orderBy("at_ms", "message_id"))
-    return kept.withColumn("rank", rank).join(base, ["session_id", "bucket"]).select("session_id", (F.col("base") + F.col("rank")).cast("long").alias("turn_no"), "message_id", "role", "content", "at_ms")
+    kept = m.where(spoken).join(good, "session_id", "left_semi").withColumn("hour", F.floor(F.col("at_ms") / 3_600_000)).withColumn("minute", F.floor(F.col("at_ms") / 60_000))
+    per = kept.groupBy("session_id", "hour", "minute").agg(F.count(F.lit(1)).alias("n"))
+    before = lambda keys, by: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    minutes = per.select("session_id", "hour", "minute", before(["session_id", "hour"], "minute").alias("m0"))
+    hours = per.groupBy("session_id", "hour").agg(F.sum("n").alias("n")).select("session_id", "hour", before(["session_id"], "hour").alias("h0"))
+    base = minutes.join(hours, ["session_id", "hour"]).select("session_id", "minute", (F.col("m0") + F.col("h0")).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("session_id", "minute").orderBy("at_ms", "message_id"))
+    return kept.withColumn("rank", rank).join(base, ["session_id", "minute"]).select("session_id", (F.col("base") + F.col("rank")).cast("long").alias("turn_no"), "message_id", "role", "content", "at_ms")

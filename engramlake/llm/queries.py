@@ -42,7 +42,9 @@ def p4_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_turns(spark, d).select("session_id", "turn_no", "message_id")
+    """Conversations of ``sessions`` only; those that links alone make are in ``p4_turns``."""
+    known = table(spark, d, "sessions").select("session_id").distinct()
+    return p4_turns(spark, d).select("session_id", "turn_no", "message_id").join(known, "session_id", "left_semi")
 
 
 def _p5_links(spark: SparkSession, d: str) -> DataFrame:

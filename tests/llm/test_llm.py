@@ -214,6 +214,30 @@ def test_conversations(spark):
     assert conversations.turns(df.limit(0), s).count() == 0
 
 
+def test_conversations_of_links(spark):
+    """Rows without a session that answer each other, and quotes between sessions."""
+    link = lambda k: '{"reply_to": %d}' % k
+    data = [
+        (1, "a", "user", "q", 1.0, None), (2, None, "assistant", "r", 2.0, link(1)), (3, "a", "user", "q2", 3.0, '{"quote": 10}'), (4, "a", "assistant", "r2", 4.0, None),
+        (10, "b", "user", "x", 1.0, None), (11, "b", "assistant", "y", 2.0, None),
+        (20, None, "user", "lonely q", 1.0, None), (21, None, "assistant", "lonely r", 2.0, link(20)), (22, None, "user", "more", 3.0, link(21)), (23, None, "assistant", "end", 4.0, link(22)),
+        (30, None, "user", "no answer", 1.0, None),
+        (40, None, "user", "both", 5.0, link(4)), (41, None, "assistant", "sides", 6.0, '{"reply_to": 40, "quote": 11}'),
+    ]
+    df = spark.createDataFrame(data, "id long, session_id string, role string, content string, timestamp double, metadata string").withColumn("sender_id", F.lit("u"))
+    s = spark.createDataFrame([("a",), ("b",)], "session_id string")
+    got = {}
+    for r in conversations.turns(df, s).orderBy("turn_no").collect():
+        got.setdefault(r.session_id, []).append(r.message_id)
+    # a row's own link decides: 40 answers in a, 41 quotes b
+    assert got == {"b": [10, 11, 41], "links:20": [20, 21, 22, 23]}  # a now ends with the user's row 40 and is dropped
+    kept = conversations.turns(df.where("id < 40"), s)
+    got = {}
+    for r in kept.orderBy("turn_no").collect():
+        got.setdefault(r.session_id, []).append(r.message_id)
+    assert got == {"a": [1, 2, 3, 4], "b": [10, 11], "links:20": [20, 21, 22, 23]}
+
+
 def test_star_components(spark):
     rng = random.Random(4)
     e = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(200 + rng.randrange(40), 200 + rng.randrange(40)) for _ in range(60)] + [(None, 3), (5, 5)]
