@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.session import cut
+
 BASKET_WIDE = 64
 
 
@@ -38,19 +40,22 @@ def _pairs_within(arr: Column) -> Column:
 def pair_counts(links: DataFrame, min_support: int = 5, min_lift: float = 10.0, wide: int = BASKET_WIDE) -> DataFrame:
     """``a, b, n_ab, n_a, n_b, n`` of all pairs that reach the support and the lift.
 
-    ``links`` comes from :func:`clean_links`. ``min_lift <= 1`` switches the upper pruning off;
+    ``links`` comes from :func:`clean_links`; they, the item counts and the links that are left are written to the
+    shared folder, so nothing is derived twice. ``min_lift <= 1`` switches the upper pruning off;
     with ``min_support=1`` and ``min_lift=0`` all pairs that occur together come out.
     """
+    links = cut(links)  # written once, read for the counts, the total and the baskets
     n_items = links.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     total = links.agg(F.countDistinct("rec").alias("n"))  # one row
     kept = n_items.crossJoin(F.broadcast(total)).where(F.col("n_item") >= min_support)
     if min_lift > 1:
         kept = kept.where(F.col("n_item") * F.lit(float(min_lift)) <= F.col("n"))
+    kept = cut(kept)
     live = links.join(kept.select("item"), "item", "left_semi")
 
     # the widths come first, so that a wide record is never gathered whole
     width = live.groupBy("rec").agg(F.count(F.lit(1)).alias("w"))
-    live = live.join(width.where("w > 1"), "rec")
+    live = cut(live.join(width.where("w > 1"), "rec"))
     narrow = live.where(F.col("w") <= wide).groupBy("rec").agg(F.sort_array(F.collect_list("item")).alias("basket"))
     baskets = narrow.groupBy("basket").agg(F.count(F.lit(1)).alias("weight"))
     some = baskets.select("weight", F.explode(_pairs_within(F.col("basket"))).alias("p")).select("p.a", "p.b", "weight")
