@@ -6,13 +6,17 @@ A word counted with its occurrence number turns the multiset into a set, so MinH
 Plan, with one exchange of the records (the ``bag`` exchange, used again by every later step):
 1. words -> sorted 32-bit element hashes; equal bags share a 64-bit key, and later copies of a bag in
    a task travel without it, so a group of copies costs a few bytes a row;
-2. each distinct bag enters the forest: ``trees`` tries over signatures, of which a prefix is
-   matched. The prefix starts at ``MAX_DEPTH`` and is shortened until the recall at the threshold,
-   ``1 - (1 - t^k)^trees``, reaches the target. A task packs its labels, sorted by tree and label,
-   into one compressed block for each part of the label space;
-3. in each part the sorted labels of all blocks are merged, equal labels are paired, and a pair that
-   can't reach the threshold leaves at once: by its sizes, and by the Hamming distance of 128-bit odd
-   sketches, which never exceeds the symmetric difference. Both tests are exact;
+2. each distinct bag enters the forest: ``trees`` prefix tries over its signature. The matched prefix
+   starts at ``MAX_DEPTH`` levels and is shortened level by level until the recall reaches the target. The
+   recall of a depth is measured on verified pairs: those of a sample of at most about ``SAMPLE`` records,
+   found with the shortest prefix that suffices for pairs right at the threshold, each weighted by one
+   over its chance to be found (:func:`fit_depth`). All records are then matched at that depth. Of a trie
+   only the node at the matched depth is kept, as a 32-bit label; a task packs its labels, sorted by
+   tree and label, into one compressed block for each part of the label space;
+3. in each part the sorted labels of all blocks are merged, neighbours of one node are paired, and a pair
+   that can't reach the threshold leaves at once: by its sizes, and by the Hamming distance of 128-bit odd
+   sketches, which never exceeds the symmetric difference. Both tests are exact. The number of parts
+   grows with the records, so that a part stays small;
 4. the distinct candidates meet the bags again and are verified exactly;
 5. bags are expanded to the records that have them.
 
@@ -39,17 +43,35 @@ from engramlake.llm.pii import portions
 from engramlake.session import cut
 
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
-TREES, MAX_DEPTH, POOL, RECALL = 64, 12, 224, 0.99
+TREES, MAX_DEPTH, POOL, RECALL = 64, 12, 224, 0.999
+SAMPLE, LEAST, PART_ROWS = 20_000, 100, 20_000
 FLUSH = 20_000
 _M32 = np.uint64(0xFFFFFFFF)
 
 
-def prefix_depth(threshold: float, trees: int = TREES, recall: float = RECALL, deepest: int = MAX_DEPTH) -> int:
-    """The longest matched prefix that still reaches the recall at the threshold."""
-    for k in range(deepest, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
+def chance(similarity: float, depth: int, trees: int = TREES) -> float:
+    """That a pair meets in at least one of the tries."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def prefix_depth(threshold: float, trees: int = TREES, recall: float = 0.99, deepest: int = MAX_DEPTH) -> int:
+    """The longest matched prefix that reaches the recall even if all pairs lie at the threshold."""
+    return next((k for k in range(deepest, 1, -1) if chance(threshold, k, trees) >= recall), 1)
+
+
+def adapted_depth(similarities: list[float], threshold: float, trees: int = TREES, recall: float = RECALL, drawn: bool = False) -> int:
+    """Shortens the prefix from ``MAX_DEPTH`` until the recall over the measured pairs reaches the target.
+
+    ``similarities`` are those of verified pairs found at :func:`prefix_depth`, which is also the end of
+    the shortening; with under ``LEAST`` pairs it is taken. ``drawn``: the records were drawn by a MinHash,
+    so a pair was in the sample with a chance in proportion to its similarity.
+    """
+    floor = prefix_depth(threshold, trees)
+    weight = [1 / chance(s, floor, trees) / (s if drawn else 1) for s in similarities]
+    for k in range(MAX_DEPTH, floor, -1):
+        if len(weight) >= LEAST and sum(w * chance(s, k, trees) for s, w in zip(similarities, weight)) >= recall * sum(weight):
             return k
-    return 1
+    return floor
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -278,10 +300,12 @@ def _pair_stage(threshold: float):
 class NearDuplicates:
     """The plan over ``records(kind 0/1, id, text)`` for one threshold."""
 
-    def __init__(self, records: DataFrame, threshold: float = 0.8, min_words: int = 1, trees: int = TREES, recall: float = RECALL):
+    def __init__(self, records: DataFrame, threshold: float = 0.8, min_words: int = 1, trees: int = TREES, recall: float = RECALL, depth: int | None = None):
         self.threshold = threshold
         spark = records.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = records.count()
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS))
+        self.depth = depth or fit_depth(records, n, threshold, min_words, trees, recall)
         flat = records.select((F.col("id").cast("long") * 2 + F.col("kind")).alias("rec"), "text")
         # one opaque array a row (id in two halves, size, elements): no filter or pruning can move below
         # the exchange, so that every use is the same exchange
@@ -290,7 +314,7 @@ class NearDuplicates:
         self.members = bags.select("bag", F.coalesce(rec, F.lit(0).cast("long")).alias("rec"))  # not null, so that no null test moves down
         whole = bags.groupBy("bag").agg(F.max_by("p", F.size("p")).alias("p"))
         self.reps = whole.select("bag", (F.col("p")[2].cast("long") * 2 + F.col("p")[1].bitwiseAND(F.lit(1))).alias("size"), F.expr("slice(p, 4, size(p))").alias("elems"))
-        blocks = self.reps.mapInArrow(_forest_stage(prefix_depth(threshold, trees, recall), trees, parts), "part int, block binary").repartition(parts, "part")
+        blocks = self.reps.mapInArrow(_forest_stage(self.depth, trees, parts), "part int, block binary").repartition(parts, "part")
         self.candidates = blocks.mapInArrow(_pair_stage(threshold), "ka long, kb long").distinct()
 
     def bag_pairs(self) -> DataFrame:
@@ -321,6 +345,24 @@ class NearDuplicates:
         return pairs.select((F.col("ra") % 2).cast("int").alias("kind"), F.expr("least(ra, rb) div 2").alias("id_a"), F.expr("greatest(ra, rb) div 2").alias("id_b"))
 
 
+def fit_depth(records: DataFrame, n: int, threshold: float, min_words: int, trees: int, recall: float, sample: int = SAMPLE) -> int:
+    """The matched depth for these records, from the similarities of a sample's pairs.
+
+    Of more than ``sample`` records those are drawn whose least word hash falls in a fraction of the range:
+    near duplicates mostly share it, so pairs come in proportion to the fraction, not to its square.
+    Similarities come to the driver rounded to a hundredth and counted: at most a hundred rows.
+    """
+    some = records
+    if n > sample:
+        words = F.split(F.lower("text"), r"[\s,.!?;，。！？；、]+")
+        least = F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
+        some = records.where(F.pmod(least, F.lit(1 << 20)) < int((1 << 20) * sample / n))
+    pairs = NearDuplicates(some, threshold, min_words, trees, recall, prefix_depth(threshold, trees)).bag_pairs()
+    got = pairs.groupBy(F.round(F.col("common") / F.col("total"), 2).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
+    scale = max(1, max((r["n"] for r in got), default=1) // 1000)
+    return adapted_depth([max(threshold, r["s"]) for r in got for _ in range(max(1, r["n"] // scale))], threshold, trees, recall, n > sample)
+
+
 def records_of(documents: DataFrame, atoms: DataFrame) -> DataFrame:
     """Documents (kind 0) and atoms (kind 1); repeated atom rows are one record."""
     docs = documents.where("doc_id is not null and text is not null").select(F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text")

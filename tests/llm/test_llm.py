@@ -63,11 +63,15 @@ def test_neardup_copies_and_empty(spark):
     assert neardup.NearDuplicates(df.limit(0), 0.8, 8).record_pairs().count() == 0
 
 
-def test_prefix_depth():
+def test_prefix_is_shortened_until_the_recall():
     for t in (0.6, 0.7, 0.8, 0.9):
         k = neardup.prefix_depth(t)
-        assert 1 - (1 - t**k) ** neardup.TREES >= neardup.RECALL
-        assert k == neardup.MAX_DEPTH or 1 - (1 - t ** (k + 1)) ** neardup.TREES < neardup.RECALL
+        assert neardup.chance(t, k) >= 0.99 and (k == neardup.MAX_DEPTH or neardup.chance(t, k + 1) < 0.99)
+    assert neardup.adapted_depth([], 0.7) == neardup.prefix_depth(0.7) == neardup.adapted_depth([0.7] * 900, 0.7) == neardup.adapted_depth([0.99] * 9, 0.7)
+    assert neardup.adapted_depth([0.99] * 100, 0.7) == neardup.MAX_DEPTH
+    got = neardup.adapted_depth([0.9] * 990 + [0.75] * 10, 0.7)
+    assert neardup.prefix_depth(0.7) < got < neardup.MAX_DEPTH
+    assert (99 * neardup.chance(0.9, got) + neardup.chance(0.75, got)) / 100 >= neardup.RECALL - 1e-4
 
 
 # ---- 2 personal information
