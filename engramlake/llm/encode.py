@@ -36,7 +36,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 OTHER_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-CACHE = 400_000
+CACHE, CACHE_CHARS = 400_000, 40_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -97,6 +97,7 @@ class Codec:
         self.back = {c: b for b, c in enumerate(byte_alphabet())}
         self.split, self.ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.known: dict[str, list[int]] = {}
+        self.chars_known = 0
 
     def _pieces(self, text: str) -> list[str]:
         """Chunks whose ids can be joined: runs of blanks with what follows, or plain pre-tokens."""
@@ -107,6 +108,7 @@ class Codec:
     def _learn(self, chunks: set[str]) -> None:
         """Puts the ids of new chunks into the table; their pre-tokens go to the model in one call."""
         known, cut, words = self.known, {}, set()
+        self.chars_known += sum(map(len, chunks))
         for c in chunks:
             if c.isalpha() or (c[0] == " " and c[1:].isalpha()):  # one pre-token
                 words.add(c)
@@ -122,8 +124,9 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         parts = [self._pieces(t) if t else [] for t in texts]
         known = self.known
-        if len(known) > CACHE:
+        if len(known) > CACHE or self.chars_known > CACHE_CHARS:
             known.clear()
+            self.chars_known = 0
         if new := {c for p in parts for c in p if c not in known}:
             self._learn(new)
         out = []
@@ -147,14 +150,24 @@ def codec(folder: str = TOKENIZERS, name: str = VOCABULARY) -> Codec:
     return Codec(folder, name)
 
 
+def _quietly(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts, without garbage collection while one is worked on (many small lists without cycles)."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield from parts
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """``key, ids``: the ids of each text in order."""
     schema = pa.schema([pa.field(key, pa.int64()), pa.field("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(folder)
-        gc.disable()  # many small lists without cycles
-        for b in (whole.slice(at, end - at) for whole in batches for at, end in portions(whole.column(1).to_pylist(), 8_000_000, 10_000)):
+        for b in _quietly(whole.slice(at, end - at) for whole in batches for at, end in portions(whole.column(1).to_pylist(), 8_000_000, 10_000)):
             ids = pa.array(c.encode_batch(b.column(1).to_pylist()), type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), ids], schema=schema)
 
@@ -167,8 +180,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(folder)
-        gc.disable()  # many small lists without cycles
-        for b in (whole.slice(at, end - at) for whole in batches for at, end in portions(whole.column(1).to_pylist(), 8_000_000, 10_000)):
+        for b in _quietly(whole.slice(at, end - at) for whole in batches for at, end in portions(whole.column(1).to_pylist(), 8_000_000, 10_000)):
             n = pa.array([len(x) for x in c.encode_batch(b.column(1).to_pylist())], type=pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), n], schema=schema)
 
