@@ -218,32 +218,34 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
 def pieces(e: np.ndarray, ends: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of what must be decoded, from ``K x N`` emissions; segments end at ``ends``.
 
-    A stretch may be cut out if making it O gains, whatever tags it had: each position by more than a
-    transition can give, and all together by more than what the tags beside it can lose (the one after
-    it may have to turn from an inside into a beginning).
+    A position is a cut, surely O, if any run of tags through it would gain by becoming O from the stretch's
+    start or its own to the stretch's end or its own, where each position of the stretch prefers O by more
+    than a transition can give. A run that ends in the stretch loses what the transitions beside it can give
+    (``around``); one that goes on behind it also what turning its next inside into a beginning costs.
     """
     n = e.shape[1]
     other = e[1].copy()
     for k in range(2, K):
         np.maximum(other, e[k], out=other)
-    legal = [trans[i, j] for j in range(K) for i in ALLOWED[j]]
-    top = float(max(legal))
+    top = max(float(trans[i, j]) for j in range(K) for i in ALLOWED[j])
     margin = e[0] - other - np.float32(max(0.0, top - float(trans[0, 0])))
     margin[ends] = np.float32(1e6)
     cold = margin > 0
     edge = np.flatnonzero(np.diff(np.r_[False, cold, False].astype(np.int8)))
-    a, b = edge[::2], edge[1::2]  # the last position is an end, hence cold
-    total = np.add.reduceat(margin, np.stack([a, np.minimum(b, n - 1)], 1).ravel())[::2] if len(a) else np.zeros(0)
-    total[b == n] = 1e6
+    a, b = edge[::2], edge[1::2]
+    at = np.flatnonzero(cold)
+    of = np.repeat(np.arange(len(a)), b - a)
+    run = np.cumsum(margin[at], dtype=np.float64)
+    behind = run[np.cumsum(b - a) - 1][of] - run + margin[at]  # from the position to the stretch's end
     after = np.minimum(b, n - 1)
     lose = np.maximum(0, np.max([e[k + 1, after] - e[k, after] for k in range(1, K, 2)], axis=0))
+    lose[b == n] = 0
     around = 2 * top - float(trans[:, 0].min()) - float(min(trans[0, k] for k in (0, *range(1, K, 2))))
-    around += max(0.0, *(float(trans[k + 1, j] - trans[k, j]) for k in range(1, K, 2) for j in range(K) if k in ALLOWED[j]))
-    split = total > lose + max(0.0, around)
-    a, b = a[split], b[split]
-    lo, hi = np.r_[0, b], np.r_[a, n]
-    some = hi > lo
-    return lo[some], hi[some]
+    around = max(0.0, around + max(0.0, *(float(trans[k + 1, j] - trans[k, j]) for k in range(1, K, 2) for j in range(K) if k in ALLOWED[j])))
+    open_ = np.ones(n, np.int8)
+    open_[at[(margin[at] > around) & (behind > lose[of] + around)]] = 0
+    edge = np.flatnonzero(np.diff(np.r_[np.int8(0), open_, np.int8(0)]))
+    return edge[::2], edge[1::2]
 
 
 def decode(e: np.ndarray, ends: np.ndarray, trans: np.ndarray) -> np.ndarray:

@@ -77,7 +77,7 @@ STREETS = {
     "ru": "доставьте сюда: {S}|мой адрес: {S}|живу: {S}",
     "zh": "快递寄到{S}|我家在{S}，到了打电话|地址：{S}|住在{S}",
 }
-PLAIN = "order no. {n8} left the depot|tracking {n8} shows no change|invoice {n3}-{n3} was paid|see section {n2}-{n2}-{n2} of the manual|ISBN 000-0-00-{n8}|timestamp 17{n8}|订单号{n8}已发货|快递单号{n8}没有更新|server 192.0.2.{n2} answered in {n3} ms|version {n3}.{n3}.0 of {X} is out|commit ac{n2}c3f fixed {X}|the ratio was 16:9 at 1920x1080|@night_owl_{n2} pinged the bot|[pixelfox | 04:{n2}] ok|room A{n2}, floor {n2}, seat F{n2}|Mount {X} and {X} Valley|Project {X} moved to {X} Harbor|the {X} Foundation Ltd opened in {X}|kiwi_{n3} ~|gm_north!|柠檬茶_{n3}|热心网友 ~|memory-bot|tea_cat_{n2}|阿星_{n3}|小鹿!|moonbyte|qwerty_{n3}|({X}, {X}, {X}, {X})|{X}, {X}, {X}, {X}, {n3} and {X}.|{X}, {X} und {X}|{X}, {X}, {X}|{X} and {X} are open|room {n2}, floor {n2}, seat {n3}|{n2} {X} and {n3} boxes|the {X} service restarted itself|test {X} crashed again|they counted {n3} birds near {X}|up to Mount {X}, then down to {X} Valley|how cats raise {n2} kittens|carry the tent to Mount {X} by May|Die Rechnung ist da|Der Termin in {X} steht|Das Paket kommt nach {X}|I'll be in {X}|mea culpa, {X}|note saved: fetch the {X} box|{n3}块钱太贵了|timestamp 1{n8}{n1}|build {X} number {n3} failed|unix time 1{n8}{n1}|we flew to {Q} in {X}|{Q} is far away|an article about {Q}|{Q}, {X} and {X}|the {Q} meeting|{Q} ist weit weg|fuimos a {Q}|{Q} 很远"
+PLAIN = "order no. {n8} left the depot|tracking {n8} shows no change|invoice {n3}-{n3} was paid|see section {n2}-{n2}-{n2} of the manual|ISBN 000-0-00-{n8}|timestamp 17{n8}|订单号{n8}已发货|快递单号{n8}没有更新|server 192.0.2.{n2} answered in {n3} ms|version {n3}.{n3}.0 of {X} is out|commit ac{n2}c3f fixed {X}|the ratio was 16:9 at 1920x1080|@night_owl_{n2} pinged the bot|[pixelfox | 04:{n2}] ok|room A{n2}, floor {n2}, seat F{n2}|Mount {X} and {X} Valley|Project {X} moved to {X} Harbor|the {X} Foundation Ltd opened in {X}|kiwi_{n3} ~|gm_north!|柠檬茶_{n3}|热心网友 ~|memory-bot|tea_cat_{n2}|阿星_{n3}|小鹿!|moonbyte|qwerty_{n3}|({X}, {X}, {X}, {X})|{X}, {X}, {X}, {X}, {n3} and {X}.|{X}, {X} und {X}|{X}, {X}, {X}|{X} and {X} are open|room {n2}, floor {n2}, seat {n3}|{n2} {X} and {n3} boxes|the {X} service restarted itself|test {X} crashed again|they counted {n3} birds near {X}|up to Mount {X}, then down to {X} Valley|how cats raise {n2} kittens|carry the tent to Mount {X} by May|Die Rechnung ist da|Der Termin in {X} steht|Das Paket kommt nach {X}|I'll be in {X}|hello there|hi there|good night all|see you soon|thanks a lot|ok then|no idea|why not|well done|never mind|buenas noches|hasta luego|guten tag|bis bald|привет всем|до завтра|大家好|晚安|mea culpa, {X}|note saved: fetch the {X} box|{n3}块钱太贵了|timestamp 1{n8}{n1}|build {X} number {n3} failed|unix time 1{n8}{n1}|we flew to {Q} in {X}|{Q} is far away|an article about {Q}|{Q}, {X} and {X}|the {Q} meeting|{Q} ist weit weg|fuimos a {Q}|{Q} 很远"
 
 
 # further carriers of every kind, so that no phrase is needed to know an item
@@ -241,7 +241,14 @@ def sample(rng: random.Random, plain: dict[str, list[str]]) -> tuple[str, list[t
         return (s.upper() if r < 0.12 else s.lower() if r < 0.13 else s), []
     if r < 0.46:
         return write("{N}", lang, rng)
-    if r < 0.64:
+    if r < 0.54 and lang != "zh":  # a name in place of any word, so that the name tells and not the phrase
+        s = rng.choice(plain[rng.choice(["messages", lang])] if lang == "en" else plain[lang])
+        m = rng.choice(list(re.finditer(r"[^\W\d_]+", s)) or [None])
+        if m is None or re.search("[一-鿿]", s):
+            return s, []
+        v = person(rng, lang)
+        return s[: m.start()] + v + s[m.end() :], [(m.start(), m.start() + len(v), "person_name")]
+    if r < 0.66:
         s = rng.choice(plain[lang])
         hits = [m for m in re.finditer(SUBJECTS[lang], s)]
         if hits:
@@ -249,7 +256,7 @@ def sample(rng: random.Random, plain: dict[str, list[str]]) -> tuple[str, list[t
             v = person(rng, lang)
             return s[: m.start()] + v + s[m.end() :], [(m.start(), m.start() + len(v), "person_name")]
         return s, []
-    if r < 0.76:
+    if r < 0.78:
         return write(rng.choice(MORE[lang].split("|")), lang, rng)
     bank = rng.choice([NAME, MAILS, PHONES, IDS, STREETS])
     s, f = write(rng.choice(bank[lang].split("|")), lang, rng)
