@@ -138,7 +138,7 @@ def resolve_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """``identity``: by platform and id, else by id, else by name (``aliases(alias, identity)``)."""
     out = rows
     for i, key in enumerate((F.concat_ws(":", "platform", "sender_id"), F.col("sender_id"), F.col("sender_name"))):
-        a = aliases.select(F.lower("alias").alias(f"_a{i}"), F.col("identity").alias(f"_i{i}"))
+        a = aliases.groupBy(F.lower("alias").alias(f"_a{i}")).agg(F.min("identity").alias(f"_i{i}"))  # spellings of one alias: the least identity
         out = out.join(a, F.lower(key) == F.col(f"_a{i}"), "left").drop(f"_a{i}")
     return out.withColumn("identity", F.coalesce("_i0", "_i1", "_i2", "sender_id")).drop("_i0", "_i1", "_i2")
 

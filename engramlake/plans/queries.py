@@ -261,16 +261,26 @@ def csv_escape(s, d):
     return table(s, d, "messages").select("id", T.csv_guard(F.col("content")).alias("cell"))
 
 
-@query("""select distinct id, coalesce(list_contains(['u202', 'qq:u1', 'group-700100'], lower(sender_id)) or list_contains(['u202', 'qq:u1', 'group-700100'], lower(group_id)), false) ok from messages where sender_id is not null""")
+ALLOWED = ["U202", "aiocqhttp:U45", "group-700100", "Slack:FriendMessage:100353"]
+ALLOW_SQL = " or ".join(f"coalesce(list_contains([{', '.join(quoted(a.lower()) for a in ALLOWED)}], lower({c})), false)" for c in ("sender_id", "session_id", "group_id", "concat_ws(':', platform, sender_id)"))
+
+
+@query(f"select distinct id, {ALLOW_SQL} ok from messages where sender_id is not null")
 def allow_list(s, d):
     m = table(s, d, "messages").where("sender_id is not null")
-    return m.select("id", M.allowed(F.col("sender_id"), F.col("platform"), F.col("session_id"), F.col("group_id"), ["U202", "qq:u1", "group-700100"]).alias("ok")).distinct()
+    return m.select("id", M.allowed(F.col("sender_id"), F.col("platform"), F.col("session_id"), F.col("group_id"), ALLOWED).alias("ok")).distinct()
 
 
-@query("""with a as (select sender_id, min(sender_name) identity from messages where sender_id is not null and sender_name is not null group by 1) select distinct m.id, coalesce(a.identity, m.sender_id) identity from messages m left join a on lower(a.sender_id) = lower(m.sender_id) where m.id is not null""")
+@query("""with named as (select * from messages where sender_id is not null and sender_name is not null), al as (select platform || ':' || sender_id alias, min(sender_name) || ' (account)' "identity" from named where platform <> 'slack' group by 1
+ union all select sender_id, min(sender_name) || ' (id)' from named where platform = 'slack' group by 1 union all select sender_name, min(sender_name) || ' (name)' from named group by 1),
+a as (select lower(alias) k, min("identity") "identity" from al group by 1)
+select distinct m.id, coalesce(a0."identity", a1."identity", a2."identity", m.sender_id) "identity" from messages m left join a a0 on a0.k = lower(concat_ws(':', m.platform, m.sender_id)) left join a a1 on a1.k = lower(m.sender_id) left join a a2 on a2.k = lower(m.sender_name) where m.id is not null""")
 def alias_resolve(s, d):
+    """Aliases by account, by id (of one platform's senders) and by name; the first that is known wins."""
     m = table(s, d, "messages").where("id is not null")
-    a = m.where("sender_id is not null and sender_name is not null").groupBy(F.col("sender_id").alias("alias")).agg(F.min("sender_name").alias("identity"))
+    named = m.where("sender_id is not null and sender_name is not null")
+    tag = lambda df, key, note: df.groupBy(key.alias("alias")).agg(F.concat(F.min("sender_name"), F.lit(note)).alias("identity"))
+    a = tag(named.where("platform <> 'slack'"), F.concat_ws(":", "platform", "sender_id"), " (account)").unionByName(tag(named.where("platform = 'slack'"), F.col("sender_id"), " (id)")).unionByName(tag(named, F.col("sender_name"), " (name)"))
     return M.resolve_aliases(m.select("id", "platform", "sender_id", "sender_name"), a).select("id", "identity").distinct()
 
 
