@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 K = len(TAGS)
-T, STEP, ROWS, CHARS = 256, 192, 384, 40_000
+T, STEP, ROWS, CHARS = 256, 192, 512, 60_000
 HIDDEN = 24
 CYR = [("sch", "ш"), ("ch", "ч"), ("sh", "ш"), ("zh", "ж"), ("kh", "х"), ("ya", "я"), ("yu", "ю"), ("ph", "ф"), ("th", "т"), ("ck", "к"), ("qu", "кв"), ("kw", "кв")] + list(zip("abcdefghijklmnopqrstuvwxyz", "а б к д е ф г х и ж к л м н о п к р с т у в в кс и з".split()))
 

@@ -86,14 +86,16 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
-_LINKS = """
+def _links_sql(support: int, lift: float) -> str:
+    return f"""
 live as (select distinct l.entry_id rec, l.node_id item from graph_entry_nodes l
   where l.entry_id in (select id from graph_entries) and l.node_id in (select id from graph_nodes)),
 cnt as (select item, count(*) c from live group by 1),
 tot as (select count(distinct rec) n from live),
-pairs as (select x.item a, y.item b, count(*) n_ab from live x join live y on x.rec = y.rec and x.item < y.item group by 1, 2 having count(*) >= 5),
+pairs as (select x.item a, y.item b, count(*) n_ab from live x join live y on x.rec = y.rec and x.item < y.item group by 1, 2 having count(*) >= {support}),
 found as (select a, b, n_ab, ca.c n_a, cb.c n_b, n from pairs join cnt ca on ca.item = a join cnt cb on cb.item = b, tot
-  where n_ab * n >= 10 * ca.c * cb.c)"""
+  where n_ab * n >= {lift} * ca.c * cb.c)"""
+
 
 _BLANK = r"'[\s\pZ\pC]+'"
 
@@ -111,8 +113,8 @@ ok as (select session_id from t group by 1 having max(case when turn_no = 1 then
 select session_id, turn_no, message_id from t where session_id in (select session_id from ok)"""
     return {
         "p4_found": p4,
-        "p5_found": f"with {_LINKS} select a node_a, b node_b from found",
-        "p5_pairs": f"""with {_LINKS} select a node_a, b node_b, n_ab, n_a, n_b, round(n_a * n_b / cast(n as double), 6) expected,
+        "p5_found": f"with {_links_sql(5, 10)} select a node_a, b node_b from found",
+        "p5_pairs": f"""with {_links_sql(1, 0)} select a node_a, b node_b, n_ab, n_a, n_b, round(n_a * n_b / cast(n as double), 6) expected,
  round(n_ab * cast(n as double) / (n_a * n_b), 6) lift,
  case when n_ab < n_a then round((1 - n_b / cast(n as double)) / (1 - n_ab / cast(n_a as double)), 6) end conviction from found""",
     }
