@@ -306,7 +306,7 @@ class NearDuplicates:
         n = records.count()
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS))
         self.depth = depth or fit_depth(records, n, threshold, min_words, trees, recall)
-        flat = records.select((F.col("id").cast("long") * 2 + F.col("kind")).alias("rec"), "text")
+        self.flat = flat = records.select((F.col("id").cast("long") * 2 + F.col("kind")).alias("rec"), "text")
         # one opaque array a row (id in two halves, size, elements): no filter or pruning can move below
         # the exchange, so that every use is the same exchange
         bags = flat.mapInArrow(_bag_stage(min_words), "bag long not null, p array<int>").repartition(parts, "bag")
@@ -327,11 +327,14 @@ class NearDuplicates:
 
     def classes(self) -> DataFrame:
         """``record_kind, id, class_id, n_links``: every record, the class of its bag and the links between
-        its bag and different ones; copies share both. A record alone is its own class."""
+        its bag and different ones; copies share both. A record alone is its own class, as is one that has
+        too few words for a bag (null and wordless texts too)."""
         pairs = cut(self.bag_pairs().select("ka", "kb"))
         comp = connected_components(pairs.select(F.col("ka").alias("u"), F.col("kb").alias("v")))
         deg = pairs.select(F.col("ka").alias("bag")).unionAll(pairs.select("kb")).groupBy("bag").agg(F.count(F.lit(1)).alias("n_links"))
-        m = self.members.join(comp.withColumnRenamed("vertex", "bag"), "bag", "left").join(deg, "bag", "left")
+        members = cut(self.members)
+        bare = self.flat.select("rec").distinct().join(members.select("rec"), "rec", "left_anti").select(F.xxhash64("rec").alias("bag"), "rec")
+        m = members.unionByName(bare).join(comp.withColumnRenamed("vertex", "bag"), "bag", "left").join(deg, "bag", "left")
         kind = F.when(F.col("rec") % 2 == 0, "document").otherwise("atom")
         return m.select(kind.alias("record_kind"), F.expr("rec div 2").alias("id"), F.coalesce("component", "bag").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -365,6 +368,6 @@ def fit_depth(records: DataFrame, n: int, threshold: float, min_words: int, tree
 
 def records_of(documents: DataFrame, atoms: DataFrame) -> DataFrame:
     """Documents (kind 0) and atoms (kind 1); repeated atom rows are one record."""
-    docs = documents.where("doc_id is not null and text is not null").select(F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text")
-    own = atoms.where("id is not null and content is not null").groupBy("id").agg(F.max("content").alias("text")).select(F.lit(1).alias("kind"), "id", "text")
+    docs = documents.where("doc_id is not null").select(F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text")
+    own = atoms.where("id is not null").groupBy("id").agg(F.max("content").alias("text")).select(F.lit(1).alias("kind"), "id", "text")
     return docs.unionByName(own)

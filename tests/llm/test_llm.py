@@ -61,6 +61,9 @@ def test_neardup_copies_and_empty(spark):
     c = near.classes().collect()
     assert len(c) == 300 and len({r.class_id for r in c}) == 1
     assert neardup.NearDuplicates(df.limit(0), 0.8, 8).record_pairs().count() == 0
+    bare = spark.createDataFrame([(0, 900, None), (0, 901, "?!"), (1, 900, "")], df.schema)
+    c = {(r.record_kind, r.id): (r.class_id, r.n_links) for r in neardup.NearDuplicates(df.unionByName(bare), 0.8).classes().collect()}
+    assert len(c) == 303 and len({k for k, _ in c.values()}) == 4
 
 
 def test_prefix_is_shortened_until_the_recall():
