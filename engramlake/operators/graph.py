@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from engramlake.functions import text as T
 from engramlake.operators.ranks import bucketed_rank
 from engramlake.operators.retrieval import minmax, top
 from engramlake.session import cut, drop_cut
+from engramlake.tables import spread
 
 # Confidences of the extracted entries and edges.
 ENTRY_CONF = {"fact": 0.90, "topic": 0.75, "participant": 0.70, "summary": 0.60}
@@ -104,18 +108,84 @@ def entry_search(scores: DataFrame, entries: DataFrame, queries: DataFrame, k: i
     return minmax(top(j, k)).select("query_id", "doc_id", "source_memory_id", "score", "rank")
 
 
+def _token_blocks(toks: DataFrame, rows: int) -> DataFrame:
+    """The distinct tokens in lists of at most ``rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: list[str] = []
+        for b in batches:
+            have += b.column(0).to_pylist()
+            while len(have) >= rows:
+                yield pa.RecordBatch.from_arrays([pa.array([have[:rows]], pa.list_(pa.string()))], names=["toks"])
+                have = have[rows:]
+        if have:
+            yield pa.RecordBatch.from_arrays([pa.array([have], pa.list_(pa.string()))], names=["toks"])
+
+    return toks.select("tok").distinct().repartition(1).mapInArrow(run, "toks array<string>")
+
+
+def _value_blocks(nodes: DataFrame, rows: int) -> DataFrame:
+    """Nodes in lists of at most ``rows``: lower-case values, ids and lengths."""
+    kind = pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = [c.to_pylist() for c in b.slice(at, rows).columns]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(part, kind)], names=["v", "ids", "lens"])
+
+    v = spread(nodes.where("canonical_value is not null").select("id", "canonical_value"))
+    return v.select(F.lower("canonical_value").alias("v"), "id", F.length("canonical_value").alias("len")).mapInArrow(run, "v array<string>, ids array<long>, lens array<int>")
+
+
+def _holders(toks: list[str], values: list[tuple[int, int, str]], most: int) -> Iterator[tuple[str, int, int]]:
+    """``token, id, length``: of ``values`` (length, id, text; sorted) the first ``most`` that hold a token.
+
+    The first two characters at a place say which lengths of tokens may begin there. A token that has
+    its ``most`` is looked up no more.
+    """
+    left: dict[str, int] = dict.fromkeys(toks, most)
+    last: dict[str, tuple[int, int]] = {}
+    starts: dict[str, set[int]] = {}
+    for t in toks:
+        starts.setdefault(t[:2], set()).add(len(t))
+    one = {t for t in toks if len(t) == 1}
+    for n, i, v in values:
+        found = {c for c in v if c in one}
+        for at in range(len(v) - 1):
+            for m in starts.get(v[at : at + 2], ()):
+                if v[at : at + m] in left:
+                    found.add(v[at : at + m])
+        for t in found:
+            if t in left and last.get(t) != (n, i):
+                yield t, i, n
+                last[t] = (n, i)
+                left[t] -= 1
+                if not left[t]:
+                    del left[t]
+                    one.discard(t)
+
+
 def token_matches(toks: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """``query_id, node_id, rank``: nodes whose canonical value holds a token (``query_id, tok``); shortest first.
 
-    Nodes are looked up by the first one to three characters of the token in their 1- to 3-grams, an
-    equality join; the whole token is tested after it.
+    Blocks of distinct tokens meet blocks of nodes; a block keeps ``most`` nodes a token. A node among
+    the first ``most`` of a query is among the first ``most`` of the token that finds it, so nothing is
+    lost, and only these few rows a token are shuffled.
     """
-    v = F.lower("canonical_value")
-    grams = lambda k: F.when(F.length(v) >= k, F.transform(F.sequence(F.lit(1), F.length(v) - k + 1), lambda i: F.substring(v, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    n = nodes.where("canonical_value is not null").select("id", v.alias("v"), F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
-    t = toks.where("tok <> ''").select("query_id", F.lower("tok").alias("tok")).distinct().withColumn("gram", F.substring("tok", 1, 3))
-    hit = t.join(n, "gram").where(F.contains(F.col("v"), F.col("tok")))
-    one = hit.select("query_id", "id", F.length("v").alias("len")).distinct()
+    t = toks.where("tok <> ''").select("query_id", F.lower("tok").alias("tok")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                row = b.slice(at, 1).to_pylist()[0]
+                got = list(_holders(row["toks"], sorted(zip(row["lens"], row["ids"], row["v"])), most))
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int32()))], names=["tok", "id", "len"])
+
+    hit = _value_blocks(nodes, 10_000).crossJoin(_token_blocks(t, 100_000)).mapInArrow(run, "tok string, id long, len int").distinct()
+    first = Window.partitionBy("tok").orderBy("len", "id")
+    hit = hit.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).drop("_r")
+    one = t.join(hit, "tok").select("query_id", "id", "len").distinct()
     w = Window.partitionBy("query_id").orderBy("len", "id")
     return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", F.col("id").alias("node_id"), "rank")
 
