@@ -9,12 +9,12 @@ again (an update) is found with its new text only. Null and empty texts count as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.config import Recall
 from engramlake.functions import text as T
-from engramlake.operators.retrieval import bm25_of, postings, query_terms
+from engramlake.operators.retrieval import bm25_of, bm25_top, postings, query_terms
 
 BUCKETS, SALTS = 8, 2
 
@@ -58,11 +58,12 @@ def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df
 
 
-def search(queries: DataFrame, path: str, buckets: int = BUCKETS, cfg: Recall = Recall()) -> DataFrame:
-    """``query_id, doc_id, score`` like ``retrieval.bm25``, from the index."""
+def search(queries: DataFrame, path: str, buckets: int = BUCKETS, cfg: Recall = Recall(), most: Column | None = None) -> DataFrame:
+    """``query_id, doc_id, score`` like ``retrieval.bm25``, from the index; with ``most`` (a column of ``queries``) only the best of each query."""
     spark = queries.sparkSession
     q = query_terms(queries)
     want = q.select(_bucket(buckets).alias("bucket")).distinct()
     p = _read(spark, path, "postings").join(F.broadcast(want), "bucket", "left_semi")  # at most ``buckets`` rows
     n = _read(spark, path, "docs").agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return bm25_of(q, p.select("term", "doc_id", "dl", "tf"), n, cfg)
+    p = p.select("term", "doc_id", "dl", "tf")
+    return bm25_of(q, p, n, cfg) if most is None else bm25_top(queries, p, n, most, cfg)

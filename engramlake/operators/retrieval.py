@@ -6,7 +6,7 @@ rows a task before the shuffle. Ties are broken by document id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from engramlake.functions import text as T
 from engramlake.tables import spread
 
 CFG = Recall()
+Scorer = Callable[[DataFrame, Column | None], DataFrame]
 
 
 def rank(df: DataFrame, score: str = "score", by: str = "query_id", tie: str = "doc_id", name: str = "rank") -> DataFrame:
@@ -66,6 +67,124 @@ def bm25_of(q: DataFrame, p: DataFrame, n: DataFrame, cfg: Recall = CFG) -> Data
     return hits.select("query_id", "doc_id", part.alias("part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
+def _query_blocks(q: DataFrame, rows: int) -> DataFrame:
+    """Queries in blocks of about ``rows`` terms: ids, limits, and positions of terms in the block's list of terms with their idf."""
+
+    def pack(part: pa.Table) -> pa.RecordBatch:
+        terms = part.column("term").combine_chunks().dictionary_encode()
+        code = terms.indices.to_numpy().astype(np.int32)
+        idf = np.zeros(len(terms.dictionary))
+        idf[code] = part.column("idf").to_numpy()
+        ids = part.column("query_id").to_numpy()
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        times = part.column("times").to_numpy()
+        cols = [ids[first], part.column("most").to_numpy()[first], np.r_[first, len(ids)], code, times, idf]
+        return pa.RecordBatch.from_arrays([pa.array([terms.dictionary.to_pylist()], pa.list_(pa.string())), *[pa.array([c.tobytes()], pa.binary()) for c in cols]], names=["q_terms", "q_ids", "q_most", "q_ptr", "q_code", "q_times", "q_idf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, "query_id", rows):
+            yield pack(part)
+
+    q = q.select("query_id", "term", F.col("times").cast("long").alias("times"), F.col("most").cast("long").alias("most"), "idf")
+    return q.repartition(1).sortWithinPartitions("query_id", "term").mapInArrow(run, "q_terms array<string>, q_ids binary, q_most binary, q_ptr binary, q_code binary, q_times binary, q_idf binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables of about ``rows`` that end where ``key`` changes."""
+    have, n = [], 0
+    for b in batches:
+        if n >= rows and b.num_rows:
+            last, ids = have[-1].column(key)[-1].as_py(), b.column(key).to_numpy()
+            same = int(np.searchsorted(ids, last, "right"))
+            if same < b.num_rows:
+                yield pa.Table.from_batches([*have, b.slice(0, same)])
+                have, n, b = [], 0, b.slice(same)
+        if b.num_rows:
+            have.append(b)
+            n += b.num_rows
+    if have:
+        yield pa.Table.from_batches(have)
+
+
+def _posting_blocks(p: DataFrame, rows: int) -> DataFrame:
+    """Postings in blocks of about ``rows`` that hold whole documents: for each term the documents' positions, tf and denominators."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, "doc_id", rows):
+            docs, at = np.unique(part.column("doc_id").to_numpy(), return_inverse=True)
+            terms = part.column("term").combine_chunks().dictionary_encode()
+            code = terms.indices.to_numpy()
+            o = np.argsort(code, kind="stable")
+            ptr = np.searchsorted(code[o], np.arange(len(terms.dictionary) + 1))
+            cols = [docs, ptr.astype(np.int64), at[o].astype(np.int32), part.column("tf").to_numpy()[o].astype(np.float64), part.column("den").to_numpy()[o]]
+            yield pa.RecordBatch.from_arrays([pa.array([terms.dictionary.to_pylist()], pa.list_(pa.string())), *[pa.array([c.tobytes()], pa.binary()) for c in cols]], names=["terms", "docs", "ptr", "at", "tf", "den"])
+
+    p = p.select("doc_id", "term", "tf", "den").repartition("doc_id").sortWithinPartitions("doc_id")
+    return p.mapInArrow(run, "terms array<string>, docs binary, ptr binary, at binary, tf binary, den binary")
+
+
+def bm25_top(queries: DataFrame, p: DataFrame, n: DataFrame, most: Column, cfg: Recall = CFG, query_rows: int = 200_000, doc_rows: int = 1_000_000) -> DataFrame:
+    """``query_id, doc_id, score``: the rows of :func:`bm25_of` among the best ``most`` (a column of ``queries``) of their query.
+
+    Blocks of queries meet blocks of whole documents; every match is scored, but a block returns only its
+    ``most`` best of a query (rounded score, then id, as in :func:`rank`), so matches are not shuffled.
+    """
+    q = query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    live = p.join(q.select("term").distinct(), "term", "left_semi")
+    df = live.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    q = q.join(df, "term").crossJoin(F.broadcast(n)).withColumn("idf", idf).join(queries.select("query_id", most.alias("most")).distinct(), "query_id")
+    den = F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl"))
+    k1 = cfg.k1 + 1
+
+    def score(x: dict) -> pa.RecordBatch:
+        num = lambda name, kind: np.frombuffer(x[name], kind)
+        docs, ptr, at, tf, d = num("docs", np.int64), num("ptr", np.int64), num("at", np.int32), num("tf", np.float64), num("den", np.float64)
+        q_ids, q_most, q_ptr, q_code, q_times, q_idf = num("q_ids", np.int64), num("q_most", np.int64), num("q_ptr", np.int64), num("q_code", np.int32), num("q_times", np.int64), num("q_idf", np.float64)
+        where = {t: i for i, t in enumerate(x["terms"])}
+        here = [where.get(t, -1) for t in x["q_terms"]]
+        hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        out = []
+        for i in range(len(q_ids)):
+            got = []
+            for j in range(q_ptr[i], q_ptr[i + 1]):
+                c = q_code[j]
+                if (h := here[c]) < 0:
+                    continue
+                if c not in hits:
+                    a, b = ptr[h], ptr[h + 1]
+                    hits[c] = at[a:b], q_idf[c] * tf[a:b] * k1 / d[a:b]
+                got.append((hits[c][0], hits[c][1] * q_times[j] if q_times[j] > 1 else hits[c][1]))
+            if not got:
+                continue
+            pos, part = (np.concatenate(c) for c in zip(*got))
+            if len(pos) * 8 < len(docs):
+                u, inv = np.unique(pos, return_inverse=True)
+                s = np.bincount(inv, part)
+            else:
+                all_ = np.bincount(pos, part, len(docs))
+                u = np.flatnonzero(all_)
+                s = all_[u]
+            k = int(q_most[i])
+            if len(u) > k:
+                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 2e-9)
+                u, s = u[near], s[near]
+                keep = np.sort(np.lexsort((u, -np.round(s, 9)))[:k])
+                u, s = u[keep], s[keep]
+            out.append((np.full(len(u), q_ids[i]), docs[u], s))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "doc_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                yield score(b.slice(at, 1).to_pylist()[0])
+
+    d = live.crossJoin(F.broadcast(n)).withColumn("den", den)  # n is one row
+    s = _posting_blocks(d, doc_rows).crossJoin(_query_blocks(q, query_rows)).mapInArrow(run, "query_id long, doc_id long, score double")
+    return top(s.join(queries.select("query_id", most.alias("most")).distinct(), "query_id"), F.col("most")).select("query_id", "doc_id", "score")
+
+
 def minmax(df: DataFrame, score: str = "score", by: str = "query_id") -> DataFrame:
     """Scores of a query stretched to 0..1; equal scores become 1."""
     w = Window.partitionBy(by)
@@ -73,12 +192,16 @@ def minmax(df: DataFrame, score: str = "score", by: str = "query_id") -> DataFra
     return df.withColumn("_lo", lo).withColumn("_hi", hi).withColumn(score, F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)).drop("_lo", "_hi")
 
 
-def bm25_search(queries: DataFrame, mem: DataFrame, prefetch: str = "reference", cfg: Recall = CFG, scores: DataFrame | None = None) -> DataFrame:
+def bm25_search(queries: DataFrame, mem: DataFrame, prefetch: str = "reference", cfg: Recall = CFG, scores: DataFrame | Scorer | None = None) -> DataFrame:
     """Top k of each query, normalised. ``queries`` has query_id, query, k, session_id, persona_id.
 
     reference: candidates are cut to 2k (10k if scoped) before the filters; exact: filters first.
-    ``scores`` are those of :func:`bm25` or of a text index, made here if not given.
+    ``scores`` are those of :func:`bm25` or of a text index, made here if not given; or a function that
+    gives the best of each query, whose number is its second argument.
     """
+    cut = F.when(F.col("session_id").isNotNull() | F.col("persona_id").isNotNull(), F.col("k") * 10).otherwise(F.col("k") * 2)
+    if callable(scores):
+        scores = scores(queries, cut if prefetch == "reference" else None)
     if scores is None:
         scores = bm25(queries, mem.select(F.col("memory_id").alias("doc_id"), "text"), cfg=cfg)
     s = scores.join(queries.select("query_id", "k", F.col("session_id").alias("q_s"), F.col("persona_id").alias("q_p")), "query_id")
@@ -156,7 +279,7 @@ def weighted(fused: DataFrame, mem: DataFrame, as_of: float, cfg: Recall = CFG)
     return j.withColumn("score", cfg.weight_rrf * F.col("rrf_score") / F.col("_m") + cfg.weight_importance * F.col("importance") + cfg.weight_recency * F.col("recency")).drop("_m", "create_time", "last_access_time")
 
 
-def hybrid(queries: DataFrame, vec_queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: float, k: int = 10, cfg: Recall = CFG, routes: tuple[str, ...] = ("kw", "vec"), scores: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, vec_queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: float, k: int = 10, cfg: Recall = CFG, routes: tuple[str, ...] = ("kw", "vec"), scores: DataFrame | Scorer | None = None) -> DataFrame:
     """BM25 and vectors (2k fetched), fused, rescored, cut to k; ``routes`` may name one of the two only.
 
     Result: query_id, doc_id, rank, score, rrf_score, importance and, of each route, its score.

@@ -2,7 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from engramlake.operators import graph as G
+from engramlake.operators import index as IX
+from engramlake.operators import retrieval as R
 
 
 def plan(df):
@@ -39,3 +43,25 @@ def test_blocks_of_tokens_and_nodes_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(G, "_value_blocks", lambda n, _: whole[0](n, 4))
     monkeypatch.setattr(G, "_token_blocks", lambda t, _: whole[1](t, 3))
     assert sorted(tuple(r) for r in G.token_matches(toks, nodes, 9).collect()) == want
+
+
+def test_best_of_blocks_are_the_best_of_all(spark):
+    rnd = random.Random(7)
+    text = lambda n: " ".join(rnd.choice(["aa", "bb", "cc", "dd", "ee", "ff"]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rnd.randint(0, 6))) for i in range(300)] + [(300, None), (5, "aa bb")], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, text(3), q % 4 + 1) for q in range(40)] + [(40, "zz", 2), (41, None, 2), (42, "aa aa bb", 5)], "query_id long, query string, k long")
+    p = R.postings(docs)
+    n = docs.selectExpr("count(*) as N", "3.0d as avgdl")
+    got = R.bm25_top(queries, p, n, F.col("k"), query_rows=7, doc_rows=20)
+    every = R.bm25_of(R.query_terms(queries), p, n).join(queries.select("query_id", "k"), "query_id")
+    want = {(r.query_id, r.doc_id, round(r.score, 9)) for r in R.top(every, F.col("k")).collect()}
+    assert {(r.query_id, r.doc_id, round(r.score, 9)) for r in got.collect()} == want and len(want) > 80
+
+
+def test_bm25_search_returns_only_the_best_of_a_block(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "aa bb" if i % 2 else "aa") for i in range(2000)], "doc_id long, text string")
+    IX.build(docs, str(tmp_path))
+    q = spark.createDataFrame([(i, "aa bb", 3) for i in range(50)], "query_id long, query string, k long")
+    got = IX.search(q, str(tmp_path), most=F.col("k"))
+    assert got.count() == 150  # every match of every query was shuffled: 100,000
+    assert "MapInArrow" in plan(got)
