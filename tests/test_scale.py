@@ -65,3 +65,13 @@ def test_bm25_search_returns_only_the_best_of_a_block(spark, tmp_path):
     got = IX.search(q, str(tmp_path), most=F.col("k"))
     assert got.count() == 150  # every match of every query was shuffled: 100,000
     assert "MapInArrow" in plan(got)
+
+
+def test_entry_search_fetches_the_best_and_keeps_scopes(spark, tmp_path):
+    texts = [(i, i % 40, f"s{i % 5}", None, " ".join(["aa"] * (i % 3 + 1) + ["bb"] * (i % 4))) for i in range(200)]
+    entries = spark.createDataFrame(texts, "id long, source_memory_id long, session_id string, persona_id string, content string")
+    IX.build(entries.select(F.col("id").alias("doc_id"), F.col("content").alias("text")), str(tmp_path))
+    q = spark.createDataFrame([(1, "aa", None, None), (2, "bb aa", "s3", None), (3, "bb", None, None)], "query_id long, query string, session_id string, persona_id string")
+    rows = lambda df: sorted((r.query_id, r.doc_id, r["rank"], round(r.score, 9)) for r in df.collect())
+    got = G.entry_search(lambda x, most: IX.search(x, str(tmp_path), most=most), entries, q, 7)
+    assert rows(got) == rows(G.entry_search(IX.search(q, str(tmp_path)), entries, q, 7)) and len(rows(got)) == 21
