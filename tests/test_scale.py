@@ -75,3 +75,15 @@ def test_entry_search_fetches_the_best_and_keeps_scopes(spark, tmp_path):
     rows = lambda df: sorted((r.query_id, r.doc_id, r["rank"], round(r.score, 9)) for r in df.collect())
     got = G.entry_search(lambda x, most: IX.search(x, str(tmp_path), most=most), entries, q, 7)
     assert rows(got) == rows(G.entry_search(IX.search(q, str(tmp_path)), entries, q, 7)) and len(rows(got)) == 21
+
+
+def test_entries_for_nodes_broadcast_no_grams(spark, tmp_path):
+    from engramlake.plans import registry
+
+    d = str(tmp_path)
+    spark.createDataFrame([(50, "alpha beta", "alpha beta"), (51, "betamax", "betamax")], "id long, node_value string, canonical_value string").write.parquet(f"{d}/graph_nodes.parquet")
+    spark.createDataFrame([(1, 50), (2, 51), (2, 50), (3, None)], "entry_id long, node_id long").write.parquet(f"{d}/graph_entry_nodes.parquet")
+    spark.createDataFrame([(1, 1, None, None), (2, 1, None, None)], "id long, source_memory_id long, session_id string, persona_id string").write.parquet(f"{d}/graph_entries.parquet")
+    got = registry.queries()["entries_for_nodes"](spark, d)
+    assert "gram" not in plan(got).replace("Program", "")
+    assert [(r.entry_id, r.hits, r.score) for r in got.orderBy("rank").collect()] == [(2, 2, 0.65), (1, 1, 0.5)]
