@@ -87,3 +87,28 @@ def test_entries_for_nodes_broadcast_no_grams(spark, tmp_path):
     got = registry.queries()["entries_for_nodes"](spark, d)
     assert "gram" not in plan(got).replace("Program", "")
     assert [(r.entry_id, r.hits, r.score) for r in got.orderBy("rank").collect()] == [(2, 2, 0.65), (1, 1, 0.5)]
+
+
+def test_entries_of_shared_nodes_are_not_joined(spark):
+    rnd = random.Random(3)
+    links = [(e, 0) for e in range(400)] + [(rnd.randint(0, 420), rnd.randint(1, 9)) for _ in range(900)] + [(5, 3), (5, 3), (6, None), (None, 2)]
+    entries = [(e, e % 50 or None, f"s{e % 3}", None if e % 2 else "p") for e in range(410)]  # some links lead to deleted entries
+    hits = [(q, n) for q in range(40) for n in {0, q % 10, q * 7 % 10, 99}]
+    queries = [(q, "s1" if q % 5 == 1 else None, "p" if q % 5 == 2 else None) for q in range(40)]
+    e = spark.createDataFrame(entries, "id long, source_memory_id long, session_id string, persona_id string")
+    args = spark.createDataFrame(hits, "query_id long, node_id long"), spark.createDataFrame(links, "entry_id long, node_id long"), e, 12
+    scope = spark.createDataFrame(queries, "query_id long, session_id string, persona_id string")
+
+    def want(scoped):
+        out = set()
+        for q, s, p in queries:
+            nodes = {n for i, n in hits if i == q}
+            held = [(len({n for i, n in links if i == x and n in nodes}), x, m) for x, m, es, ep in entries if not scoped or (s in (None, es) and p in (None, ep))]
+            out |= {(q, x, m, h, r) for r, (h, x, m) in enumerate(sorted((t for t in held if t[0]), reverse=True, key=lambda t: t[:2])[:12], 1)}
+        return out
+
+    for queried in (None, scope):
+        got = G.entries_of_nodes(*args, queried)
+        assert {(r.query_id, r.entry_id, r.source_memory_id, r.hits, r["rank"]) for r in got.collect()} == want(queried is not None)
+        # every link of the common node was joined with every query: 16,000 rows of it alone
+        assert "MapInArrow" in plan(got)
