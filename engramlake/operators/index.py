@@ -1,8 +1,8 @@
 """A text index on disk: postings by term bucket, document lengths, removals.
 
 Built once for a generation; a batch of queries reads only the buckets of its terms (partition
-pruning at run time). A bucket's postings are salted by document, so a term that a third of all
-documents share is spread over files. New documents come as segments of rising number. A removal
+pruning at run time). A bucket's files are made by parts of the documents, so a term that a third of all
+documents share is spread over files, and no posting is exchanged. New documents come as segments of rising number. A removal
 names the documents and the first segment it does not touch, so a document that is removed and added
 again (an update) is found with its new text only. Null and empty texts count as documents without terms.
 """
@@ -13,23 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.config import Recall
-from engramlake.functions import text as T
-from engramlake.operators.retrieval import bm25_of, bm25_top, postings, query_terms
+from engramlake.operators.retrieval import bm25_of, bm25_top, counted, query_terms
 
-BUCKETS, SALTS = 8, 2
+BUCKETS = 8
+SIZES = -1  # the bucket of rows without a term
 
 
 def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", segment: int = 0, buckets: int = BUCKETS, salts: int = SALTS) -> None:
-    """Writes one segment; a term's postings lie together, sorted by document."""
-    p = postings(docs, key, text).withColumn("bucket", _bucket(buckets))
-    p = p.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", segment: int = 0, buckets: int = BUCKETS) -> None:
+    """Writes one segment; in a file a term's postings lie together, sorted by document. Texts are tokenised once."""
+    p = counted(docs, key, text).withColumn("bucket", F.when(F.col("term").isNull(), F.lit(SIZES)).otherwise(_bucket(buckets)))
     p.sortWithinPartitions("bucket", "term", "doc_id").select("term", "doc_id", "dl", "tf", F.lit(segment).alias("segment"), "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
-    size = F.greatest(F.coalesce(F.size(T.tokens(F.col(text))), F.lit(0)), F.lit(0)).cast("long")
-    docs.select(F.col(key).alias("doc_id"), size.alias("dl"), F.lit(segment).alias("segment")).write.mode("append").parquet(f"{path}/docs")
+    size = docs.sparkSession.read.parquet(f"{path}/postings").where((F.col("bucket") == SIZES) & (F.col("segment") == segment))
+    size.select("doc_id", "dl", "segment", F.explode(F.array_repeat(F.lit(1), F.col("tf").cast("int")))).drop("col").write.mode("append").parquet(f"{path}/docs")
 
 
 def next_segment(spark: SparkSession, path: str) -> int:
@@ -42,11 +41,11 @@ def remove(ids: DataFrame, path: str) -> None:
     ids.select("doc_id", F.lit(n).alias("before")).distinct().write.mode("append").parquet(f"{path}/removed")
 
 
-def update(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, salts: int = SALTS) -> None:
+def update(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> None:
     """Replaces documents by a new segment."""
     n = next_segment(docs.sparkSession, path)
     remove(docs.select(F.col(key).alias("doc_id")), path)
-    build(docs, path, key, text, n, buckets, salts)
+    build(docs, path, key, text, n, buckets)
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from engramlake.config import FACTUAL_TERMS, RELATION_TERMS, TEMPORAL_TERMS, Recall
 from engramlake.functions import temporal
 from engramlake.functions import text as T
-from engramlake.tables import spread
 
 CFG = Recall()
 Scorer = Callable[[DataFrame, Column | None], DataFrame]
@@ -32,12 +31,24 @@ def top(df: DataFrame, k: int | Column, score: str = "score", by: str = "query_i
     return rank(df, score, by, tie).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``term, doc_id, tf, dl``: one exchange by document and term, partial sums first."""
-    t = spread(docs).select(F.col(key).alias("doc_id"), T.tokens(F.col(text)).alias("toks"))
-    # an outer explode: of a plain one Spark infers a filter that tokenises again, before the spread
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``term, doc_id, dl, tf``; of each document also a row without a term, where tf counts its rows.
+
+    Texts are exchanged by document, not their postings, which are larger; all else is done in the part
+    that holds the document.
+    """
+    parts = max(docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
+    t = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition(parts, "doc_id")
+    t = t.select("doc_id", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("toks"))
     t = t.select("doc_id", F.size("toks").cast("long").alias("dl"), "toks")  # before the explode, so that no row carries the list
-    return t.select("doc_id", "dl", F.explode_outer("toks").alias("term")).where("term is not null").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # an outer explode: of a plain one Spark infers a filter that tokenises again
+    t = t.select("doc_id", "dl", F.explode_outer(F.array_append("toks", F.lit(None).cast("string"))).alias("term"))
+    return t.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``term, doc_id, dl, tf``."""
+    return counted(docs, key, text).where("term is not null")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def text_index(s: SparkSession, d: str, name: str) -> str:
         "graph_entries": lambda: table(s, d, "graph_entries").select(F.col("id").alias("doc_id"), F.col("content").alias("text")),
         "memory_atoms": lambda: A.current(table(s, d, "memory_atoms")).select(F.col("id").alias("doc_id"), F.col("content").alias("text")),
     }[name]
-    return stored(s, f"text-{name}", fingerprint(s, f"{d}/{name}.parquet"), lambda p: IX.build(docs(), p))
+    return stored(s, f"text2-{name}", fingerprint(s, f"{d}/{name}.parquet"), lambda p: IX.build(docs(), p))
 
 
 def text_scores(s: SparkSession, d: str, name: str, q: DataFrame) -> DataFrame:

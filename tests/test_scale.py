@@ -112,3 +112,28 @@ def test_entries_of_shared_nodes_are_not_joined(spark):
         assert {(r.query_id, r.entry_id, r.source_memory_id, r.hits, r["rank"]) for r in got.collect()} == want(queried is not None)
         # every link of the common node was joined with every query: 16,000 rows of it alone
         assert "MapInArrow" in plan(got)
+
+
+def test_index_exchanges_texts_not_postings(spark, tmp_path, monkeypatch):
+    seen = []
+    kind = type(spark.range(1))
+    whole = kind.sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda self, *c: seen.append(plan(whole(self, *c))) or whole(self, *c))
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, None), (3, "  "), (4, "cc"), (4, "cc aa"), (5, "bb"), (5, "bb")], "doc_id long, text string")
+    IX.build(docs, str(tmp_path))
+    # it exchanged partial counts by term and document, then the postings by bucket
+    assert len(seen) == 1 and seen[0].count("Exchange") == 1 and "term" not in next(x for x in seen[0].splitlines() if "Exchange" in x)
+    size = spark.read.parquet(f"{tmp_path}/docs")
+    assert sorted(tuple(r) for r in size.select("doc_id", "dl", "segment").collect()) == [(1, 3, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0), (4, 2, 0), (5, 1, 0), (5, 1, 0)]
+    got = spark.read.parquet(f"{tmp_path}/postings").where("term is not null")
+    assert sorted(tuple(r) for r in got.select("term", "doc_id", "dl", "tf").collect()) == [("aa", 1, 3, 2), ("aa", 4, 2, 1), ("bb", 1, 3, 1), ("bb", 5, 1, 2), ("cc", 4, 1, 1), ("cc", 4, 2, 1)]
+
+
+def test_parts_that_return_their_best_do_not_grow_with_the_postings(spark):
+    docs = spark.createDataFrame([(i, "aa bb") for i in range(3000)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "aa", 5)], "query_id long, query string, k long")
+    n = docs.selectExpr("count(*) as N", "2.0d as avgdl")
+    got = R.bm25_top(q, R.postings(docs), n, F.col("k"))
+    blocks = [x for x in plan(got).splitlines() if "Exchange hashpartitioning(doc_id" in x and f", {2 * spark.sparkContext.defaultParallelism})" in x]
+    assert blocks and "REPARTITION_BY_NUM" in blocks[0]  # the number of parts followed the size of the shuffle
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3, 4]
