@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 K = len(TAGS)
-T, STEP, ROWS, CHARS = 256, 192, 512, 60_000
+T, STEP, ROWS = 256, 192, 2048
 HIDDEN = 24
 CYR = [("sch", "ш"), ("ch", "ч"), ("sh", "ш"), ("zh", "ж"), ("kh", "х"), ("ya", "я"), ("yu", "ю"), ("ph", "ф"), ("th", "т"), ("ck", "к"), ("qu", "кв"), ("kw", "кв")] + list(zip("abcdefghijklmnopqrstuvwxyz", "а б к д е ф г х и ж к л м н о п к р с т у в в кс и з".split()))
 
@@ -128,57 +128,70 @@ def inputs(x: np.ndarray, han: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def fast_weights(m: dict) -> dict:
-    """Gates scaled so that a clip is the hard sigmoid."""
+    """Of each direction: inputs and states to gates, scaled so that a clip is the hard sigmoid, each gate an array of its own; states to tags."""
     h = m["Uf"].shape[0]
     out = {}
-    for d in "fb":
-        x, u = m["X" + d].copy(), m["U" + d].copy()
+    for n, d in enumerate("fb"):
+        x, u = m["X" + d].astype(np.float32), m["U" + d].astype(np.float32)
         x[:, : 3 * h] = 0.25 * x[:, : 3 * h] + 0.5
         u[:, : 3 * h] *= 0.25
-        out[d] = np.ascontiguousarray(x, np.float32), np.ascontiguousarray(u, np.float32)
+        gates = [np.ascontiguousarray(v.reshape(-1, 4, h).transpose(1, 0, 2)) for v in (x, u)]
+        out[d] = *gates, np.ascontiguousarray(m["W"][n * h : (n + 1) * h], np.float32)
     return out
 
 
+def filled(n: int, v: float) -> np.ndarray:
+    """An array that begins at a cache line; numpy's own may not, and are slower."""
+    a = np.empty(n + 16, np.float32)
+    a = a[(-a.ctypes.data // 4) % 16 :][:n]
+    a[:] = v
+    return a
+
+
 def emissions(m: dict, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """``K x (T B)`` scores of the tags for windows ``T x B`` of ascending ``length``.
+    """``T x B x K`` scores of the tags for windows ``T x B`` of ascending ``length``; what lies behind a window's end is not set.
 
     A step runs over the windows that reach it, so what stands beside a window has no influence on it.
-    Bounds are full arrays: numpy compares arrays much faster than an array and a number.
+    The gates are whole arrays (4 x rows x hidden), and bounds full ones: numpy is much slower on columns, and on an
+    array and a number. Scores are made at each step, so that the states stay in the cache.
     """
     steps, b = ids.shape
     h = m["Uf"].shape[0]
     fast = m.get("fast") or m.setdefault("fast", fast_weights(m))
-    z, r = np.empty((b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32)
-    low, one, minus = np.zeros((b, 4 * h), np.float32), np.ones((b, 4 * h), np.float32), np.full((b, h), -1, np.float32)
-    low[:, 3 * h :] = -1
-    ones = np.ones((b, h), np.float32)
-    keep = np.zeros((steps, b, h), np.float32)
-    first = np.searchsorted(length, np.arange(steps), "right")
-    out = np.zeros((K, steps * b), np.float32)
-    for n, d in enumerate("fb"):
-        xp, u = fast[d]
-        hs, cs = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
+    zs, rs, hs, cs = filled(4 * b * h, 0), filled(4 * b * h, 0), filled(b * h, 0), filled(b * h, 0)
+    zero, one, minus = filled(b * h, 0), filled(b * h, 1), filled(b * h, -1)
+    first = np.searchsorted(length, np.arange(steps), "right").tolist()
+    out = np.empty((steps, b, K), np.float32)
+    more = np.empty((b, K), np.float32)
+    for d in "fb":
+        xp, u, w = fast[d]
+        hs[:], cs[:] = 0, 0
+        k = -1
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            k = first[t]
-            zz, rr, cc = z[k:], r[k:], cs[k:]
-            xp.take(ids[t, k:], axis=0, out=zz, mode="clip")
-            np.dot(hs[k:], u, out=rr)
-            zz += rr
-            np.maximum(zz, low[k:], out=zz)
-            np.minimum(zz, one[k:], out=zz)
-            g = zz[:, 3 * h :]
-            cc *= zz[:, h : 2 * h]
-            g *= zz[:, :h]
-            cc += g
-            hs = keep[t]
-            hh = hs[k:]
-            np.minimum(cc, ones[k:], out=hh)
-            np.maximum(hh, minus[k:], out=hh)
-            hh *= zz[:, 2 * h : 3 * h]
-            if d == "b" and t and first[t - 1] < k:
-                keep[t, first[t - 1] : k] = 0  # windows that end here begin with an empty state
-        out += np.dot(np.ascontiguousarray(m["W"][n * h : (n + 1) * h].T), keep.reshape(-1, h).T)
-    out += m["b"][:, None]
+            if first[t] != k:
+                k = first[t]
+                n = (b - k) * h
+                z, r = zs[: 4 * n].reshape(4, n), rs[: 4 * n].reshape(4, b - k, h)
+                x, (z0, z1, z2, z3), gates, rz = z.reshape(4, b - k, h), z, z[:3], r.reshape(4, n)
+                hh, cc, lo, hi, neg = hs[k * h :], cs[k * h :], zero[:n], one[:n], minus[:n]
+                rows, add = hh.reshape(b - k, h), more[k:]
+            xp.take(ids[t, k:], axis=1, out=x, mode="clip")
+            np.matmul(rows, u, out=r)
+            np.add(z, rz, out=z)
+            np.maximum(gates, lo, out=gates)
+            np.maximum(z3, neg, out=z3)
+            np.minimum(z, hi, out=z)
+            np.multiply(cc, z1, out=cc)
+            np.multiply(z3, z0, out=z3)
+            np.add(cc, z3, out=cc)
+            np.minimum(cc, hi, out=hh)
+            np.maximum(hh, neg, out=hh)
+            np.multiply(hh, z2, out=hh)
+            if d == "f":
+                np.dot(rows, w, out=out[t, k:])
+            else:
+                np.dot(rows, w, out=add)
+                out[t, k:] += add
     return out
 
 
@@ -271,16 +284,26 @@ def decode(e: np.ndarray, ends: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 # what ends a segment: a line, a sentence (a full stop only after a word of four letters, before no digit), a bar
-CUT = re.compile(r"\n+|[!?。！？；]+|\.\s+(?=[^\d\s])|\s\|\s")
+CUT = re.compile(r"[\n!?。！？；.|](?:(?<=\n)\n*|(?<=[!?。！？；])[!?。！？；]*|(?<=\.)\s+(?=[^\d\s])|(?<=\s\|)(?=\s))")
 SHORT_FORM = re.compile(r"(?:prof|avda|просп|herr|frau|(?<![^\W\d_])[^\W\d_]{1,3})$", re.I)
 
 
 def segments(text: str) -> list[tuple[int, str]]:
     """Offsets and texts of the segments; blanks at both ends belong to none."""
-    out, at = [], 0
+    out, at, last = [], 0, 0
     for m in CUT.finditer(text):
         a, b = m.span()
         c = text[a]
+        if c == "|":  # with a blank on both sides, neither of which another cut has taken
+            if a <= last:
+                continue
+            a, b = a - 1, b + 1
+            c = text[a]
+        elif a < last:
+            a = last
+            if a >= b:
+                continue
+        last = b
         if c == ".":
             if not text[a - 4 : a].isalpha() or SHORT_FORM.search(text, max(at, a - 6), a):
                 continue
@@ -317,19 +340,22 @@ def tag_stream(m: dict, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
     own1 = np.where(nth == extra[seg], w1, w1 - rim)
     order = np.argsort(w1 - w0, kind="stable")
     w0, w1, own0, own1 = w0[order], w1[order], own0[order], own1[order]
-    e = np.empty((K, len(x)), np.float32)
-    e[:, ends] = 0
+    scores = np.zeros((len(x), K), np.float32)
+    rows = scores.view(f"V{4 * K}").ravel()  # numpy moves one item faster than K
     length, at = w1 - w0, 0
     while at < len(w0):
-        to = min(len(w0), at + ROWS, max(at + 1, at + CHARS // max(1, int(length[min(len(w0) - 1, at + ROWS)]))))
+        to = min(len(w0), at + ROWS)
         steps = int(length[to - 1])
-        pos = w0[at:to][None, :] + np.arange(steps)[:, None]
-        got = emissions(m, ids[np.minimum(pos, len(ids) - 1)], length[at:to])
-        mine = ((pos >= own0[at:to][None, :]) & (pos < own1[at:to][None, :])).ravel()
-        where = pos.ravel()[mine]
-        for k in range(K):
-            e[k][where] = got[k][mine]
+        pos = w0[at:to] + np.arange(steps)[:, None]
+        got = emissions(m, ids.take(pos, mode="clip").astype(np.int64), length[at:to])
+        mine = np.flatnonzero((pos >= own0[at:to]) & (pos < own1[at:to]))
+        rows[pos.ravel()[mine]] = got.view(rows.dtype).ravel()[mine]
         at = to
+    e = np.empty((K, len(x)), np.float32)
+    for at in range(0, len(x), 4096):
+        np.add(scores[at : at + 4096].T, m["b"][:, None], out=e[:, at : at + 4096])
+    e[:, ends] = 0
+    del scores, rows
     return decode(e, ends, m["A"])
 
 
